@@ -1,11 +1,13 @@
-"""Fuzzy inference as Column expressions: membership, rules, spread update."""
+"""Fuzzy inference: membership, rules, spread update. As in `geo`, functions of
+columns take and give SQL text."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from roadpulse.functions.geo import number
 
 # Fixed values.
 DEFAULT_SD = 1.0
@@ -53,85 +55,99 @@ DISTANCE_TERMS = {"low": (None, 0.0, 0.75), "med": (0.25, 1.0, 1.75), "high": (1
 DISTANCE_FLAT = 2.0
 
 
-def membership(miles: Column, sd: Column, max_miles: float) -> Column:
+def membership(miles: str, sd: str, max_miles: float) -> str:
     """Gaussian in the distance; 0 without a match or beyond `max_miles`. A hot
     spot that has no spread yet counts as the default one."""
-    spread = F.when(sd > 0, sd).otherwise(F.lit(DEFAULT_SD))
-    gauss = F.exp(F.pow(miles / spread, F.lit(2.0)) * F.lit(-0.5))
-    return F.when(miles <= F.lit(max_miles), F.least(gauss, F.lit(1.0))).otherwise(F.lit(0.0))
+    spread = f"(case when {sd} > 0 then {sd} else {number(DEFAULT_SD)} end)"
+    gauss = f"least(exp(pow({miles} / {spread}, 2D) * -0.5D), 1D)"
+    return f"case when {miles} <= {number(max_miles)} then {gauss} else 0D end"
 
 
-def _term(x: Column, corners: tuple, flat_from: float) -> Column:
+def _term(x: str, corners: tuple, flat_from: float) -> str:
     foot, peak, end = corners
     sides = []
     if foot is not None:
-        sides.append((x - F.lit(foot)) / F.lit(peak - foot))
+        sides.append(f"({x} - {number(foot)}) / {number(peak - foot)}")
     if end is not None:
-        sides.append((F.lit(end) - x) / F.lit(end - peak))
-    inside = F.greatest(F.least(*sides) if len(sides) == 2 else sides[0], F.lit(0.0))
+        sides.append(f"({number(end)} - {x}) / {number(end - peak)}")
+    inside = f"greatest({sides[0]}, 0D)"
+    if len(sides) == 2:
+        inside = f"greatest(least({', '.join(sides)}), 0D)"
     if end is None:
-        return F.when(x >= F.lit(flat_from), F.lit(1.0)).otherwise(inside)
+        return f"case when {x} >= {number(flat_from)} then 1D else {inside} end"
     return inside
 
 
-def count_term(n: Column, term: str) -> Column:
-    return _term(n.cast("double"), COUNT_TERMS[term], COUNT_FLAT)
+def count_term(n: str, term: str) -> str:
+    return _term(f"cast({n} as double)", COUNT_TERMS[term], COUNT_FLAT)
 
 
-def distance_term(miles: Column, term: str) -> Column:
+def distance_term(miles: str, term: str) -> str:
     return _term(miles, DISTANCE_TERMS[term], DISTANCE_FLAT)
 
 
-def rule_strength(n: Column, miles: Column, rule: tuple[str, str]) -> Column:
-    return F.least(count_term(n, rule[0]), distance_term(miles, rule[1]))
+def rule_strength(n: str, miles: str, rule: tuple[str, str]) -> str:
+    return f"least({count_term(n, rule[0])}, {distance_term(miles, rule[1])})"
 
 
-def density(n: Column, mean_miles: Column, rule_base: str = "tight") -> Column:
-    """Strength-weighted mean of the rule outputs."""
-    strengths = [(rule_strength(n, mean_miles, r), LEVELS[v]) for r, v in RULES[rule_base].items()]
-    total = sum((w for w, _ in strengths[1:]), strengths[0][0])
-    weighted = [w * F.lit(k) for w, k in strengths]
-    return sum(weighted[1:], weighted[0]) / total
+def with_density(df: DataFrame, n: str, mean_miles: str, rule_base: str = "tight") -> DataFrame:
+    """Adds `density`, the strength-weighted mean of the rule outputs; null
+    where no rule applies, which needs a count of zero."""
+    rules = RULES[rule_base]
+    weights = [f"{rule_strength(n, mean_miles, r)} as _w{i}" for i, r in enumerate(rules)]
+    total = " + ".join(f"_w{i}" for i in range(len(rules)))
+    weighted = " + ".join(f"_w{i} * {number(LEVELS[v])}" for i, v in enumerate(rules.values()))
+    return df.selectExpr("*", *weights).selectExpr(
+        *[c for c in df.columns], f"try_divide({weighted}, {total}) as density"
+    )
 
 
-def round2(x: Column) -> Column:
+def round2(x: str) -> str:
     """Two places, halves up."""
-    return F.floor(x * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
+    return f"(floor({x} * 100D + 0.5D) / 100D)"
 
 
-def _raw_sd(sd: Column, n: Column, dist_sum: Column, decay_rate: float, rule_base: str) -> Column:
-    d = density(n, dist_sum / n, rule_base)
-    d = F.least(F.greatest(d, F.lit(0.01)), F.lit(1.0))
-    fresh = F.lit(MIN_SD) + (F.lit(1.0) - d) * F.lit(MAX_SD - MIN_SD)
-    grown = F.when(sd.isNull(), fresh).otherwise((sd * F.lit(0.5) + fresh) / F.lit(1.5))
-    idle = F.least(F.coalesce(sd, F.lit(DEFAULT_SD)) * F.lit(1.0 + decay_rate), F.lit(MAX_SD))
-    return F.when(n > 0, grown).otherwise(idle)
+def raw_sd(sd: str, n: str, density: str, decay_rate: float) -> str:
+    """Spread before rounding: from the density where incidents came, grown by
+    the decay rate where none did. A new hot spot (null) takes the fresh value."""
+    fresh = (
+        f"({number(MIN_SD)} + (1D - least(greatest({density}, 0.01D), 1D))"
+        f" * {number(MAX_SD - MIN_SD)})"
+    )
+    grown = f"coalesce(({sd} * 0.5D + {fresh}) / 1.5D, {fresh})"
+    idle = _idle(f"coalesce({sd}, {number(DEFAULT_SD)})", decay_rate)
+    return f"case when {n} > 0 then {grown} else {idle} end"
 
 
-def update_sd(
-    sd: Column, n: Column, dist_sum: Column, decay_rate: float, rule_base: str = "tight"
-) -> tuple[Column, Column]:
-    """New spread, rounded, and the label taken before rounding."""
-    raw = _raw_sd(sd, n, dist_sum, decay_rate, rule_base)
-    return round2(raw), density_label(raw)
+def _idle(sd: str, decay_rate: float) -> str:
+    return f"least({sd} * {number(1.0 + decay_rate)}, {number(MAX_SD)})"
 
 
-def density_label(raw_sd: Column) -> Column:
-    return F.when(raw_sd < F.lit(DENSE_BELOW), F.lit(DENSE)).otherwise(F.lit(SPARSE))
+def density_label(raw: str) -> str:
+    return f"case when {raw} < {number(DENSE_BELOW)} then '{DENSE}' else '{SPARSE}' end"
 
 
-def idle_sd(sd: Column, decay_rate: float, steps: int) -> tuple[Column, Column]:
-    """Spread and label after `steps` intervals without incidents. Each step
-    rounds, so the steps are folded one by one inside the expression."""
-    grow = F.lit(1.0 + decay_rate)
+def update_sd(df: DataFrame, decay_rate: float, rule_base: str = "tight") -> DataFrame:
+    """New `sd`, rounded, and `density_label`, taken before rounding, from the
+    columns sd, n_added and dist_sum."""
+    keep = [c for c in df.columns if c not in ("sd", "density_label")]
+    with_mean = df.selectExpr("*", "case when n_added > 0 then dist_sum / n_added end as _mean")
+    return (
+        with_density(with_mean, "n_added", "_mean", rule_base)
+        .selectExpr("*", f"{raw_sd('sd', 'n_added', 'density', decay_rate)} as _raw")
+        .selectExpr(*keep, f"{round2('_raw')} as sd", f"{density_label('_raw')} as density_label")
+    )
 
-    def raw(x: Column) -> Column:
-        return F.least(x * grow, F.lit(MAX_SD))
 
-    before_last = F.aggregate(
-        F.array_repeat(F.lit(0), max(steps - 1, 0)), sd, lambda acc, _: round2(raw(acc))
+def idle_spread(df: DataFrame, decay_rate: float, steps: int) -> DataFrame:
+    """`sd` and `density_label` after `steps` intervals without incidents. Each
+    step rounds, so they are folded one by one inside the expression."""
+    keep = [c for c in df.columns if c not in ("sd", "density_label")]
+    step = round2(_idle("s", decay_rate))
+    before = f"aggregate(array_repeat(0, {max(steps - 1, 0)}), sd, (s, i) -> {step})"
+    return df.selectExpr("*", f"{_idle(before, decay_rate)} as _raw").selectExpr(
+        *keep, f"{round2('_raw')} as sd", f"{density_label('_raw')} as density_label"
     )
-    return round2(raw(before_last)), density_label(raw(before_last))
 
 
 def effective_radius(sd: float, conf_threshold: float) -> float:

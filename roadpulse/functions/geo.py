@@ -1,17 +1,20 @@
-"""Geometry as Column expressions, and the grid that turns a distance join
-into an equi join.
+"""Geometry, and the grid that turns a distance join into an equi join.
+
+The functions take column names or other SQL text and give SQL text, so that an
+expression reaches Spark in one piece whatever its size; wrap it in `expr` to
+get a Column.
 
 The grid cuts the globe into latitude bands as high as the radius, and every
 band into longitude cells at least as wide as the radius spans there. A point
 lies in one cell; everything within the radius of it lies in the cells that
-`reach_cells` lists for it.
+`explode_reach` gives it.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EARTH_MILES = 6372.8 / 1.609344  # fixed value
@@ -19,38 +22,48 @@ BEARING_LIMIT = 60  # fixed value, degrees, strictly below
 SLACK = 1.0 + 1e-9
 
 
-def road_key(road: Column) -> Column:
+def number(x: float) -> str:
+    """A double literal."""
+    return f"{float(x)!r}D"
+
+
+def road_key(road: str = "road") -> str:
     """Roads compare without regard to case; blanks count."""
-    return F.lower(F.upper(road))
+    return f"lower(upper({road}))"
 
 
-def same_road(a: Column, b: Column) -> Column:
-    return road_key(a) == road_key(b)
+def same_road(a: str, b: str) -> str:
+    return f"({road_key(a)} = {road_key(b)})"
 
 
-def bearing_delta(a: Column, b: Column) -> Column:
+def bearing_delta(a: str, b: str) -> str:
     """Circular difference in degrees, 0 to 180."""
-    return F.abs(F.pmod(F.abs(a - b) + F.lit(180), F.lit(360)) - F.lit(180))
+    return f"abs(pmod(abs({a} - {b}) + 180, 360) - 180)"
 
 
-def bearing_compatible(a: Column, b: Column) -> Column:
-    return bearing_delta(a, b) < F.lit(BEARING_LIMIT)
+def bearing_compatible(a: str, b: str) -> str:
+    return f"({bearing_delta(a, b)} < {BEARING_LIMIT})"
 
 
-def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half_dlat = F.radians(lat2 - lat1) / 2
-    half_dlon = F.radians(lon2 - lon1) / 2
-    a = F.pow(F.sin(half_dlat), F.lit(2.0)) + F.pow(F.sin(half_dlon), F.lit(2.0)) * F.cos(
-        F.radians(lat1)
-    ) * F.cos(F.radians(lat2))
-    return F.asin(F.sqrt(a)) * F.lit(2.0 * EARTH_MILES)
+def haversine_miles(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    a = (
+        f"pow(sin(radians({lat2} - {lat1}) / 2D), 2D) + "
+        f"pow(sin(radians({lon2} - {lon1}) / 2D), 2D) * cos(radians({lat1})) * cos(radians({lat2}))"
+    )
+    return f"(asin(sqrt({a})) * {number(2 * EARTH_MILES)})"
 
 
-def gated_miles(a: dict[str, Column], b: dict[str, Column]) -> Column:
+def gated_miles(a: dict[str, str], b: dict[str, str]) -> str:
     """Miles between two records on one road and in compatible directions,
-    null otherwise. Each side maps lat, lon, bearing and road_key to a column."""
-    gate = (a["road_key"] == b["road_key"]) & bearing_compatible(a["bearing"], b["bearing"])
-    return F.when(gate, haversine_miles(a["lat"], a["lon"], b["lat"], b["lon"]))
+    null otherwise. Each side maps road_key, bearing, lat and lon to text."""
+    same = f"{a['road_key']} = {b['road_key']}"
+    way = bearing_compatible(a["bearing"], b["bearing"])
+    miles = haversine_miles(a["lat"], a["lon"], b["lat"], b["lon"])
+    return f"case when {same} and {way} then {miles} end"
+
+
+def side(alias: str) -> dict[str, str]:
+    return {c: f"{alias}.{c}" for c in ("road_key", "bearing", "lat", "lon")}
 
 
 def band_height(radius: float) -> float:
@@ -58,78 +71,70 @@ def band_height(radius: float) -> float:
     return math.degrees(radius / EARTH_MILES) * SLACK
 
 
-def lat_band(lat: Column, radius: float) -> Column:
-    return F.floor((lat + F.lit(90.0)) / F.lit(band_height(radius)))
+def lat_band(lat: str, radius: float) -> str:
+    return f"floor(({lat} + 90D) / {number(band_height(radius))})"
 
 
-def _edge(band: Column, radius: float) -> Column:
+def _edge(band: str, radius: float) -> str:
     """Latitude of the lower edge of a band, kept within the poles."""
-    raw = band * F.lit(band_height(radius)) - F.lit(90.0)
-    return F.least(F.greatest(raw, F.lit(-90.0)), F.lit(90.0))
+    return f"least(greatest(({band}) * {number(band_height(radius))} - 90D, -90D), 90D)"
 
 
-def _flattest(low: Column, high: Column) -> Column:
+def _flattest(low: str, high: str) -> str:
     """Smallest cosine of latitude between two latitudes."""
-    return F.cos(F.radians(F.greatest(F.abs(low), F.abs(high))))
+    return f"cos(radians(greatest(abs({low}), abs({high}))))"
+
 
+def _width_ratio(band: str, radius: float) -> str:
+    flattest = _flattest(_edge(f"{band} - 1", radius), _edge(f"{band} + 2", radius))
+    return f"({number(math.sin(radius / (2 * EARTH_MILES)))} / {flattest})"
 
-def lon_cell_count(band: Column, radius: float) -> Column:
+
+def lon_cell_count(ratio: str) -> str:
     """Cells in a band: as many as fit when each is as wide as the radius spans
     anywhere in the band or next to it, and one when fewer than three fit."""
-    flattest = _flattest(_edge(band - 1, radius), _edge(band + 2, radius))
-    ratio = F.lit(math.sin(radius / (2 * EARTH_MILES))) / flattest
-    width = F.degrees(F.asin(ratio)) * F.lit(2.0 * SLACK)
-    return F.when(
-        ratio < F.lit(math.sin(math.radians(59.0))), F.floor(F.lit(360.0) / width)
-    ).otherwise(F.lit(1).cast("long"))
+    width = f"(degrees(asin({ratio})) * {number(2 * SLACK)})"
+    limit = number(math.sin(math.radians(59.0)))
+    return f"case when {ratio} < {limit} then floor(360D / {width}) else 1L end"
 
 
-def lon_cell(lon: Column, count: Column) -> Column:
-    turn = F.pmod(lon + F.lit(180.0), F.lit(360.0)) / F.lit(360.0)
-    return F.least(F.floor(turn * count), count - 1)
+def lon_cell(lon: str, count: str) -> str:
+    return f"least(floor(pmod({lon} + 180D, 360D) / 360D * {count}), {count} - 1)"
 
 
 def with_cell(df: DataFrame, radius: float) -> DataFrame:
     """Adds the cell every row lies in."""
-    out = df.withColumn("cell_y", lat_band(F.col("lat"), radius))
-    return out.withColumn(
-        "cell_x", lon_cell(F.col("lon"), lon_cell_count(F.col("cell_y"), radius))
+    return (
+        df.withColumn("cell_y", F.expr(lat_band("lat", radius)))
+        .withColumn("_ratio", F.expr(_width_ratio("cell_y", radius)))
+        .withColumn("_count", F.expr(lon_cell_count("_ratio")))
+        .withColumn("cell_x", F.expr(lon_cell("lon", "_count")))
+        .drop("_ratio", "_count")
     )
 
 
-def reach_cells(lat: Column, lon: Column, radius: float, rings: int = 1) -> Column:
-    """Array of all cells of the grid of `radius` that can hold a point within
-    `rings` times the radius."""
-    own = lat_band(lat, radius)
-    half_angle = F.lit(math.sin(min(rings * radius / (2 * EARTH_MILES), math.pi / 2)))
-    rows = []
-    for dy in range(-rings, rings + 1):
-        band = own + F.lit(dy)
-        count = lon_cell_count(band, radius)
-        mean_cos = F.sqrt(
-            F.cos(F.radians(lat)) * _flattest(_edge(band, radius), _edge(band + 1, radius))
+def explode_reach(df: DataFrame, radius: float, rings: int = 1) -> DataFrame:
+    """One row for every cell of the grid of `radius` that can hold a point
+    within `rings` times the radius: the small side of a distance join."""
+    half_angle = number(math.sin(min(rings * radius / (2 * EARTH_MILES), math.pi / 2)))
+    flattest = _flattest(_edge("cell_y", radius), _edge("cell_y + 1", radius))
+    reach = f"degrees(asin(least({half_angle} / sqrt(cos(radians(lat)) * {flattest}), 1D))) * 2D"
+    whole = "_side * 2 + 1 >= _count"
+    keep = df.columns
+    return (
+        df.selectExpr("*", f"explode(sequence(-{rings}, {rings})) as _dy")
+        .selectExpr("*", f"{lat_band('lat', radius)} + _dy as cell_y")
+        .selectExpr("*", f"{_width_ratio('cell_y', radius)} as _ratio")
+        .selectExpr("*", f"{lon_cell_count('_ratio')} as _count")
+        .selectExpr(
+            "*", f"{lon_cell('lon', '_count')} as _at", f"ceil({reach} * _count / 360D) as _side"
         )
-        reach = F.degrees(F.asin(F.least(half_angle / mean_cos, F.lit(1.0)))) * F.lit(2.0)
-        side = F.ceil(reach * count / F.lit(360.0))
-        centre = lon_cell(lon, count)
-        whole = side * 2 + 1 >= count
-        run = F.sequence(
-            F.when(whole, F.lit(0).cast("long")).otherwise(centre - side),
-            F.when(whole, count - 1).otherwise(centre + side),
+        .selectExpr(
+            *keep,
+            "cell_y",
+            "_count",
+            f"explode(sequence(case when {whole} then 0L else _at - _side end, "
+            f"case when {whole} then _count - 1 else _at + _side end)) as _x",
         )
-        rows.append(_cells_of_row(run, band, count))
-    return F.flatten(F.array(*rows))
-
-
-def _cells_of_row(run: Column, band: Column, count: Column) -> Column:
-    return F.transform(
-        run, lambda x: F.struct(band.alias("cell_y"), F.pmod(x, count).alias("cell_x"))
+        .selectExpr(*keep, "cell_y", "pmod(_x, _count) as cell_x")
     )
-
-
-def explode_reach(df: DataFrame, radius: float, rings: int = 1) -> DataFrame:
-    """One row for every cell within reach: the small side of a distance join."""
-    out = df.withColumn("_cell", F.explode(reach_cells(F.col("lat"), F.col("lon"), radius, rings)))
-    return out.withColumns(
-        {"cell_y": F.col("_cell.cell_y"), "cell_x": F.col("_cell.cell_x")}
-    ).drop("_cell")

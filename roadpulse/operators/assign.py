@@ -9,7 +9,7 @@ known, the join shuffles and adaptive execution splits hot cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.fuzzy import membership
@@ -17,6 +17,7 @@ from roadpulse.functions.geo import (
     bearing_compatible,
     explode_reach,
     haversine_miles,
+    number,
     road_key,
     with_cell,
 )
@@ -39,10 +40,10 @@ def hotspot_cells(
     """Hot spots by reachable cell, columns prefixed so that both sides of the
     join stay apart."""
     side = hotspots.select(
-        road_key(F.col("road")).alias("road_key"),
+        F.expr(road_key("road")).alias("road_key"),
         "lat",
         "lon",
-        F.col("hs_id"),
+        "hs_id",
         F.col("bearing").alias("hs_bearing"),
         *([F.col("sd").alias("hs_sd")] if "sd" in hotspots.columns else []),
     )
@@ -51,23 +52,28 @@ def hotspot_cells(
     return ship(cells, rows, limit)
 
 
-def _miles() -> Column:
-    return haversine_miles(F.col("lat"), F.col("lon"), F.col("hs_lat"), F.col("hs_lon"))
+MILES = haversine_miles("lat", "lon", "hs_lat", "hs_lon")
+WAY = bearing_compatible("bearing", "hs_bearing")
 
 
-def _join(incidents: DataFrame, cells: DataFrame, radius: float, how: str, extra=None):
+def _join(incidents: DataFrame, cells: DataFrame, radius: float, how: str, gate: str):
     left, right = with_cell(incidents, radius).alias("i"), cells.alias("h")
-    on = [F.col(f"i.{k}") == F.col(f"h.{k}") for k in CELL]
-    near = bearing_compatible(F.col("bearing"), F.col("hs_bearing")) & (
-        _miles() <= F.lit(radius)
-    )
-    on.append(near if extra is None else near & extra)
-    joined = left.join(right, on, how)
+    same_cell = " and ".join(f"i.{k} = h.{k}" for k in CELL)
+    joined = left.join(right, F.expr(f"{same_cell} and {gate}"), how)
     if how == "left_anti":
         return joined.drop("cell_y", "cell_x")
-    keep = [F.col(f"i.{c}") for c in incidents.columns]
-    more = [F.col(f"h.{c}") for c in cells.columns if c not in CELL]
-    return joined.select(*keep, *more)
+    keep = [f"i.{c}" for c in incidents.columns]
+    more = [f"h.{c}" for c in cells.columns if c not in CELL]
+    return joined.selectExpr(*keep, *more)
+
+
+def crisp_gate(radius: float) -> str:
+    return f"{WAY} and {MILES} <= {number(radius)}"
+
+
+def fuzzy_gate(max_miles: float, conf_threshold: float) -> str:
+    m = membership(MILES, "hs_sd", max_miles)
+    return f"{WAY} and {m} >= {number(conf_threshold)}"
 
 
 def candidate_pairs(
@@ -80,7 +86,8 @@ def candidate_pairs(
     """Every incident with every hot spot on its road, in its direction and
     within the radius."""
     cells = hotspot_cells(hotspots, radius, rows, limit)
-    return _join(incidents, cells, radius, "inner").withColumn("miles", _miles())
+    pairs = _join(incidents, cells, radius, "inner", crisp_gate(radius))
+    return pairs.selectExpr("*", f"{MILES} as miles")
 
 
 def road_pairs(
@@ -88,23 +95,16 @@ def road_pairs(
 ) -> DataFrame:
     """As `candidate_pairs` but whatever the direction."""
     cells = hotspot_cells(hotspots, radius, rows)
-    left, right = with_cell(incidents, radius).alias("i"), cells.alias("h")
-    on = [F.col(f"i.{k}") == F.col(f"h.{k}") for k in CELL]
-    joined = left.join(right, on + [_miles() <= F.lit(radius)], "inner")
-    keep = [F.col(f"i.{c}") for c in incidents.columns]
-    more = [F.col(f"h.{c}") for c in cells.columns if c not in CELL]
-    return joined.select(*keep, *more).withColumn("miles", _miles())
+    pairs = _join(incidents, cells, radius, "inner", f"{MILES} <= {number(radius)}")
+    return pairs.selectExpr("*", f"{MILES} as miles")
 
 
-def best_match(pick: str) -> Column:
+def best_match(pick: str) -> str:
     """One hot spot per group of pairs: nearest, ties to the lowest id; or the
     lowest id. Null where the group has no match."""
-    where = [F.col("hs_lat"), F.col("hs_lon")]
-    if pick == "first":
-        key = F.struct(F.col("hs_id"), _miles().alias("miles"), *where)
-    else:
-        key = F.struct(_miles().alias("miles"), F.col("hs_id"), *where)
-    return F.min(F.when(F.col("hs_id").isNotNull(), key))
+    miles = f"{MILES} as miles"
+    key = f"hs_id, {miles}" if pick == "first" else f"{miles}, hs_id"
+    return f"min(case when hs_id is not null then struct({key}, hs_lat, hs_lon) end)"
 
 
 def assign_crisp(
@@ -121,9 +121,9 @@ def assign_crisp(
     incident id by default)."""
     keys = keys or ["incident_id"]
     rest = [c for c in incidents.columns if c not in keys]
-    pairs = _join(incidents, hotspot_cells(hotspots, radius, rows, limit), radius, "left")
+    pairs = _join(incidents, hotspot_cells(hotspots, radius, rows, limit), radius, "left", crisp_gate(radius))
     best = pairs.groupBy(*keys).agg(
-        best_match(pick).alias("_best"), *[F.any_value(c).alias(c) for c in rest]
+        F.expr(best_match(pick)).alias("_best"), *[F.any_value(c).alias(c) for c in rest]
     )
     found = [F.col(f"_best.{c}").alias(c) for c in ("hs_id", "miles", "hs_lat", "hs_lon")]
     return best.select(*incidents.columns, *found)
@@ -144,7 +144,7 @@ def unassigned_incidents(
     limit: int = 20_000,
 ) -> DataFrame:
     """Incidents no hot spot takes."""
-    return _join(incidents, hotspot_cells(hotspots, radius, rows, limit), radius, "left_anti")
+    return _join(incidents, hotspot_cells(hotspots, radius, rows, limit), radius, "left_anti", crisp_gate(radius))
 
 
 def split_assigned(assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,10 +182,11 @@ def assign_fuzzy(
     limit: int = 20_000,
 ) -> DataFrame:
     """Every pair of an incident and a hot spot it belongs to well enough."""
-    m = membership(_miles(), F.col("hs_sd"), max_miles)
     cells = hotspot_cells(hotspots, max_miles, rows, limit)
-    pairs = _join(incidents, cells, max_miles, "inner", m >= F.lit(conf_threshold))
-    return pairs.withColumns({"miles": _miles(), "membership": m})
+    gate = fuzzy_gate(max_miles, conf_threshold)
+    pairs = _join(incidents, cells, max_miles, "inner", gate)
+    m = membership("miles", "hs_sd", max_miles)
+    return pairs.selectExpr("*", f"{MILES} as miles").selectExpr("*", f"{m} as membership")
 
 
 def unassigned_fuzzy(
@@ -196,9 +197,9 @@ def unassigned_fuzzy(
     rows: int | None = None,
     limit: int = 20_000,
 ) -> DataFrame:
-    m = membership(_miles(), F.col("hs_sd"), max_miles)
     cells = hotspot_cells(hotspots, max_miles, rows, limit)
-    return _join(incidents, cells, max_miles, "left_anti", m >= F.lit(conf_threshold))
+    gate = fuzzy_gate(max_miles, conf_threshold)
+    return _join(incidents, cells, max_miles, "left_anti", gate)
 
 
 def count_updates_fuzzy(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:

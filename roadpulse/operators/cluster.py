@@ -22,6 +22,7 @@ from roadpulse.functions.geo import (
     bearing_compatible,
     explode_reach,
     haversine_miles,
+    number,
     with_cell,
 )
 from roadpulse.operators import in_order
@@ -118,9 +119,10 @@ def _grouped(points: DataFrame, radius: float, keys: list[str], by: list[str]) -
 
 
 def _gate(a: str, b: str, radius: float):
-    c = F.col
-    d = haversine_miles(c(f"{a}.lat"), c(f"{a}.lon"), c(f"{b}.lat"), c(f"{b}.lon"))
-    return bearing_compatible(c(f"{a}.bearing"), c(f"{b}.bearing")) & (d <= F.lit(radius)), d
+    """Condition that two aliased sides can meet, and the miles between them."""
+    d = haversine_miles(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon")
+    way = bearing_compatible(f"{a}.bearing", f"{b}.bearing")
+    return F.expr(f"{way} and {d} <= {number(radius)}"), F.expr(d)
 
 
 def first_later_neighbour(

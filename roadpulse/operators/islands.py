@@ -18,7 +18,7 @@ def island_bands(points: DataFrame, radius: float, keys: list[str]) -> DataFrame
     the number of points.
     """
     bands = (
-        points.withColumn("band", lat_band(F.col("lat"), radius))
+        points.withColumn("band", F.expr(lat_band("lat", radius)))
         .groupBy(*keys, "band")
         .agg(
             F.min("lat").alias("low"),
@@ -43,7 +43,7 @@ def assign_islands(
     """Adds `island_id`, numbered from 0 by latitude on each road."""
     keys = keys or ["road_key"]
     bands = bands if bands is not None else island_bands(points, radius, keys)
-    at = points.withColumn("band", lat_band(F.col("lat"), radius))
+    at = points.withColumn("band", F.expr(lat_band("lat", radius)))
     return at.join(bands.drop("band_rows"), [*keys, "band"]).drop("band")
 
 

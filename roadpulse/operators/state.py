@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.functions.fuzzy import idle_sd, update_sd
+from roadpulse.functions.fuzzy import idle_spread, update_sd
 
 KEY = ["road_key", "lat", "lon"]
 PAYLOAD = ["hs_id", "road", "bearing", "created_interval"]
@@ -36,8 +36,7 @@ def decay_hotspots(state: DataFrame, decay_rate: float, steps: int = 1) -> DataF
 
 def decay_spread(state: DataFrame, decay_rate: float, steps: int = 1) -> DataFrame:
     """Spread and label after `steps` intervals without incidents."""
-    sd, label = idle_sd(F.col("sd"), decay_rate, steps)
-    return state.withColumns({"sd": sd, "density_label": label})
+    return idle_spread(state, decay_rate, steps)
 
 
 def advance_idle(
@@ -91,16 +90,8 @@ def merge_state(rows: DataFrame, fuzzy: bool = False) -> DataFrame:
 
 def update_spread(merged: DataFrame, decay_rate: float, rule_base: str) -> DataFrame:
     """New spread and label from the interval's sums, which start over."""
-    sd, label = update_sd(
-        F.col("sd"), F.col("n_added"), F.col("dist_sum"), decay_rate, rule_base
-    )
-    return merged.withColumns(
-        {
-            "sd": sd,
-            "density_label": label,
-            "n_added": F.lit(0).cast("long"),
-            "dist_sum": F.lit(0.0),
-        }
+    return update_sd(merged, decay_rate, rule_base).withColumns(
+        {"n_added": F.lit(0).cast("long"), "dist_sum": F.lit(0.0)}
     )
 
 

@@ -32,5 +32,5 @@ def replay(
     for t in ids:
         if (done and t <= done.interval_id) or (last_interval is not None and t > last_interval):
             continue
-        runner.run_batch(staged.filter(f"interval_id = {t}"), t)
+        runner.run_batch(staged.filter(f"interval_id = {t}"), t, [t])
     return runner.store

@@ -95,7 +95,7 @@ def keyed_incidents(incidents: DataFrame) -> DataFrame:
             "lat": F.col("lat").cast("double"),
             "lon": F.col("lon").cast("double"),
             "bearing": F.col("bearing").cast("int"),
-            "road_key": road_key(F.col("road")),
+            "road_key": F.expr(road_key("road")),
             "age": F.lit(0),
         }
     )

@@ -38,14 +38,12 @@ class IntervalRunner:
         self.store = RunStore(spark, root, id_type or T.StringType(), self.fuzzy)
         self._newest: Version | None = None
 
-    def run_batch(self, batch: DataFrame, batch_id: int) -> None:
-        spark = self.store.spark
+    def run_batch(self, batch: DataFrame, batch_id: int, seen: list[int] | None = None) -> None:
+        """`seen` names the intervals in the batch where the caller knows them."""
         prior = self._prior(batch_id)
-        seen = {
-            r["interval_id"]: r["count"]
-            for r in batch.groupBy("interval_id").count().collect()
-            if r["interval_id"] is not None
-        }
+        if seen is None:
+            found = batch.select("interval_id").distinct().collect()
+            seen = [r[0] for r in found if r[0] is not None]
         last = prior.interval_id if prior else None
         open_ids = sorted(t for t in seen if last is None or t > last)
         if len(open_ids) < len(seen):
@@ -54,7 +52,7 @@ class IntervalRunner:
             return
         staged = None
         if len(open_ids) > 1:
-            staged = stage_by_interval(batch)
+            staged = stage_by_interval(batch.filter(F.col("interval_id").isNotNull()))
         rows = []
         for t in open_ids:
             part = (staged if staged is not None else batch).filter(F.col("interval_id") == t)
@@ -64,7 +62,7 @@ class IntervalRunner:
         self._newest = prior
 
     def _prior(self, batch_id: int) -> Version | None:
-        if self._newest is not None and self._newest.batch_id == batch_id - 1:
+        if self._newest is not None and self._newest.batch_id < batch_id:
             return self._newest
         return self.store.latest(before=batch_id)
 
