@@ -532,7 +532,7 @@ def build() -> dict[str, str]:
     )
 
     out["fuzzy_density"] = over_state(
-        f"""select hs_id, round({density("tight")}, 6) as tight, round({density("initial")}, 6) as initial
+        f"""select hs_id, round({density("tight")}, 9) as tight, round({density("initial")}, 9) as initial
   from t""",
         ("t", f"select hs_id, {terms('n_added', '(dist_sum / n_added)')} from s where n_added > 0"),
     )

@@ -251,7 +251,7 @@ def greedy_cluster_sums(spark, sf):
 
 
 def greedy_cluster_rounds(spark, sf):
-    got = cluster.cluster_in_rounds(locations(spark, sf), CLUSTER_MILES)
+    got = cluster.cluster_in_rounds(locations(spark, sf), CLUSTER_MILES, max_group_rows=2_000)
     return tidy(got.select("hs_id", "n", "n_added", "dist_sum"))
 
 
@@ -329,7 +329,7 @@ def fuzzy_density(spark, sf):
     s = s.selectExpr("hs_id", "n_added", "dist_sum / n_added as mean_miles")
     tight = fuzzy.with_density(s, "n_added", "mean_miles").withColumnRenamed("density", "tight")
     both = fuzzy.with_density(tight, "n_added", "mean_miles", "initial")
-    return tidy(both.selectExpr("hs_id", "tight", "density as initial"))
+    return both.selectExpr("hs_id", "round(tight, 9) as tight", "round(density, 9) as initial")
 
 
 def update_sd(spark, sf):

@@ -7,8 +7,9 @@ joins that; otherwise it is a centre of its own.
 
 Two exact ways to get there, chosen by checked sizes. Groups of at most
 `max_group_rows` locations go to a grouped function that reads them once in
-order. Bigger ones are worked off in rounds of joins, where each round settles
-every location whose outcome no open earlier location nearby can still change.
+order. Bigger ones are worked off in slices of the order: joins first drop the
+locations of a slice that the centres found so far already cover, and only the
+few that are left go to bounded groups.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from roadpulse.session import cut_lineage
 # Tasks get the helper along with the function, wherever the driver was started.
 cloudpickle.register_pickle_by_value(in_order)
 
-SECTOR = 60  # degrees; two bearings of one sector are always compatible
 OUT = ["hs_id", "road_key", "road", "lat", "lon", "bearing", "n", "n_added", "dist_sum", "lone"]
 
 
@@ -64,7 +64,7 @@ def greedy_cluster(
         return _grouped(assign_islands(points, radius, keys, bands), radius, keys, [*keys, "island_id"])
     placed = assign_islands(points, radius, keys, bands).join(sizes, [*keys, "island_id"])
     big = placed.filter(~small).drop("island_id", "island_rows")
-    out = cluster_in_rounds(big, radius, keys=keys)
+    out = cluster_in_rounds(big, radius, max_group_rows, keys)
     if counts["s"]:
         little = placed.filter(small)
         out = out.unionByName(_grouped(little, radius, keys, [*keys, "island_id"]))
@@ -99,7 +99,7 @@ def _grouped(points: DataFrame, radius: float, keys: list[str], by: list[str]) -
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", ignore_index=True)
-        target, miles = in_order.settle(
+        target, miles, _ = in_order.settle(
             pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), pdf["bearing"].to_numpy(), radius
         )
         got = pd.DataFrame({"t": target, "n": pdf["n"], "m": miles}).groupby("t")
@@ -118,11 +118,18 @@ def _grouped(points: DataFrame, radius: float, keys: list[str], by: list[str]) -
 # --- groups of any size -------------------------------------------------------
 
 
-def _gate(a: str, b: str, radius: float):
-    """Condition that two aliased sides can meet, and the miles between them."""
-    d = haversine_miles(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon")
+def _miles(a: str, b: str) -> str:
+    return haversine_miles(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon")
+
+
+def _near(a: str, b: str, radius: float) -> str:
+    """Condition that rows of two aliased sides can meet."""
     way = bearing_compatible(f"{a}.bearing", f"{b}.bearing")
-    return F.expr(f"{way} and {d} <= {number(radius)}"), F.expr(d)
+    return f"{way} and {_miles(a, b)} <= {number(radius)}"
+
+
+def _same(a: str, b: str, cols: list[str]) -> str:
+    return " and ".join(f"{a}.{c} = {b}.{c}" for c in cols)
 
 
 def first_later_neighbour(
@@ -131,154 +138,177 @@ def first_later_neighbour(
     """For every probe the next point after it within the radius, or nulls.
     The partial aggregate keeps one candidate per probe and task."""
     cells = [*keys, "cell_y", "cell_x"]
-    near, miles = _gate("p", "q", radius)
-    side = ship(explode_reach(probes.select(*keys, "seq", "lat", "lon", "bearing"), radius), rows, 20_000)
-    pairs = side.alias("p").join(
-        with_cell(points, radius).alias("q"),
-        [F.col(f"p.{k}") == F.col(f"q.{k}") for k in cells]
-        + [F.col("q.seq") > F.col("p.seq"), near],
-    )
-    nxt = F.struct(
-        F.col("q.seq").alias("seq"),
-        F.col("q.lat").alias("lat"),
-        F.col("q.lon").alias("lon"),
-        F.col("q.bearing").alias("bearing"),
-        miles.alias("miles"),
+    reach = explode_reach(probes.select(*keys, "seq", "lat", "lon", "bearing"), radius)
+    later = f"{_same('p', 'q', cells)} and q.seq > p.seq and {_near('p', 'q', radius)}"
+    pairs = ship(reach, rows, 20_000).alias("p").join(
+        with_cell(points, radius).alias("q"), F.expr(later)
     )
+    nxt = F.expr(f"struct(q.seq, q.lat, q.lon, q.bearing, {_miles('p', 'q')} as miles)")
     best = pairs.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.seq").alias("seq")).agg(
         F.min(nxt).alias("next")
     )
     return probes.join(best, [*keys, "seq"], "left")
 
 
-def cell_heads(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """The first location of every (cell, sector): at most one row each, folded
-    on the map side."""
-    at = with_cell(points, radius).withColumn(
-        "sector", F.floor(F.pmod(F.col("bearing"), F.lit(360)) / F.lit(SECTOR)).cast("int")
-    )
-    by = at.groupBy(*keys, "cell_y", "cell_x", "sector")
-    head = by.agg(F.min(F.struct("seq", "lat", "lon", "bearing")).alias("_h"))
-    return head.select(*keys, "cell_y", "cell_x", "sector", "_h.*")
-
-
-def _settleable(heads: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """Heads with no earlier head in any cell and sector within twice the
-    radius: only through such a head could their outcome still change."""
-    cells = [*keys, "cell_y", "cell_x"]
-    wide = explode_reach(heads.select(*keys, "seq", "lat", "lon", "bearing", "sector"), radius, rings=2)
-    gap = F.abs(F.col("w.sector") - F.col("o.sector"))
-    blocked = (
-        wide.alias("w")
-        .join(
-            heads.alias("o"),
-            [F.col(f"w.{k}") == F.col(f"o.{k}") for k in cells]
-            + [F.col("o.seq") < F.col("w.seq"), F.least(gap, 6 - gap) <= 2],
-            "left_semi",
-        )
-        .select(*keys, "seq")
-        .distinct()
-    )
-    return heads.join(blocked, [*keys, "seq"], "left_anti").select(
-        *keys, "seq", "lat", "lon", "bearing"
-    )
-
-
 def cluster_in_rounds(
-    points: DataFrame, radius: float, keys: list[str] | None = None
+    points: DataFrame,
+    radius: float,
+    max_group_rows: int = 20_000,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """The same centres as the in-order pass, from joins alone.
-
-    Open: locations no known centre covers. A round takes the first open
-    location of every cell, keeps those that nothing earlier can still affect,
-    looks up the next neighbour of each over all locations, makes those
-    neighbours centres, and drops what the new centres cover. What is open
-    shrinks fast since one centre covers a whole neighbourhood. At the end
-    every other location takes the earliest centre before it.
+    """The same centres for groups of any size.
+
+    The order is cut into slices that double in size. A location of a slice
+    still matters for what becomes a centre only if no known centre before it
+    lies within the radius, or if it is the first that such a one, or one that
+    waits for its next neighbour, would call on. Those few form groups that
+    cannot meet (islands of their own) and are settled in order; the rest take
+    the earliest centre before them at the end, in one join. A slice that leaves too many in one group is halved. So every
+    location is joined about once, and no task gets more than the bound.
     """
     keys = keys or ["road_key"]
-    cells = [*keys, "cell_y", "cell_x"]
     points = cut_lineage(points)
-    open_rows = points.select(*keys, "seq", "lat", "lon", "bearing")
-    settled = None
-    while True:
-        ready = _settleable(cell_heads(open_rows, radius, keys), radius, keys)
-        step = cut_lineage(first_later_neighbour(ready, points, radius, keys))
-        rows = step.count()
-        if rows == 0:
-            break
-        settled = step if settled is None else settled.unionByName(step)
-        centres = step.filter("next is not null").select(*keys, "next.seq", "next.lat", "next.lon", "next.bearing")
-        gone = explode_reach(
-            centres.distinct().withColumn("covers", F.lit(True)).unionByName(
-                step.select(*keys, "seq", "lat", "lon", "bearing").withColumn("covers", F.lit(False))
-            ),
+    todo = _cuts(points, max_group_rows)
+    found: list[DataFrame] = []
+    waiting: DataFrame | None = None
+    low = None
+    while todo:
+        high = todo.pop(0)
+        part = points
+        if low is not None and high is not None and high <= low:
+            continue
+        if low is not None:
+            part = part.filter(F.col("seq") > F.lit(low))
+        if high is not None:
+            part = part.filter(F.col("seq") <= F.lit(high))
+        active = cut_lineage(_active(part, found, waiting, radius, keys))
+        grouped, middle = _groups(active, low, radius, keys, max_group_rows)
+        if middle is not None:
+            todo[:0] = [middle, high]
+            continue
+        out = cut_lineage(_settle_slice(grouped, radius, keys))
+        found.append(out.filter("role <> 'waiting'"))
+        waiting = out.filter("role = 'waiting'")
+        low = high
+    return _gather(points, found, waiting, radius, keys)
+
+
+def _cuts(points: DataFrame, first: int) -> list:
+    """Upper ends of the slices, the last one open. They come from a sample and
+    steer only how much work a slice holds."""
+    n = points.count()
+    if n <= first:
+        return [None]
+    some = points.select("seq").sample(min(1.0, 20_000 / n), seed=7).collect()
+    some = sorted(r[0] for r in some)
+    cuts, share = [], first / n
+    while share < 1.0 and some:
+        at = some[min(int(share * len(some)), len(some) - 1)]
+        if not cuts or at > cuts[-1]:
+            cuts.append(at)
+        share = share * 2 + first / n
+    return [*cuts, None]
+
+
+def _active(part, found, waiting, radius, keys):
+    """Locations of a slice that can still shape the outcome, with those that
+    wait from before: the ones no known centre covers, and of the covered ones
+    the first that any of these, or any waiting one, would call on."""
+    cells = [*keys, "cell_y", "cell_x"]
+    cols = [*keys, "seq", "lat", "lon", "bearing"]
+    part = part.select(*cols)
+    if not found:
+        return part.withColumn("covered", F.lit(False))
+    at = with_cell(part, radius).alias("o")
+    centres = explode_reach(_centres(found).select(*cols), radius).alias("a")
+    earlier = F.expr(f"{_same('a', 'o', cells)} and a.seq < o.seq and {_near('a', 'o', radius)}")
+    free = cut_lineage(at.join(centres, earlier, "left_anti").select(*cols))
+    covered = at.join(centres, earlier, "left_semi").select(*cols)
+    callers = free.unionByName(waiting.select(*cols))
+    called = first_later_neighbour(callers, covered, radius, keys).filter("next is not null")
+    called = called.select(*keys, "next.seq", "next.lat", "next.lon", "next.bearing").distinct()
+    return callers.withColumn("covered", F.lit(False)).unionByName(
+        called.withColumn("covered", F.lit(True))
+    )
+
+
+def _groups(active, low, radius, keys, max_group_rows):
+    """Active locations grouped so that groups cannot meet. If the slice puts
+    too many in one, the middle of the slice instead, to cut it there. Waiting
+    locations lie more than the radius apart, so what they add to a group is
+    bounded by its area."""
+    if active.count() <= max_group_rows:
+        return active, None
+    bands = island_bands(active, radius, keys).persist()
+    largest = island_sizes(bands, keys).agg(F.max("island_rows")).first()[0]
+    if largest > max_group_rows:
+        fresh = active if low is None else active.filter(F.col("seq") > F.lit(low))
+        rows = fresh.count()
+        if rows > max_group_rows:
+            some = fresh.select("seq").sample(min(1.0, 20_000 / rows), seed=7).collect()
+            some = sorted(r[0] for r in some)
+            if some and some[0] < some[-1]:
+                bands.unpersist()
+                return None, some[(len(some) - 1) // 2]
+    return assign_islands(active, radius, keys, bands), None
+
+
+def _settle_slice(grouped, radius, keys):
+    by = [*keys, "island_id"] if "island_id" in grouped.columns else keys
+    kinds = dict(grouped.dtypes)
+    schema = ", ".join(
+        [f"{k} {kinds[k]}" for k in [*keys, "seq", "lat", "lon", "bearing"]]
+        + ["role string", f"to {kinds['seq']}", "miles double"]
+    )
+    names = [*keys, "seq", "lat", "lon", "bearing", "role", "to", "miles"]
+
+    def roles(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", ignore_index=True)
+        target, miles, centre = in_order.settle(
+            pdf["lat"].to_numpy(),
+            pdf["lon"].to_numpy(),
+            pdf["bearing"].to_numpy(),
             radius,
+            pdf["covered"].to_numpy(),
         )
-        near, _ = _gate("g", "o", radius)
-        same = F.col("g.seq") == F.col("o.seq")
-        hit = same | (F.col("g.covers") & (F.col("g.seq") < F.col("o.seq")) & near)
-        open_rows = cut_lineage(
-            with_cell(open_rows, radius)
-            .alias("o")
-            .join(
-                ship(gone, 2 * rows, 20_000).alias("g"),
-                [F.col(f"g.{k}") == F.col(f"o.{k}") for k in cells] + [hit],
-                "left_anti",
-            )
-            .select(*keys, "seq", "lat", "lon", "bearing")
-        )
-    if settled is None:
-        return _gather(points, None, radius, keys)
-    return _gather(points, settled, radius, keys)
+        out = pdf.assign(to=pdf["seq"].to_numpy()[target], miles=miles, role="settled")
+        out.loc[target == out.index, "role"] = "waiting"
+        out.loc[centre, "role"] = "centre"
+        return out.loc[target >= 0, names]
+
+    return grouped.groupBy(*by).applyInPandas(roles, schema)
 
 
-def _gather(points: DataFrame, settled: DataFrame | None, radius: float, keys: list[str]):
-    """Adds every location to its centre."""
+def _centres(found: list[DataFrame]) -> DataFrame:
+    every = found[0]
+    for df in found[1:]:
+        every = every.unionByName(df)
+    return every.filter("role = 'centre'")
+
+
+def _gather(points, found, waiting, radius, keys):
+    """Adds every location to its centre. Locations that still wait have no
+    neighbour left and are centres of their own."""
     extra = [k for k in keys if k != "road_key"]
-    if settled is None:  # no rows at all
-        out = points.select(
-            F.col("seq").alias("hs_id"), "road_key", "road", "lat", "lon", "bearing", "n", *extra
-        )
-        return out.select(
-            *OUT[:7],
-            F.lit(1).cast("long").alias("n_added"),
-            F.lit(0.0).alias("dist_sum"),
-            F.lit(True).alias("lone"),
-            *extra,
-        )
     cells = [*keys, "cell_y", "cell_x"]
-    settled = settled.select(*keys, "seq", "lat", "lon", "bearing", "next")
-    picked = settled.filter("next is not null").select(
-        *keys, F.col("next.seq").alias("seq"), F.col("next.lat").alias("lat"),
-        F.col("next.lon").alias("lon"), F.col("next.bearing").alias("bearing"),
-    ).distinct()
-    lone = settled.filter("next is null").select(*keys, "seq", "lat", "lon", "bearing")
-    centres = picked.unionByName(lone)
-    movers = settled.filter("next is not null").select(
-        *keys, "seq", F.col("next.seq").alias("to"), F.col("next.miles").alias("miles")
-    )
-    fixed = movers.unionByName(centres.select(*keys, "seq", F.col("seq").alias("to"), F.lit(0.0).alias("miles")))
+    cols = [*keys, "seq", "to", "miles"]
+    fixed = waiting.select(*cols)
+    for df in found:
+        fixed = fixed.unionByName(df.select(*cols))
+    centres = _centres(found).select(*keys, "seq", "lat", "lon", "bearing")
     rest = points.join(fixed, [*keys, "seq"], "left_anti")
-    near, miles = _gate("c", "o", radius)
-    found = (
+    near = f"{_same('c', 'o', cells)} and c.seq < o.seq and {_near('c', 'o', radius)}"
+    taken = (
         with_cell(rest, radius)
         .alias("o")
-        .join(
-            explode_reach(picked, radius).alias("c"),
-            [F.col(f"c.{k}") == F.col(f"o.{k}") for k in cells]
-            + [F.col("c.seq") < F.col("o.seq"), near],
-        )
+        .join(explode_reach(centres, radius).alias("c"), F.expr(near))
         .groupBy(*[F.col(f"o.{k}").alias(k) for k in keys], F.col("o.seq").alias("seq"))
-        .agg(
-            F.min(F.struct(F.col("c.seq").alias("to"), miles.alias("miles"))).alias("_b")
-        )
+        .agg(F.expr(f"min(struct(c.seq as to, {_miles('c', 'o')} as miles))").alias("_b"))
         .select(*keys, "seq", "_b.to", "_b.miles")
     )
-    moves = fixed.unionByName(found)
     sums = (
         points.select(*keys, "seq", "n")
-        .join(moves, [*keys, "seq"])
+        .join(fixed.unionByName(taken), [*keys, "seq"])
         .groupBy(*keys, "to")
         .agg(
             F.sum("n").cast("long").alias("n"),
@@ -328,7 +358,6 @@ def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> Dat
     within the radius of one another, so the edges below stay few per row."""
     keys = ["road_key"]
     cells = [*keys, "cell_y", "cell_x"]
-    near, _ = _gate("p", "s", radius)
     lone = first.filter("lone").select("road_key", F.col("hs_id").alias("seq"), "bucket_id", "lat", "lon", "bearing", "n")
     side = explode_reach(
         first.select("road_key", F.col("hs_id").alias("seq"), "bucket_id", "lat", "lon", "bearing", "lone"), radius
@@ -338,8 +367,10 @@ def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> Dat
         .alias("p")
         .join(
             side.alias("s"),
-            [F.col(f"p.{k}") == F.col(f"s.{k}") for k in cells]
-            + [F.col("s.bucket_id") < F.col("p.bucket_id"), near],
+            F.expr(
+                f"{_same('p', 's', cells)} and s.bucket_id < p.bucket_id"
+                f" and {_near('p', 's', radius)}"
+            ),
         )
         .select(
             F.col("p.road_key").alias("road_key"),

@@ -9,19 +9,24 @@ EARTH_MILES = 6372.8 / 1.609344  # fixed value
 BEARING_LIMIT = 60  # fixed value
 
 
-def settle(lat, lon, bearing, radius):
-    """Index of the centre each location ends at, and the miles to it. The
-    locations come in order; only centres and locations still waiting for a
-    later neighbour are compared with, kept in bands of latitude."""
+def settle(lat, lon, bearing, radius, covered=None):
+    """Where each location goes, the miles there, and whether it is a centre.
+
+    The locations come in order. Only centres and locations still waiting for a
+    later neighbour are compared with, kept in bands of latitude. A location
+    that ends waiting goes to itself. A `covered` one has an earlier centre
+    outside the group: it can only be called on by one that waits, and goes
+    nowhere (-1) otherwise.
+    """
     phi, lam = np.radians(lat), np.radians(lon)
     cos_phi = np.cos(phi)
     bands = np.floor((lat + 90.0) / (math.degrees(radius / EARTH_MILES) * (1 + 1e-9))).astype(int)
     n = len(lat)
-    target, miles = np.arange(n), np.zeros(n)
+    target, miles, centre = np.arange(n), np.zeros(n), np.zeros(n, dtype=bool)
     centres: dict[int, list[int]] = {}
     waiting: dict[int, list[int]] = {}
 
-    def near(i: int, pool: dict[int, list[int]]):
+    def near(i, pool):
         found = []
         for b in (bands[i] - 1, bands[i], bands[i] + 1):
             found += pool.get(b, ())
@@ -38,18 +43,21 @@ def settle(lat, lon, bearing, radius):
         return j[hit], d[hit]
 
     for i in range(n):
-        here = bands[i]
         callers, away = near(i, waiting)
         if len(callers):  # the first later neighbour of each of these
             target[callers], miles[callers] = i, away
             for k in callers:
                 waiting[bands[k]].remove(k)
-            centres.setdefault(here, []).append(i)
+            centres.setdefault(bands[i], []).append(i)
+            centre[i] = True
+            continue
+        if covered is not None and covered[i]:
+            target[i] = -1
             continue
         known, away = near(i, centres)
         if len(known):
             first = int(np.argmin(known))
             target[i], miles[i] = known[first], away[first]
         else:
-            bisect.insort(waiting.setdefault(here, []), i)
-    return target, miles
+            bisect.insort(waiting.setdefault(bands[i], []), i)
+    return target, miles, centre

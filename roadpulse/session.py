@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "roadpulse", master: str | None = None, **conf) -> SparkSession:
@@ -49,8 +49,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Write the rows out and read them back, so that a lost executor costs one
-    re-read and the plan does not grow with the number of rounds."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back: computed once,
+    no plan behind them, and a lost executor costs a re-read."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
