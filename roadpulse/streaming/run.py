@@ -171,7 +171,16 @@ def run_stream(
     """
     id_type = incidents.schema["incident_id"].dataType
     runner = IntervalRunner(incidents.sparkSession, root, params, id_type, quantiles)
-    writer = incidents.writeStream.foreachBatch(runner.run_batch)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        """A step reads its batch more than once; the files are parsed once."""
+        batch.persist()
+        try:
+            runner.run_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = incidents.writeStream.foreachBatch(on_batch)
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
