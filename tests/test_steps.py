@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from roadpulse.functions.fuzzy import LEVELS, RULES
@@ -101,7 +103,9 @@ def test_stream_restart_equals_replay(spark, tmp_path):
 
     def put(t):
         lines = [f"{x['id']},{x['lat']},{x['lon']},{x['bearing']},x,{x['road']}" for x in items if x["t"] == t]
-        (feed / f"inc_{t}.csv").write_text("\n".join(lines) + "\n")
+        path = feed / f"inc_{t}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_700_000_000 + t, 1_700_000_000 + t))  # files are taken by age
 
     def go():
         s = src.good_rows(src.stream_incident_csv(spark, str(feed)))
