@@ -421,6 +421,7 @@ def build() -> dict[str, str]:
     out["assign_nearest"] = assigned(
         "select incident_id, hs_id, round(m, 6) as miles from k_as"
     )
+    out["assign_nearest_join"] = out["assign_nearest"]
     out["assign_first"] = assigned(
         "select incident_id, hs_id, round(m, 6) as miles from k_as", 5.0, "hs_id"
     )

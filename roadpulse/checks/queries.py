@@ -147,7 +147,16 @@ def candidate_pairs(spark, sf):
 
 
 def _assigned(spark, sf, pick="nearest", radius=STEP_CRISP.radius_miles):
-    return assign.assign_crisp(keyed(spark, sf), inputs.hotspots(spark, sf), radius, pick)
+    hs = cut_lineage(inputs.hotspots(spark, sf))
+    return assign.assign_crisp(keyed(spark, sf), hs, radius, pick, rows=hs.count())
+
+
+def assign_nearest_join(spark, sf):
+    """The way for more hot spots than may be broadcast."""
+    got = assign.assign_crisp(
+        keyed(spark, sf), inputs.hotspots(spark, sf), STEP_CRISP.radius_miles, rows=None
+    )
+    return tidy(got.select("incident_id", "hs_id", "miles"))
 
 
 def assign_nearest(spark, sf):
@@ -480,7 +489,7 @@ QUERIES = {
     for f in [
         parse_incident_lines, read_incident_csv, keyed_incidents, assign_interval,
         read_hotspot_history, bearing_pairs, haversine_pairs, gated_pairs, candidate_pairs,
-        assign_nearest, assign_first, unassigned_incidents, split_assigned, count_updates,
+        assign_nearest, assign_nearest_join, assign_first, unassigned_incidents, split_assigned, count_updates,
         new_locations, fuzzy_membership, assign_fuzzy, unassigned_fuzzy, count_updates_fuzzy,
         seed_sample, seed_remainder, first_neighbour, greedy_cluster, greedy_cluster_sums,
         greedy_cluster_rounds, greedy_cluster_bucketed, all_updates, weight_updates,

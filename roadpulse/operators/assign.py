@@ -102,9 +102,14 @@ def road_pairs(
 def best_match(pick: str) -> str:
     """One hot spot per group of pairs: nearest, ties to the lowest id; or the
     lowest id. Null where the group has no match."""
-    miles = f"{MILES} as miles"
-    key = f"hs_id, {miles}" if pick == "first" else f"{miles}, hs_id"
-    return f"min(case when hs_id is not null then struct({key}, hs_lat, hs_lon) end)"
+    return f"min(case when hs_id is not null then {_ranked(pick, MILES, '')} end)"
+
+
+def _ranked(pick: str, miles: str, of: str) -> str:
+    keys = [f"{miles} as miles", f"{of}hs_id as hs_id"]
+    if pick == "first":
+        keys.reverse()
+    return f"struct({', '.join(keys)}, {of}hs_lat as hs_lat, {of}hs_lon as hs_lon)"
 
 
 def assign_crisp(
@@ -118,15 +123,36 @@ def assign_crisp(
 ) -> DataFrame:
     """All incidents, each with the one hot spot it counts for (`hs_id`,
     `miles` and the hot spot's place), or nulls. `keys` identify a row (the
-    incident id by default)."""
+    incident id by default).
+
+    With no more hot spots than the bound, each cell's go out as one array and
+    every incident picks from its own: no incident is moved or sorted. Beyond
+    it the pairs of a join are reduced per row, first within each task.
+    """
+    found = ("hs_id", "miles", "hs_lat", "hs_lon")
+    if rows is not None and rows <= limit:
+        best = _pick_in_place(incidents, hotspots, radius, pick)
+        return best.select(*incidents.columns, *[F.col(f"_best.{c}").alias(c) for c in found])
     keys = keys or ["incident_id"]
     rest = [c for c in incidents.columns if c not in keys]
-    pairs = _join(incidents, hotspot_cells(hotspots, radius, rows, limit), radius, "left", crisp_gate(radius))
+    cells = hotspot_cells(hotspots, radius, rows, limit)
+    pairs = _join(incidents, cells, radius, "left", crisp_gate(radius))
     best = pairs.groupBy(*keys).agg(
         F.expr(best_match(pick)).alias("_best"), *[F.any_value(c).alias(c) for c in rest]
     )
-    found = [F.col(f"_best.{c}").alias(c) for c in ("hs_id", "miles", "hs_lat", "hs_lon")]
-    return best.select(*incidents.columns, *found)
+    return best.select(*incidents.columns, *[F.col(f"_best.{c}").alias(c) for c in found])
+
+
+def _pick_in_place(incidents: DataFrame, hotspots: DataFrame, radius: float, pick: str):
+    cells = hotspot_cells(hotspots, radius)
+    one = F.struct("hs_id", "hs_lat", "hs_lon", "hs_bearing")
+    packed = F.broadcast(cells.groupBy(*CELL).agg(F.collect_list(one).alias("_near")))
+    way = bearing_compatible("bearing", "h.hs_bearing")
+    row = _ranked(pick, haversine_miles("lat", "lon", "h.hs_lat", "h.hs_lon"), "h.")
+    ranked = f"transform(filter(_near, h -> {way}), h -> {row})"
+    best = f"array_min(filter({ranked}, x -> x.miles <= {number(radius)})) as _best"
+    joined = with_cell(incidents, radius).join(packed, CELL, "left")
+    return joined.selectExpr(*incidents.columns, best)
 
 
 def positions(incidents: DataFrame) -> DataFrame:
@@ -136,6 +162,28 @@ def positions(incidents: DataFrame) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
 
 
+def tally(matched: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """Everything stage 1 hands on, in one aggregate: sums per hot spot place
+    (`is_new` false) and, for rows without a match, per place, spelling and
+    bearing. Both fold on the map side."""
+    new = F.col("hs_id").isNull()
+    n = F.col("n") if "n" in matched.columns else F.lit(1)
+    own = {c: F.when(new, F.col(c)).alias(c) for c in ("road", "bearing")}
+    sums = [F.sum(n).cast("long").alias("n"), F.min(F.when(new, F.col("seq"))).alias("seq")]
+    if fuzzy:
+        sums += [
+            F.sum(F.col("membership") * n).alias("fit"),
+            F.sum(F.col("miles") * n).alias("dist_sum"),
+        ]
+    return matched.groupBy(
+        "road_key",
+        F.coalesce("hs_lat", "lat").alias("lat"),
+        F.coalesce("hs_lon", "lon").alias("lon"),
+        new.alias("is_new"),
+        *own.values(),
+    ).agg(*sums)
+
+
 def unassigned_incidents(
     incidents: DataFrame,
     hotspots: DataFrame,
@@ -152,14 +200,11 @@ def split_assigned(assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return assigned.filter(taken), assigned.filter(~taken)
 
 
-PLACE = ["road_key", "hs_lat", "hs_lon"]
-
-
-def count_updates(assigned: DataFrame, by: list[str] | None = None) -> DataFrame:
+def count_updates(assigned: DataFrame) -> DataFrame:
     """Incidents per hot spot."""
     n = F.sum("n") if "n" in assigned.columns else F.count(F.lit(1))
     taken = assigned.filter(F.col("hs_id").isNotNull())
-    return taken.groupBy(*(by or ["hs_id"])).agg(n.cast("long").alias("n"))
+    return taken.groupBy("hs_id").agg(n.cast("long").alias("n"))
 
 
 def new_locations(unmatched: DataFrame) -> DataFrame:
@@ -202,10 +247,28 @@ def unassigned_fuzzy(
     return _join(incidents, cells, max_miles, "left_anti", gate)
 
 
-def count_updates_fuzzy(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def match_fuzzy(
+    incidents: DataFrame,
+    hotspots: DataFrame,
+    max_miles: float,
+    conf_threshold: float,
+    rows: int | None = None,
+    limit: int = 20_000,
+) -> DataFrame:
+    """The pairs of `assign_fuzzy` and, with nulls, the incidents that have
+    none: an incident meets all its candidates in its one cell, so the outer
+    join tells both in one pass."""
+    cells = hotspot_cells(hotspots, max_miles, rows, limit)
+    gate = fuzzy_gate(max_miles, conf_threshold)
+    pairs = _join(incidents, cells, max_miles, "left", gate)
+    m = membership("miles", "hs_sd", max_miles)
+    return pairs.selectExpr("*", f"{MILES} as miles").selectExpr("*", f"{m} as membership")
+
+
+def count_updates_fuzzy(pairs: DataFrame) -> DataFrame:
     """Sums of membership, incidents and miles per hot spot."""
     n = F.col("n") if "n" in pairs.columns else F.lit(1)
-    return pairs.groupBy(*(by or ["hs_id"])).agg(
+    return pairs.groupBy("hs_id").agg(
         F.sum(F.col("membership") * n).alias("fit"),
         F.sum(n).cast("long").alias("n_added"),
         F.sum(F.col("miles") * n).alias("dist_sum"),

@@ -80,32 +80,28 @@ def interval_step(
         known, rows = state, n_state
 
     ship = {"rows": rows, "limit": params.broadcast_rows}
-    places = assign.positions(incidents)
+    if rows > params.broadcast_rows:
+        # The incidents must move to meet the hot spots: fold copies first.
+        incidents = assign.positions(incidents)
     if fuzzy:
-        places = keep(places)
-        n_rest = places.agg(F.sum("n")).first()[0] or 0
-        reach = (params.radius_miles, params.conf_threshold)
-        pairs = assign.assign_fuzzy(places, known, *reach, **ship)
-        updates = assign.count_updates_fuzzy(pairs, assign.PLACE)
-        unmatched = keep(assign.unassigned_fuzzy(places, known, *reach, **ship))
-        open_places = unmatched.count()
+        n_rest = incidents.agg(F.sum("n") if "n" in incidents.columns else F.count("*")).first()[0]
+        matched = assign.match_fuzzy(
+            incidents, known, params.radius_miles, params.conf_threshold, **ship
+        )
     else:
-        matched = keep(
-            assign.assign_crisp(
-                places,
-                known,
-                params.radius_miles,
-                params.pick,
-                keys=["road", *assign.POSITION],
-                **ship,
-            )
+        matched = assign.assign_crisp(
+            incidents,
+            known,
+            params.radius_miles,
+            params.pick,
+            keys=["road", *assign.POSITION] if "n" in incidents.columns else None,
+            **ship,
         )
-        updates = assign.count_updates(matched, assign.PLACE)
-        unmatched = matched.filter(F.col("hs_id").isNull())
-        counts = matched.agg(
-            F.sum("n").alias("n"), F.count_if(F.col("hs_id").isNull()).alias("open")
-        ).first()
-        n_rest, open_places = counts["n"] or 0, counts["open"]
+    counted = keep(assign.tally(matched, fuzzy))
+    found = counted.agg(F.sum("n").alias("n"), F.count_if("is_new").alias("open")).first()
+    open_places = found["open"]
+    n_rest = (n_rest if fuzzy else found["n"]) or 0
+    updates, unmatched = counted.filter("not is_new"), counted.filter("is_new")
     timings["match_seconds"] = time.monotonic() - started
 
     started = time.monotonic()
@@ -154,18 +150,16 @@ def _cluster(locations: DataFrame, params: CrispParams, rows: int | None) -> Dat
 
 
 def _updates(updates: DataFrame, params: CrispParams, fuzzy: bool) -> DataFrame:
-    count = "fit" if fuzzy else "n"
-    out = st.weight_updates(updates, params.incident_weight, count)
-    n = F.col("n_added") if fuzzy else F.col("n")
-    sums = ["n_added", "dist_sum"] if fuzzy else []
+    out = st.weight_updates(updates, params.incident_weight, "fit" if fuzzy else "n")
+    sums = [F.col("n").alias("n_added"), F.col("dist_sum")] if fuzzy else []
     return out.select(
         "road_key",
-        F.col("hs_lat").alias("lat"),
-        F.col("hs_lon").alias("lon"),
+        "lat",
+        "lon",
         "fitness",
         "age",
-        n.alias("n_assigned"),
-        F.lit(False).alias("is_new"),
+        F.col("n").alias("n_assigned"),
+        "is_new",
         *sums,
     )
 
