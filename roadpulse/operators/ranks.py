@@ -40,7 +40,6 @@ def rank_quantiles(
         low = sketch["lo"] if cuts[2 * i] == 0.0 else sketch["q"][2 * i]
         high = sketch["hi"] if cuts[2 * i + 1] == 1.0 else sketch["q"][2 * i + 1]
         brackets.append((float(p), low, high, min(int(p * n), n - 1)))
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     inside = F.array_compact(
         F.array(
             *[
@@ -57,11 +56,11 @@ def rank_quantiles(
         )
     )
     # Rows below a bracket fold to one (`at` null, sorted first), those inside
-    # keep their value.
+    # keep their value. Both fold on the map side, so little is shuffled.
     folded = (
-        counted.select(F.explode(inside).alias("b"), "c")
+        values.select(F.explode(inside).alias("b"))
         .groupBy("b.p", "b.rank", "b.at")
-        .agg(F.sum("c").alias("c"))
+        .agg(F.count(F.lit(1)).alias("c"))
     )
     w = (
         Window.partitionBy("p")

@@ -26,8 +26,7 @@ def replay(
     spark = incidents.sparkSession
     id_type = incidents.schema["incident_id"].dataType
     runner = IntervalRunner(spark, root, params, id_type, quantiles)
-    staged = stage_by_interval(incidents)
-    ids = sorted(r[0] for r in staged.select("interval_id").distinct().collect())
+    staged, ids = stage_by_interval(incidents)
     done = runner.store.latest()
     for t in ids:
         if (done and t <= done.interval_id) or (last_interval is not None and t > last_interval):

@@ -15,7 +15,7 @@ from roadpulse.operators.state import advance_idle
 from roadpulse.params import CrispParams, FuzzyParams
 from roadpulse.plans.step import interval_step, state_of
 from roadpulse.session import scratch_path
-from roadpulse.streaming.store import RunStore, Version
+from roadpulse.streaming.store import RunStore, Version, partition_values
 
 SMALL_STATE = 100_000  # rows up to which ranks are read off one sorted array
 
@@ -52,7 +52,7 @@ class IntervalRunner:
             return
         staged = None
         if len(open_ids) > 1:
-            staged = stage_by_interval(batch.filter(F.col("interval_id").isNotNull()))
+            staged, _ = stage_by_interval(batch)
         rows = []
         for t in open_ids:
             part = (staged if staged is not None else batch).filter(F.col("interval_id") == t)
@@ -141,17 +141,18 @@ def _sorted_ranks(column: str):
     )
 
 
-def stage_by_interval(incidents: DataFrame) -> DataFrame:
+def stage_by_interval(incidents: DataFrame) -> tuple[DataFrame, list[int]]:
     """Incidents in one folder per interval, so that every step reads its own
-    interval only. Rebalancing splits intervals that hold many rows over
-    several files and tasks."""
+    interval only, and the intervals there are. Rebalancing splits intervals
+    that hold many rows over several files and tasks."""
     spark = incidents.sparkSession
     path = scratch_path(spark, "intervals")
-    rows = incidents.hint("rebalance", "interval_id")
+    rows = incidents.filter(F.col("interval_id").isNotNull()).hint("rebalance", "interval_id")
     rows.write.partitionBy("interval_id").parquet(path)
     kept = [f for f in incidents.schema if f.name != "interval_id"]
     schema = T.StructType(kept + [T.StructField("interval_id", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
+    return staged, partition_values(spark, path, "interval_id")
 
 
 def run_stream(

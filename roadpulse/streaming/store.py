@@ -34,6 +34,25 @@ class Version:
     n_state: int
 
 
+def partition_values(
+    spark: SparkSession, path: str, column: str, finished: bool = False
+) -> list[int]:
+    """Sorted numbers in the folder names `<column>=<number>`, without opening
+    a file; with `finished` only of folders whose write was completed."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    out = []
+    for entry in fs.listStatus(top):
+        name, _, value = entry.getPath().getName().partition("=")
+        marker = jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if name == column and value.isdigit() and (not finished or fs.exists(marker)):
+            out.append(int(value))
+    return sorted(out)
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, root: str, id_type: T.DataType, fuzzy: bool):
         self.spark = spark
@@ -49,19 +68,8 @@ class RunStore:
         )
 
     def _committed(self) -> list[int]:
-        """Ids of finished batches, from the folder names alone."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/metrics")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = []
-        for entry in fs.listStatus(path):
-            name = entry.getPath().getName()
-            marker = jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-            if name.startswith("batch_id=") and fs.exists(marker):
-                done.append(int(name.split("=")[1]))
-        return sorted(done)
+        """Ids of finished batches."""
+        return partition_values(self.spark, f"{self.root}/metrics", "batch_id", finished=True)
 
     def latest(self, before: int | None = None) -> Version | None:
         """The newest finished version, of batches below `before` if given."""
