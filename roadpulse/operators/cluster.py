@@ -181,14 +181,22 @@ def cluster_in_rounds(
             part = part.filter(F.col("seq") > F.lit(low))
         if high is not None:
             part = part.filter(F.col("seq") <= F.lit(high))
-        active = cut_lineage(_active(part, found, waiting, radius, keys))
-        grouped, middle = _groups(active, low, radius, keys, max_group_rows)
+        fresh = cut_lineage(_fresh(part, found, waiting, radius, keys))
+        middle = _too_many(fresh, radius, keys, max_group_rows)
         if middle is not None:
             todo[:0] = [middle, high]
             continue
-        out = cut_lineage(_settle_slice(grouped, radius, keys))
+        active, idle = fresh, None
+        if waiting is not None:
+            called_on, idle = _split_waiting(waiting, fresh, radius, keys)
+            active = cut_lineage(fresh.unionByName(called_on.withColumn("covered", F.lit(False))))
+        if active.count() > max_group_rows:
+            active = assign_islands(active, radius, keys)
+        out = cut_lineage(_settle_slice(active, radius, keys))
         found.append(out.filter("role <> 'waiting'"))
         waiting = out.filter("role = 'waiting'")
+        if idle is not None:
+            waiting = cut_lineage(waiting.unionByName(idle))
         low = high
     return _gather(points, found, waiting, radius, keys)
 
@@ -210,10 +218,10 @@ def _cuts(points: DataFrame, first: int) -> list:
     return [*cuts, None]
 
 
-def _active(part, found, waiting, radius, keys):
-    """Locations of a slice that can still shape the outcome, with those that
-    wait from before: the ones no known centre covers, and of the covered ones
-    the first that any of these, or any waiting one, would call on."""
+def _fresh(part, found, waiting, radius, keys):
+    """Locations of a slice that can still shape the outcome: the ones no known
+    centre covers, and of the covered ones the first that any of these, or any
+    that waits from before, would call on."""
     cells = [*keys, "cell_y", "cell_x"]
     cols = [*keys, "seq", "lat", "lon", "bearing"]
     part = part.select(*cols)
@@ -227,33 +235,42 @@ def _active(part, found, waiting, radius, keys):
     callers = free.unionByName(waiting.select(*cols))
     called = first_later_neighbour(callers, covered, radius, keys).filter("next is not null")
     called = called.select(*keys, "next.seq", "next.lat", "next.lon", "next.bearing").distinct()
-    return callers.withColumn("covered", F.lit(False)).unionByName(
+    return free.withColumn("covered", F.lit(False)).unionByName(
         called.withColumn("covered", F.lit(True))
     )
 
 
-def _groups(active, low, radius, keys, max_group_rows):
-    """Active locations grouped so that groups cannot meet. If the slice puts
-    too many in one, the middle of the slice instead, to cut it there. Waiting
-    locations lie more than the radius apart, so what they add to a group is
-    bounded by its area."""
-    if active.count() <= max_group_rows:
-        return active, None
-    bands = island_bands(active, radius, keys).persist()
-    largest = island_sizes(bands, keys).agg(F.max("island_rows")).first()[0]
-    if largest > max_group_rows:
-        fresh = active if low is None else active.filter(F.col("seq") > F.lit(low))
-        rows = fresh.count()
-        if rows > max_group_rows:
-            some = fresh.select("seq").sample(min(1.0, 20_000 / rows), seed=7).collect()
-            some = sorted(r[0] for r in some)
-            if some and some[0] < some[-1]:
-                bands.unpersist()
-                return None, some[(len(some) - 1) // 2]
-    return assign_islands(active, radius, keys, bands), None
+def _too_many(fresh, radius, keys, max_group_rows):
+    """Where to cut the slice if it puts too many of its own rows in one group,
+    else nothing."""
+    rows = fresh.count()
+    if rows <= max_group_rows:
+        return None
+    sizes = island_sizes(island_bands(fresh, radius, keys), keys)
+    if sizes.agg(F.max("island_rows")).first()[0] <= max_group_rows:
+        return None
+    some = fresh.select("seq").sample(min(1.0, 20_000 / rows), seed=7).collect()
+    some = sorted(r[0] for r in some)
+    if some and some[0] < some[-1]:
+        return some[(len(some) - 1) // 2]
+    return None
+
+
+def _split_waiting(waiting, fresh, radius, keys):
+    """Waiting locations that a fresh one can reach, and the rest, which just go
+    on waiting. Waiting ones lie more than the radius apart, so every fresh one
+    brings in a handful at most."""
+    cells = [*keys, "cell_y", "cell_x"]
+    at = with_cell(waiting, radius).alias("o")
+    reach = explode_reach(fresh, radius).alias("a")
+    near = F.expr(f"{_same('a', 'o', cells)} and {_near('a', 'o', radius)}")
+    near_cols = [*keys, "seq", "lat", "lon", "bearing"]
+    called_on = at.join(reach, near, "left_semi").select(*near_cols)
+    return called_on, at.join(reach, near, "left_anti").select(*waiting.columns)
 
 
 def _settle_slice(grouped, radius, keys):
+    """Roles of the rows of a slice, group by group."""
     by = [*keys, "island_id"] if "island_id" in grouped.columns else keys
     kinds = dict(grouped.dtypes)
     schema = ", ".join(

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from roadpulse.functions.geo import band_height, lat_band
 
 
-def island_bands(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """Occupied latitude bands with the island each belongs to.
+def island_bands(
+    points: DataFrame, radius: float, keys: list[str], counted: str = "true"
+) -> DataFrame:
+    """Occupied latitude bands with the island each belongs to, and the number
+    of rows that are `counted`.
 
     A band is one radius high, so a gap wider than the radius can only lie
     between two occupied bands: the points fold into bands first, and the
@@ -23,7 +26,7 @@ def island_bands(points: DataFrame, radius: float, keys: list[str]) -> DataFrame
         .agg(
             F.min("lat").alias("low"),
             F.max("lat").alias("high"),
-            F.count(F.lit(1)).alias("band_rows"),
+            F.count_if(F.expr(counted)).alias("band_rows"),
         )
     )
     w = Window.partitionBy(*keys).orderBy("band")
