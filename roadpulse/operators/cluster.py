@@ -14,6 +14,8 @@ few that are left go to bounded groups.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -55,26 +57,43 @@ def greedy_cluster(
     keys = keys or ["road_key"]
     total = points.count() if rows is None or rows > max_group_rows else rows
     if total <= max_group_rows:
-        return _grouped(points, radius, keys, keys)
+        return _grouped(points, radius, keys, keys, total)
     bands = island_bands(points, radius, keys).persist()
     sizes = island_sizes(bands, keys)
     small = F.col("island_rows") <= F.lit(max_group_rows)
     counts = sizes.agg(F.count_if(small).alias("s"), F.count_if(~small).alias("b")).first()
     if counts["b"] == 0:
-        return _grouped(assign_islands(points, radius, keys, bands), radius, keys, [*keys, "island_id"])
+        placed = assign_islands(points, radius, keys, bands)
+        return _grouped(placed, radius, keys, [*keys, "island_id"], total)
     placed = assign_islands(points, radius, keys, bands).join(sizes, [*keys, "island_id"])
     big = placed.filter(~small).drop("island_id", "island_rows")
     out = cluster_in_rounds(big, radius, max_group_rows, keys)
     if counts["s"]:
         little = placed.filter(small)
-        out = out.unionByName(_grouped(little, radius, keys, [*keys, "island_id"]))
+        out = out.unionByName(_grouped(little, radius, keys, [*keys, "island_id"], total))
     return out
 
 
 # --- bounded groups -----------------------------------------------------------
 
 
-def _grouped(points: DataFrame, radius: float, keys: list[str], by: list[str]) -> DataFrame:
+BATCH_ROWS = 5_000
+
+
+def _in_batches(points: DataFrame, by: list[str], rows: int):
+    """Groups hashed into batches, so that a task call serves many small groups
+    and holds a few thousand rows. The number of partitions is set by the rows:
+    by their bytes alone they would end up in very few tasks."""
+    n = max(1, math.ceil(rows / BATCH_ROWS))
+    if n > 10_000:
+        n = max(10_000, math.ceil(rows / (10 * BATCH_ROWS)))
+    at = points.withColumn("batch_id", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int"))
+    return at.repartition(n, "batch_id").groupBy("batch_id")
+
+
+def _grouped(
+    points: DataFrame, radius: float, keys: list[str], by: list[str], rows: int
+) -> DataFrame:
     extra = [k for k in keys if k != "road_key"]
     cols = ["seq", "road_key", "road", "lat", "lon", "bearing", "n", *extra]
     types = dict(points.select(*cols).dtypes)
@@ -98,10 +117,8 @@ def _grouped(points: DataFrame, radius: float, keys: list[str], by: list[str]) -
     out_cols = [*OUT, *extra]
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        target, miles, _ = in_order.settle(
-            pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), pdf["bearing"].to_numpy(), radius
-        )
+        pdf = pdf.sort_values([*by, "seq"], ignore_index=True)
+        target, miles, _ = in_order.settle_groups(pdf, by, radius)
         got = pd.DataFrame({"t": target, "n": pdf["n"], "m": miles}).groupby("t")
         out = got.agg(n=("n", "sum"), n_added=("n", "size"), dist_sum=("m", "sum"))
         rows = pdf.loc[out.index, ["seq", "road_key", "road", "lat", "lon", "bearing", *extra]]
@@ -112,7 +129,7 @@ def _grouped(points: DataFrame, radius: float, keys: list[str], by: list[str]) -
         return rows[out_cols]
 
     wanted = points.select(*dict.fromkeys([*by, *cols]))
-    return wanted.groupBy(*by).applyInPandas(centres, schema)
+    return _in_batches(wanted, by, rows).applyInPandas(centres, schema)
 
 
 # --- groups of any size -------------------------------------------------------
@@ -190,9 +207,10 @@ def cluster_in_rounds(
         if waiting is not None:
             called_on, idle = _split_waiting(waiting, fresh, radius, keys)
             active = cut_lineage(fresh.unionByName(called_on.withColumn("covered", F.lit(False))))
-        if active.count() > max_group_rows:
+        rows = active.count()
+        if rows > max_group_rows:
             active = assign_islands(active, radius, keys)
-        out = cut_lineage(_settle_slice(active, radius, keys))
+        out = cut_lineage(_settle_slice(active, radius, keys, rows))
         found.append(out.filter("role <> 'waiting'"))
         waiting = out.filter("role = 'waiting'")
         if idle is not None:
@@ -269,7 +287,7 @@ def _split_waiting(waiting, fresh, radius, keys):
     return called_on, at.join(reach, near, "left_anti").select(*waiting.columns)
 
 
-def _settle_slice(grouped, radius, keys):
+def _settle_slice(grouped, radius, keys, rows):
     """Roles of the rows of a slice, group by group."""
     by = [*keys, "island_id"] if "island_id" in grouped.columns else keys
     kinds = dict(grouped.dtypes)
@@ -280,20 +298,16 @@ def _settle_slice(grouped, radius, keys):
     names = [*keys, "seq", "lat", "lon", "bearing", "role", "to", "miles"]
 
     def roles(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        target, miles, centre = in_order.settle(
-            pdf["lat"].to_numpy(),
-            pdf["lon"].to_numpy(),
-            pdf["bearing"].to_numpy(),
-            radius,
-            pdf["covered"].to_numpy(),
+        pdf = pdf.sort_values([*by, "seq"], ignore_index=True)
+        target, miles, centre = in_order.settle_groups(
+            pdf, by, radius, pdf["covered"].to_numpy()
         )
         out = pdf.assign(to=pdf["seq"].to_numpy()[target], miles=miles, role="settled")
         out.loc[target == out.index, "role"] = "waiting"
         out.loc[centre, "role"] = "centre"
         return out.loc[target >= 0, names]
 
-    return grouped.groupBy(*by).applyInPandas(roles, schema)
+    return _in_batches(grouped, by, rows).applyInPandas(roles, schema)
 
 
 def _centres(found: list[DataFrame]) -> DataFrame:

@@ -61,3 +61,23 @@ def settle(lat, lon, bearing, radius, covered=None):
         else:
             bisect.insort(waiting.setdefault(bands[i], []), i)
     return target, miles, centre
+
+
+def settle_groups(frame, groups, radius, covered=None):
+    """`settle` for every group of a frame sorted by `groups` and then seq;
+    positions are those of the whole frame."""
+    n = len(frame)
+    lat, lon = frame["lat"].to_numpy(), frame["lon"].to_numpy()
+    bearing = frame["bearing"].to_numpy()
+    target, miles, centre = np.arange(n), np.zeros(n), np.zeros(n, dtype=bool)
+    keys = frame[groups]
+    starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+    for a, b in zip(starts, [*starts[1:], n]):
+        if b - a == 1:
+            target[a] = -1 if covered is not None and covered[a] else a
+            continue
+        part = slice(a, b)
+        hidden = None if covered is None else covered[part]
+        t, miles[part], centre[part] = settle(lat[part], lon[part], bearing[part], radius, hidden)
+        target[part] = np.where(t >= 0, t + a, -1)
+    return target, miles, centre
