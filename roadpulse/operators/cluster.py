@@ -78,6 +78,7 @@ def greedy_cluster(
 
 
 BATCH_ROWS = 5_000
+BROADCAST_ROWS = 20_000
 
 
 def _in_batches(points: DataFrame, by: list[str], rows: int):
@@ -145,6 +146,12 @@ def _near(a: str, b: str, radius: float) -> str:
     return f"{way} and {_miles(a, b)} <= {number(radius)}"
 
 
+def _reach(df: DataFrame, radius: float, rows: int | None) -> DataFrame:
+    """The side of a distance join that is copied into cells, shipped by its
+    row count."""
+    return ship(explode_reach(df, radius), rows, BROADCAST_ROWS)
+
+
 def _same(a: str, b: str, cols: list[str]) -> str:
     return " and ".join(f"{a}.{c} = {b}.{c}" for c in cols)
 
@@ -155,11 +162,9 @@ def first_later_neighbour(
     """For every probe the next point after it within the radius, or nulls.
     The partial aggregate keeps one candidate per probe and task."""
     cells = [*keys, "cell_y", "cell_x"]
-    reach = explode_reach(probes.select(*keys, "seq", "lat", "lon", "bearing"), radius)
+    reach = _reach(probes.select(*keys, "seq", "lat", "lon", "bearing"), radius, rows)
     later = f"{_same('p', 'q', cells)} and q.seq > p.seq and {_near('p', 'q', radius)}"
-    pairs = ship(reach, rows, 20_000).alias("p").join(
-        with_cell(points, radius).alias("q"), F.expr(later)
-    )
+    pairs = reach.alias("p").join(with_cell(points, radius).alias("q"), F.expr(later))
     nxt = F.expr(f"struct(q.seq, q.lat, q.lon, q.bearing, {_miles('p', 'q')} as miles)")
     best = pairs.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.seq").alias("seq")).agg(
         F.min(nxt).alias("next")
@@ -188,6 +193,7 @@ def cluster_in_rounds(
     todo = _cuts(points, max_group_rows)
     found: list[DataFrame] = []
     waiting: DataFrame | None = None
+    n_centres, n_waiting = 0, 0
     low = None
     while todo:
         high = todo.pop(0)
@@ -198,14 +204,15 @@ def cluster_in_rounds(
             part = part.filter(F.col("seq") > F.lit(low))
         if high is not None:
             part = part.filter(F.col("seq") <= F.lit(high))
-        fresh = cut_lineage(_fresh(part, found, waiting, radius, keys))
-        middle = _too_many(fresh, radius, keys, max_group_rows)
+        fresh = cut_lineage(_fresh(part, found, waiting, radius, keys, n_centres, n_waiting))
+        n_fresh = fresh.count()
+        middle = _too_many(fresh, n_fresh, radius, keys, max_group_rows)
         if middle is not None:
             todo[:0] = [middle, high]
             continue
         active, idle = fresh, None
         if waiting is not None:
-            called_on, idle = _split_waiting(waiting, fresh, radius, keys)
+            called_on, idle = _split_waiting(waiting, fresh, n_fresh, radius, keys)
             active = cut_lineage(fresh.unionByName(called_on.withColumn("covered", F.lit(False))))
         rows = active.count()
         if rows > max_group_rows:
@@ -215,8 +222,10 @@ def cluster_in_rounds(
         waiting = out.filter("role = 'waiting'")
         if idle is not None:
             waiting = cut_lineage(waiting.unionByName(idle))
+        n_centres += out.filter("role = 'centre'").count()
+        n_waiting = waiting.count()
         low = high
-    return _gather(points, found, waiting, radius, keys)
+    return _gather(points, found, waiting, radius, keys, n_centres)
 
 
 def _cuts(points: DataFrame, first: int) -> list:
@@ -236,7 +245,7 @@ def _cuts(points: DataFrame, first: int) -> list:
     return [*cuts, None]
 
 
-def _fresh(part, found, waiting, radius, keys):
+def _fresh(part, found, waiting, radius, keys, n_centres, n_waiting):
     """Locations of a slice that can still shape the outcome: the ones no known
     centre covers, and of the covered ones the first that any of these, or any
     that waits from before, would call on."""
@@ -246,22 +255,23 @@ def _fresh(part, found, waiting, radius, keys):
     if not found:
         return part.withColumn("covered", F.lit(False))
     at = with_cell(part, radius).alias("o")
-    centres = explode_reach(_centres(found).select(*cols), radius).alias("a")
+    centres = _reach(_centres(found).select(*cols), radius, n_centres).alias("a")
     earlier = F.expr(f"{_same('a', 'o', cells)} and a.seq < o.seq and {_near('a', 'o', radius)}")
     free = cut_lineage(at.join(centres, earlier, "left_anti").select(*cols))
     covered = at.join(centres, earlier, "left_semi").select(*cols)
     callers = free.unionByName(waiting.select(*cols))
-    called = first_later_neighbour(callers, covered, radius, keys).filter("next is not null")
+    n_callers = free.count() + n_waiting
+    called = first_later_neighbour(callers, covered, radius, keys, n_callers)
+    called = called.filter("next is not null")
     called = called.select(*keys, "next.seq", "next.lat", "next.lon", "next.bearing").distinct()
     return free.withColumn("covered", F.lit(False)).unionByName(
         called.withColumn("covered", F.lit(True))
     )
 
 
-def _too_many(fresh, radius, keys, max_group_rows):
+def _too_many(fresh, rows, radius, keys, max_group_rows):
     """Where to cut the slice if it puts too many of its own rows in one group,
     else nothing."""
-    rows = fresh.count()
     if rows <= max_group_rows:
         return None
     sizes = island_sizes(island_bands(fresh, radius, keys), keys)
@@ -274,13 +284,13 @@ def _too_many(fresh, radius, keys, max_group_rows):
     return None
 
 
-def _split_waiting(waiting, fresh, radius, keys):
+def _split_waiting(waiting, fresh, n_fresh, radius, keys):
     """Waiting locations that a fresh one can reach, and the rest, which just go
     on waiting. Waiting ones lie more than the radius apart, so every fresh one
     brings in a handful at most."""
     cells = [*keys, "cell_y", "cell_x"]
     at = with_cell(waiting, radius).alias("o")
-    reach = explode_reach(fresh, radius).alias("a")
+    reach = _reach(fresh, radius, n_fresh).alias("a")
     near = F.expr(f"{_same('a', 'o', cells)} and {_near('a', 'o', radius)}")
     near_cols = [*keys, "seq", "lat", "lon", "bearing"]
     called_on = at.join(reach, near, "left_semi").select(*near_cols)
@@ -317,7 +327,7 @@ def _centres(found: list[DataFrame]) -> DataFrame:
     return every.filter("role = 'centre'")
 
 
-def _gather(points, found, waiting, radius, keys):
+def _gather(points, found, waiting, radius, keys, n_centres):
     """Adds every location to its centre. Locations that still wait have no
     neighbour left and are centres of their own."""
     extra = [k for k in keys if k != "road_key"]
@@ -332,7 +342,7 @@ def _gather(points, found, waiting, radius, keys):
     taken = (
         with_cell(rest, radius)
         .alias("o")
-        .join(explode_reach(centres, radius).alias("c"), F.expr(near))
+        .join(_reach(centres, radius, n_centres).alias("c"), F.expr(near))
         .groupBy(*[F.col(f"o.{k}").alias(k) for k in keys], F.col("o.seq").alias("seq"))
         .agg(F.expr(f"min(struct(c.seq as to, {_miles('c', 'o')} as miles))").alias("_b"))
         .select(*keys, "seq", "_b.to", "_b.miles")
@@ -390,9 +400,10 @@ def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> Dat
     keys = ["road_key"]
     cells = [*keys, "cell_y", "cell_x"]
     lone = first.filter("lone").select("road_key", F.col("hs_id").alias("seq"), "bucket_id", "lat", "lon", "bearing", "n")
-    side = explode_reach(
-        first.select("road_key", F.col("hs_id").alias("seq"), "bucket_id", "lat", "lon", "bearing", "lone"), radius
+    every = first.select(
+        "road_key", F.col("hs_id").alias("seq"), "bucket_id", "lat", "lon", "bearing", "lone"
     )
+    side = _reach(every, radius, first.count())
     edges = cut_lineage(
         with_cell(lone, radius)
         .alias("p")

@@ -9,9 +9,8 @@ from dataclasses import dataclass
 class CrispParams:
     """Fixed-radius mode.
 
-    The last three fields only steer execution, never results: the largest
-    group handed to one Python task, the largest hot spot table that may be
-    broadcast, and nothing else.
+    The last two fields only steer execution, never results: the largest group
+    handed to one Python task and the most hot spots that may be broadcast.
     """
 
     radius_miles: float = 5.0

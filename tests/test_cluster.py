@@ -41,6 +41,12 @@ def test_rounds(spark, name):
     assert as_dict(cluster.cluster_in_rounds(locs(spark, items), r, 40)) == wanted(items, r)
 
 
+def test_rounds_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", 0)
+    items, r = SETS["one way"]
+    assert as_dict(cluster.cluster_in_rounds(locs(spark, items), r, 40)) == wanted(items, r)
+
+
 def test_rounds_when_everything_comes_late(spark):
     """One cluster follows another in the order: nothing known covers a slice."""
     items = data.rows(60, 21, spread=0.03) + [
