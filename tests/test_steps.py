@@ -67,11 +67,13 @@ def test_replay_with_idle_intervals(spark, tmp_path, p):
         assert last["n_dense"] + last["n_sparse"] == last["n_reported"]
 
 
-def test_bounds_do_not_change_results(spark, tmp_path):
+@pytest.mark.parametrize("kind", [CrispParams, FuzzyParams])
+def test_bounds_do_not_change_results(spark, tmp_path, kind):
     """Tiny limits send every join and every cluster down the big-data way."""
     items = history(60)
-    p = CrispParams(radius_miles=1.5, delete_threshold=1.2, max_group_rows=10, broadcast_rows=0)
-    check(final(replay(data.frame(spark, items), str(tmp_path / "r"), p, last_interval=2)), simulate(items, p, 2))
+    p = kind(radius_miles=1.5, delete_threshold=1.2, max_group_rows=10, broadcast_rows=0)
+    store = replay(data.frame(spark, items), str(tmp_path / "r"), p, last_interval=2)
+    check(final(store), simulate(items, p, 2), kind is FuzzyParams)
 
 
 def test_replay_goes_on_after_a_stop(spark, tmp_path):
