@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated
 from .language import identify
 from .packing import pack
 from .quality import judged
+from .secrets import scan
 from .simhash_dedup import near_duplicates
 from .wavelet import encode_and_read
 
@@ -30,12 +32,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_language, op3_wavelet, op4_quality, op9_packing)
+    f.__name__: f for f in (op1_simhash, op2_language, op3_wavelet, op4_quality, op6_decontaminate, op9_packing, op10_secrets)
 }
 
 ORACLE: dict[str, str] = {}
