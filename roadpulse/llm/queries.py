@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
 from .common import table
 from .decontaminate import contaminated
+from .html_extract import main_text
 from .language import identify
 from .packing import pack
 from .quality import judged
 from .secrets import scan
 from .simhash_dedup import near_duplicates
+from .warc import archive
 from .wavelet import encode_and_read
 
 
@@ -32,10 +35,22 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -45,7 +60,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_language, op3_wavelet, op4_quality, op6_decontaminate, op9_packing, op10_secrets)
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_language,
+        op3_wavelet,
+        op4_quality,
+        op5_html,
+        op6_decontaminate,
+        op7_warc,
+        op8_chat,
+        op9_packing,
+        op10_secrets,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_chat": chat.ORACLE_SQL}
