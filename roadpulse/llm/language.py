@@ -108,10 +108,11 @@ def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
 
 def phrases(table: np.ndarray, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of each lane (a column of `lanes`; longest first). Where a state
-    cannot go on, the phrase ends and the next starts with this symbol."""
+    cannot go on, the next phrase starts with this symbol. State 0 goes nowhere:
+    a lane begins there, and a symbol that no phrase starts with leads there."""
     flat, size = table.ravel(), table.shape[1]
     count = np.zeros(lanes.shape[1], np.int64)
-    state = np.ones(lanes.shape[1], np.int64)
+    state = np.zeros(lanes.shape[1], np.int64)
     live = np.searchsorted(-lengths, -np.arange(len(lanes)), side="left")
     for i in range(len(lanes)):
         n = live[i]
@@ -120,10 +121,9 @@ def phrases(table: np.ndarray, lanes: np.ndarray, lengths: np.ndarray) -> np.nda
         ended = np.flatnonzero(to == 0)
         if len(ended):
             count[ended] += 1
-            # A symbol that no phrase starts with is a phrase of its own.
-            to[ended] = np.maximum(flat[size + symbols[ended]], 1)
+            to[ended] = flat[size + symbols[ended]]
         state[:n] = to
-    return count + 1
+    return count
 
 
 class Model:

@@ -145,15 +145,20 @@ def _signed(x: int) -> int:
 def _keys(fp: Column, plan: list[tuple[list[int], int]]) -> Column:
     """All keys of a fingerprint. At threshold one the keys with one more bit
     set are added: of two keys that differ in one bit, one meets the other."""
-    groups = []
-    for i, (part, t) in enumerate(plan):
+
+    def of(i: int, part: list[int], t: int) -> Column:
         own = fp.bitwiseAND(F.lit(_signed(_mask(part))))
-        groups.append(F.array(F.struct(F.lit(i).alias("part"), own.alias("key"))))
-        if t == 1:
-            bits = F.array(*[F.lit(_signed(1 << b)) for b in part])
-            unset = F.filter(bits, lambda b, own=own: own.bitwiseAND(b) == F.lit(0))
-            groups.append(F.transform(unset, lambda b, own=own, i=i: F.struct(F.lit(i).alias("part"), own.bitwiseOR(b).alias("key"))))
-    return F.concat(*groups)
+
+        def key(k: Column) -> Column:
+            return F.struct(F.lit(i).alias("part"), k.alias("key"))
+
+        if t == 0:
+            return F.array(key(own))
+        bits = F.array(*[F.lit(_signed(1 << b)) for b in part])
+        unset = F.filter(bits, lambda b: own.bitwiseAND(b) == F.lit(0))
+        return F.concat(F.array(key(own)), F.transform(unset, lambda b: key(own.bitwiseOR(b))))
+
+    return F.concat(*[of(i, part, t) for i, (part, t) in enumerate(plan)])
 
 
 # --- links ---

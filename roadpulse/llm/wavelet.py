@@ -104,7 +104,8 @@ class WaveletMatrix:
         """How often a value stands at positions lo to hi - 1."""
         if value >> len(self.planes):
             return 0
-        a, b = self._narrow(value, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._narrow(value, max(0, min(lo, hi)), hi)
         return b - a
 
     def _select(self, level: int, k: int, bit: int) -> int:
