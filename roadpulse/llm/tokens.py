@@ -9,10 +9,12 @@ except where a special token's name may stand in the text.
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 
 TOKENIZER = "word_bpe_49k.json"
 # Chunks kept per worker: two generations of this size at most.
-KEPT = 200_000
+KEPT = 400_000
 # Longer chunks are encoded but not kept.
 LONG = 64
 
@@ -43,6 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kept = kept
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -57,52 +60,43 @@ class Encoder:
         for text in texts:
             data = (text or "").encode()
             chunks.append((data if b"<|" in data else data.translate(_LOWER)).split())
-        found = self._lookup({c for cs in chunks for c in cs})
-        return [b"".join(map(found.__getitem__, cs)) for cs in chunks]
-
-    def _lookup(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        found, cut, missing = {}, {}, set()
-        for c in wanted:
-            ids = self._known(c)
-            if ids is None:
-                core = c.rstrip(_TAIL)
-                if core != c and core and _ends_in_letter(core):
-                    cut[c] = (core, c[len(core) :])
-                    missing.update(x for x in cut[c] if self._known(x) is None)
-                else:
-                    missing.add(c)
+        if len(self.new) >= self.kept:
+            self.new, self.old = {}, self.new
+        long = self._learn(set().union(*chunks).difference(self.new))
+        out = [b"".join(map(self.new.__getitem__, cs)) for cs in chunks]
+        for c in long:
+            del self.new[c]
+        return out
+
+    def _learn(self, unknown: set[bytes]) -> list[bytes]:
+        """Put the ids of these chunks into `new`; returns those not to keep."""
+        cut, missing, again = {}, set(), {c: self.old[c] for c in unknown.intersection(self.old)}
+        self.new.update(again)
+        for c in unknown.difference(again):
+            core = c.rstrip(_TAIL)
+            if core != c and core and _ends_in_letter(core):
+                # Letters and what follows them are never one token.
+                cut[c] = (core, c[len(core) :])
+                missing.update(x for x in cut[c] if x not in self.new)
             else:
-                found[c] = ids
-        fresh = self._encode_all(missing)
-
-        def ids_of(c: bytes) -> bytes:
-            return fresh[c] if c in fresh else self._known(c)
-
-        for c in wanted - found.keys():
-            found[c] = b"".join(map(ids_of, cut[c])) if c in cut else fresh[c]
-        for c, ids in fresh.items():
-            self._keep(c, ids)
-        return found
-
-    def _known(self, c: bytes) -> bytes | None:
-        ids = self.new.get(c)
-        if ids is None and (ids := self.old.get(c)) is not None:
-            self._keep(c, ids)
-        return ids
-
-    def _keep(self, c: bytes, ids: bytes) -> None:
-        if len(c) <= LONG:
-            # A chunk just looked up must stay in reach, so `old` is what was new.
-            if len(self.new) >= self.kept:
-                self.new, self.old = {}, self.new
-            self.new[c] = ids
+                missing.add(c)
+        again = {c: self.old[c] for c in missing.intersection(self.old)}
+        self.new.update(again)
+        fresh = self._encode_all(missing.difference(again))
+        self.new.update(fresh)
+        self.new.update((c, self.new[a] + self.new[b]) for c, (a, b) in cut.items())
+        return [c for c in (*fresh, *cut) if len(c) > LONG]
 
     def _encode_all(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Short chunks are encoded together, with a mark between them."""
         out, short = {}, []
         for c in chunks:
             text = c.decode()
-            if len(c) > LONG or _MARK in text or "<|" in text:
+            if len(c) <= LONG and _plain_letters(text):
+                # One word for the pre-tokenizer: straight to the merges.
+                word = text if len(text) == len(c) else "".join(map(_BYTE_CHAR.__getitem__, c))
+                out[c] = _pack([t.id for t in self.model.tokenize(word)])
+            elif len(c) > LONG or _MARK in text or "<|" in text:
                 out[c] = self._ids(text)
             else:
                 short.append((c, text))
@@ -117,10 +111,26 @@ class Encoder:
         return out
 
 
-def _pack(ids: list[int]) -> bytes:
-    import numpy as np
+def _byte_chars() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable
+    bytes for themselves, the others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
 
-    return np.array(ids, "<u4").tobytes()
+_BYTE_CHAR = _byte_chars()
+
+
+def _plain_letters(text: str) -> bool:
+    """Letters only, which the normalizer leaves as they are."""
+    if not text.isalpha():
+        return False
+    return text.isascii() or (max(text) < "\u0250" and text.lower() == text and unicodedata.is_normalized("NFC", text))
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _split(ids: bytes, mark: bytes) -> list[bytes]:
