@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 import unicodedata
+from itertools import filterfalse
 
 TOKENIZER = "word_bpe_49k.json"
 # Chunks kept per worker: two generations of this size at most.
@@ -62,7 +63,10 @@ class Encoder:
             chunks.append((data if b"<|" in data else data.translate(_LOWER)).split())
         if len(self.new) >= self.kept:
             self.new, self.old = {}, self.new
-        long = self._learn(set().union(*chunks).difference(self.new))
+        unknown: set[bytes] = set()
+        for cs in chunks:
+            unknown.update(filterfalse(self.new.__contains__, cs))
+        long = self._learn(unknown)
         out = [b"".join(map(self.new.__getitem__, cs)) for cs in chunks]
         for c in long:
             del self.new[c]
