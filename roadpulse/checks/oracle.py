@@ -470,10 +470,10 @@ def build() -> dict[str, str]:
         )
     near = gate("p", "o", q.CLUSTER_MILES)
     out["first_neighbour"] = with_(
-        [*pts, ("heads", "select road_key, min(seq) as seq from loc group by 1, floor(lat * 1000)")],
+        [*pts],
         f"""select p.seq, n.seq as next_seq, round({miles("p", "n")}, 6) as miles
-  from heads join loc p on p.seq = heads.seq left join (
-    select p.seq as at, min(o.seq) as seq from heads join loc p on p.seq = heads.seq
+  from loc p left join (
+    select p.seq as at, min(o.seq) as seq from loc p
     join loc o on o.seq > p.seq and {near} group by 1) f on f.at = p.seq
   left join loc n on n.seq = f.seq""",
     )
@@ -502,14 +502,14 @@ def build() -> dict[str, str]:
     )
     raw = "least({} * 1.3::double, 2.75)"
     rounded = "floor({} * 100.0 + 0.5) / 100.0"
-    once = rounded.format(raw.format("sd"))
+    once = rounded.format(raw.format("coalesce(sd, 1.0::double)"))
     twice = rounded.format(raw.format(f"({once})"))
     third = raw.format(f"({twice})")
     out["decay_gap"] = over_state(
         f"""select hs_id, round(fitness * {keep}::double * {keep}::double * {keep}::double, 6) as fitness,
   age + 3 as age, {rounded.format(third)} as sd,
   case when {third} < 1.45 then 'DENSE' else 'SPARSE' end as density_label
-  from s where sd is not null"""
+  from s"""
     )
     out["merge_state"] = with_(
         [("inc", inc()), ("s", STATE), ("loc", locations("inc"))],
@@ -535,7 +535,7 @@ def build() -> dict[str, str]:
     out["fuzzy_density"] = over_state(
         f"""select hs_id, round({density("tight")}, 9) as tight, round({density("initial")}, 9) as initial
   from t""",
-        ("t", f"select hs_id, {terms('n_added', '(dist_sum / n_added)')} from s where n_added > 0"),
+        ("t", f"select hs_id, {terms('n_added', '(case when n_added > 0 then dist_sum / n_added end)')} from s"),
     )
     updated = ("u", spread("s", q.FUZZY.decay_rate))
     out["update_sd"] = over_state(

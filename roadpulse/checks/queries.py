@@ -232,11 +232,7 @@ def seed_remainder(spark, sf):
 
 def first_neighbour(spark, sf):
     pts = locations(spark, sf)
-    heads = pts.groupBy("road_key", F.floor(F.col("lat") * 1000)).agg(
-        F.min(F.struct("seq", "lat", "lon", "bearing")).alias("h")
-    )
-    probes = heads.select("road_key", "h.*")
-    got = cluster.first_later_neighbour(probes, pts, CLUSTER_MILES, ["road_key"])
+    got = cluster.first_later_neighbour(pts, pts, CLUSTER_MILES, ["road_key"])
     return tidy(
         got.select(
             "seq", F.col("next.seq").alias("next_seq"), F.col("next.miles").alias("miles")
@@ -295,7 +291,7 @@ def decay_hotspots(spark, sf):
 
 def decay_gap(spark, sf):
     got = st.decay_hotspots(inputs.state(spark, sf), CRISP.decay_rate, 3)
-    got = st.decay_spread(got.filter("sd is not null"), CRISP.decay_rate, 3)
+    got = st.decay_spread(got, CRISP.decay_rate, 3)
     return tidy(got.select("hs_id", "fitness", "age", "sd", "density_label"))
 
 
@@ -334,8 +330,8 @@ def report_hotspots(spark, sf):
 
 
 def fuzzy_density(spark, sf):
-    s = inputs.state(spark, sf).filter("n_added > 0")
-    s = s.selectExpr("hs_id", "n_added", "dist_sum / n_added as mean_miles")
+    s = inputs.state(spark, sf)
+    s = s.selectExpr("hs_id", "n_added", "case when n_added > 0 then dist_sum / n_added end as mean_miles")
     tight = fuzzy.with_density(s, "n_added", "mean_miles").withColumnRenamed("density", "tight")
     both = fuzzy.with_density(tight, "n_added", "mean_miles", "initial")
     return both.selectExpr("hs_id", "round(tight, 9) as tight", "round(density, 9) as initial")

@@ -144,7 +144,8 @@ def idle_spread(df: DataFrame, decay_rate: float, steps: int) -> DataFrame:
     step rounds, so they are folded one by one inside the expression."""
     keep = [c for c in df.columns if c not in ("sd", "density_label")]
     step = round2(_idle("s", decay_rate))
-    before = f"aggregate(array_repeat(0, {max(steps - 1, 0)}), sd, (s, i) -> {step})"
+    start = f"coalesce(sd, {number(DEFAULT_SD)})"
+    before = f"aggregate(array_repeat(0, {max(steps - 1, 0)}), {start}, (s, i) -> {step})"
     return df.selectExpr("*", f"{_idle(before, decay_rate)} as _raw").selectExpr(
         *keep, f"{round2('_raw')} as sd", f"{density_label('_raw')} as density_label"
     )
