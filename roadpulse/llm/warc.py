@@ -92,18 +92,15 @@ def read_records(stream, chunk: int = 1 << 20):
         raise ValueError("the archive ends within a record")
 
 
-def with_response(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html and `response`: the largest page_id with this payload."""
+def with_responses(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """All pages, and beside them a row without html for each page_id and
+    payload that stands more than once: its digest and the largest page_id that
+    has it. Sorted by page_id they meet, so no payload goes through a join."""
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("mark"))
-    sizes = F.octet_length("html") >= revisit_bytes
-    # Only payloads that stand more than once send anything to the join.
-    groups = pages.select("page_id", html.alias("html")).filter(sizes).select("page_id", F.sha1(F.col("html").cast("binary")).alias("mark"))
-    largest = groups.groupBy("mark").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = groups.join(largest, "mark").select("page_id", "mark", "response").distinct()
-    by = [F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("no_id")]
-    rows = rows.select("mark", *by, "response")
-    return keyed.select("*", *by).join(rows, ["mark", "id", "no_id"], "left").select("page_id", "url", "html", "response")
+    marks = pages.filter(F.octet_length(html) >= revisit_bytes).select("page_id", F.sha1(html.cast("binary")).alias("mark"))
+    largest = marks.groupBy("mark").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    told = marks.join(largest, "mark").select("page_id", "mark", "response").distinct()
+    return pages.select("page_id", "url", html.alias("html")).unionByName(told, allowMissingColumns=True)
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -111,19 +108,24 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
 
     def run(batches):
         part, seq, file, size, n = TaskContext.get().partitionId(), 0, None, 0, 0
-        last, seen = None, {}
+        last, seen, responses = None, {}, {}
 
         def close():
             return pd.DataFrame({"part": [part], "seq": [seq], "file": [file.commit().rpartition("/")[2]], "bytes": [size], "n": [n]})
 
         for pdf in batches:
-            for page_id, url, html, response in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["response"].astype("Int64"), strict=True):
-                page_id, response = (None if pd.isna(x) else int(x) for x in (page_id, response))
-                payload = html.encode()
+            columns = (pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["mark"], pdf["response"].astype("Int64"))
+            for page_id, url, html, told, response in zip(*columns, strict=True):
+                page_id = None if pd.isna(page_id) else int(page_id)
                 if page_id != last:
-                    last, seen = page_id, {}
-                mark = digest(payload)
+                    last, seen, responses = page_id, {}, {}
+                if html is None:
+                    responses[told] = None if pd.isna(response) else int(response)
+                    continue
+                payload = html.encode()
+                mark = hashlib.sha1(payload).hexdigest()
                 copy = seen[mark] = seen.get(mark, -1) + 1
+                response = responses.get(mark)
                 refers = None if response is None or (response == page_id and not copy) else response
                 data = page_record(page_id, url, payload, refers, copy)
                 if file is None:
@@ -141,7 +143,8 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
             yield close()
 
     small_batches(pages.sparkSession)
-    ordered = with_response(pages).repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    # Rows without html come before the pages of their id.
+    ordered = with_responses(pages).repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url", "html")
     return cut_lineage(ordered.mapInPandas(run, "part long, seq long, file string, bytes long, n long"))
 
 
