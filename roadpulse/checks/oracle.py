@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from roadpulse.checks import queries as q
 from roadpulse.checks.inputs import BEARING, LAT, LON
-from roadpulse.functions.fuzzy import LEVELS, RULES
+
+# The rule tables once more, by count term and distance term.
+LEVELS = {"VL": 0.1, "L": 0.35, "M": 0.55, "H": 0.75, "VH": 1.0}
+RULE_TEXT = {
+    "tight": "med low H, high low VH, low med VL, med med L, high med L, low high VL,"
+    " med high VL, high high L",
+    "initial": "low low M, med low H, high low VH, low med L, med med M, high med H,"
+    " low high VL, med high L, high high M",
+}
+RULES = {
+    base: {(r[0], r[1]): r[2] for r in (rule.split() for rule in text.split(","))}
+    for base, text in RULE_TEXT.items()
+}
 
 ROAD = "concat(case when event_id % 3 = 0 then 'm' else 'M' end, cast(user_id % 4 as varchar))"
 
@@ -621,4 +633,10 @@ def build() -> dict[str, str]:
         for n, s in crisp
     ]
     out["stream_replay"] = with_(fed, final)
+    out["incident_accounting"] = f"""select interval_id, went, count(*) as n from (
+    select case when event_id % 83 <> 0 then cast(floor((day(ts) - 1) / {q.REPLAY_DAYS}) + 1 as int) end
+      as interval_id,
+      case when event_id % 83 = 0 or not ({good}) then 'quarantine'
+        when event_id % 5 = 0 then 'late' else 'counted' end as went from events) t
+  group by 1, 2"""
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadpulse.checks import inputs
 from roadpulse.functions import fuzzy, geo
@@ -465,19 +466,43 @@ def replay_metrics(spark, sf):
 
 
 def stream_replay(spark, sf):
-    """Interval files read as a stream; ids are text there."""
+    """Interval files, several per interval, read as a stream; ids are text."""
     files = scratch_path(spark, "feed")
+    _feed_lines(spark, sf).write.partitionBy("interval_id").text(files)
+    store = _stream(spark, files, scratch_path(spark, "stream"), scratch_path(spark, "offsets"))
+    got = _last_state(store)
+    return tidy(got.select("hs_id", "road_key", "lat", "lon", "fitness", "age"))
+
+
+def _feed_lines(spark, sf):
     feed = incident_lines(spark, sf).withColumn(
         "interval_id", (F.floor((F.col("interval_id") - 1) / REPLAY_DAYS) + 1).cast("int")
     )
-    feed.write.partitionBy("interval_id").text(files)
-    good = src.good_rows(src.stream_incident_csv(spark, files, files_per_trigger=None))
-    good = good.withColumn("incident_id", F.col("incident_id").cast("long"))
-    root = scratch_path(spark, "stream")
-    run.run_stream(good, root, scratch_path(spark, "offsets"), REPLAY_CRISP)
-    store = run.RunStore(spark, root, good.schema["incident_id"].dataType, False)
-    got = _last_state(store)
-    return tidy(got.select("hs_id", "road_key", "lat", "lon", "fitness", "age"))
+    return feed.repartition(3)
+
+
+def _stream(spark, files, root, offsets):
+    run.run_stream(src.stream_incident_csv(spark, files), root, offsets, REPLAY_CRISP)
+    return run.RunStore(spark, root, T.LongType(), False)
+
+
+def incident_accounting(spark, sf):
+    """Where every line of a feed went, by interval: a fifth of the lines comes
+    when its interval is closed, and some lines have no interval."""
+    files, root, offsets = (scratch_path(spark, n) for n in ("feed", "stream", "offsets"))
+    number = F.split("value", ",")[0].cast("long")
+    feed = _feed_lines(spark, sf).withColumn(
+        "interval_id", F.when(number % 83 != 0, F.col("interval_id"))
+    )
+    for late in (False, True):
+        part = feed.filter((number % 5 == 0) == late)
+        part.write.mode("append").partitionBy("interval_id").text(files)
+        store = _stream(spark, files, root, offsets)
+    counted = store.metrics().select("interval_id", F.lit("counted").alias("went"), F.col("n_incidents").alias("n"))
+    for kind in ("late", "quarantine"):
+        rows = store.read_aside(kind).groupBy("interval_id").agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.unionByName(rows.withColumn("went", F.lit(kind)))
+    return counted
 
 
 QUERIES = {
@@ -493,7 +518,7 @@ QUERIES = {
         report_hotspots, fuzzy_density, update_sd, density_labels, interval_metrics,
         rank_quantiles_fitness, rank_quantiles_sd, format_hotspots, format_hotspots_fuzzy,
         write_hotspots, heatmap_frames, step_crisp, step_fuzzy, step_bucketed, replay_crisp,
-        replay_fuzzy, replay_metrics, stream_replay,
+        replay_fuzzy, replay_metrics, stream_replay, incident_accounting,
     ]
 }
 QUERIES["islands"] = islands_query

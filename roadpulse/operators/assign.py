@@ -99,13 +99,8 @@ def road_pairs(
     return pairs.selectExpr("*", f"{MILES} as miles")
 
 
-def best_match(pick: str) -> str:
-    """One hot spot per group of pairs: nearest, ties to the lowest id; or the
-    lowest id. Null where the group has no match."""
-    return f"min(case when hs_id is not null then {_ranked(pick, MILES, '')} end)"
-
-
 def _ranked(pick: str, miles: str, of: str) -> str:
+    """Order of the candidates: nearest, ties to the lowest id; or the lowest id."""
     keys = [f"{miles} as miles", f"{of}hs_id as hs_id"]
     if pick == "first":
         keys.reverse()
@@ -117,36 +112,31 @@ def assign_crisp(
     hotspots: DataFrame,
     radius: float,
     pick: str = "nearest",
-    keys: list[str] | None = None,
     rows: int | None = None,
     limit: int = 20_000,
 ) -> DataFrame:
     """All incidents, each with the one hot spot it counts for (`hs_id`,
-    `miles` and the hot spot's place), or nulls. `keys` identify a row (the
-    incident id by default).
+    `miles` and the hot spot's place), or nulls. Rows need no key: copies stay.
 
-    With no more hot spots than the bound, each cell's go out as one array and
-    every incident picks from its own: no incident is moved or sorted. Beyond
-    it the pairs of a join are reduced per row, first within each task.
+    Each cell's hot spots are packed into one array, from which every incident
+    of the cell picks its own. With no more hot spots than the bound the arrays
+    are broadcast and no incident moves. Beyond it, or when the number is not
+    known, both sides are shuffled once by cell; adaptive execution splits a hot
+    cell on the incident side. Hot spots lie apart, so an array stays short.
     """
     found = ("hs_id", "miles", "hs_lat", "hs_lon")
-    if rows is not None and rows <= limit:
-        best = _pick_in_place(incidents, hotspots, radius, pick)
-        return best.select(*incidents.columns, *[F.col(f"_best.{c}").alias(c) for c in found])
-    keys = keys or ["incident_id"]
-    rest = [c for c in incidents.columns if c not in keys]
-    cells = hotspot_cells(hotspots, radius, rows, limit)
-    pairs = _join(incidents, cells, radius, "left", crisp_gate(radius))
-    best = pairs.groupBy(*keys).agg(
-        F.expr(best_match(pick)).alias("_best"), *[F.any_value(c).alias(c) for c in rest]
-    )
+    known_small = rows is not None and rows <= limit
+    best = _pick_from_cells(incidents, hotspots, radius, pick, known_small)
     return best.select(*incidents.columns, *[F.col(f"_best.{c}").alias(c) for c in found])
 
 
-def _pick_in_place(incidents: DataFrame, hotspots: DataFrame, radius: float, pick: str):
+def _pick_from_cells(
+    incidents: DataFrame, hotspots: DataFrame, radius: float, pick: str, in_place: bool
+):
     cells = hotspot_cells(hotspots, radius)
     one = F.struct("hs_id", "hs_lat", "hs_lon", "hs_bearing")
-    packed = F.broadcast(cells.groupBy(*CELL).agg(F.collect_list(one).alias("_near")))
+    packed = cells.groupBy(*CELL).agg(F.collect_list(one).alias("_near"))
+    packed = F.broadcast(packed) if in_place else packed.hint("merge")
     way = bearing_compatible("bearing", "h.hs_bearing")
     row = _ranked(pick, haversine_miles("lat", "lon", "h.hs_lat", "h.hs_lon"), "h.")
     ranked = f"transform(filter(_near, h -> {way}), h -> {row})"

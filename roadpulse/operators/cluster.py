@@ -1,6 +1,6 @@
 """Stage 2: turn unmatched locations into new hot spot centres.
 
-The rule, over the locations of a road in order of `seq`: one that is already
+The rule, over the locations of a road in order of `seq`, then place: one that is already
 a centre stays one; otherwise it joins the earliest centre before it within the
 radius; otherwise it makes the next location within the radius a centre and
 joins that; otherwise it is a centre of its own.
@@ -36,6 +36,10 @@ from roadpulse.session import cut_lineage
 # Tasks get the helper along with the function, wherever the driver was started.
 cloudpickle.register_pickle_by_value(in_order)
 
+# What orders the locations of a road and names one of them: incident ids may
+# repeat, places do not.
+AT = ["seq", "lat", "lon"]
+TO = ["to", "to_lat", "to_lon"]
 OUT = ["hs_id", "road_key", "road", "lat", "lon", "bearing", "n", "n_added", "dist_sum", "lone"]
 
 
@@ -118,7 +122,7 @@ def _grouped(
     out_cols = [*OUT, *extra]
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*by, "seq"], ignore_index=True)
+        pdf = pdf.sort_values([*by, *AT], ignore_index=True)
         target, miles, _ = in_order.settle_groups(pdf, by, radius)
         got = pd.DataFrame({"t": target, "n": pdf["n"], "m": miles}).groupby("t")
         out = got.agg(n=("n", "sum"), n_added=("n", "size"), dist_sum=("m", "sum"))
@@ -146,6 +150,11 @@ def _near(a: str, b: str, radius: float) -> str:
     return f"{way} and {_miles(a, b)} <= {number(radius)}"
 
 
+def _before(a: str, b: str) -> str:
+    """Condition that one aliased row comes before another in the order."""
+    return f"struct({', '.join(f'{a}.{c}' for c in AT)}) < struct({', '.join(f'{b}.{c}' for c in AT)})"
+
+
 def _reach(df: DataFrame, radius: float, rows: int | None) -> DataFrame:
     """The side of a distance join that is copied into cells, shipped by its
     row count."""
@@ -163,13 +172,12 @@ def first_later_neighbour(
     The partial aggregate keeps one candidate per probe and task."""
     cells = [*keys, "cell_y", "cell_x"]
     reach = _reach(probes.select(*keys, "seq", "lat", "lon", "bearing"), radius, rows)
-    later = f"{_same('p', 'q', cells)} and q.seq > p.seq and {_near('p', 'q', radius)}"
+    later = f"{_same('p', 'q', cells)} and {_before('p', 'q')} and {_near('p', 'q', radius)}"
     pairs = reach.alias("p").join(with_cell(points, radius).alias("q"), F.expr(later))
     nxt = F.expr(f"struct(q.seq, q.lat, q.lon, q.bearing, {_miles('p', 'q')} as miles)")
-    best = pairs.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.seq").alias("seq")).agg(
-        F.min(nxt).alias("next")
-    )
-    return probes.join(best, [*keys, "seq"], "left")
+    by = [F.col(f"p.{k}").alias(k) for k in [*keys, *AT]]
+    best = pairs.groupBy(*by).agg(F.min(nxt).alias("next"))
+    return probes.join(best, [*keys, *AT], "left")
 
 
 def cluster_in_rounds(
@@ -185,8 +193,10 @@ def cluster_in_rounds(
     lies within the radius, or if it is the first that such a one, or one that
     waits for its next neighbour, would call on. Those few form groups that
     cannot meet (islands of their own) and are settled in order; the rest take
-    the earliest centre before them at the end, in one join. A slice that leaves too many in one group is halved. So every
-    location is joined about once, and no task gets more than the bound.
+    the earliest centre before them at the end, in one join. A slice that puts
+    too many in one group, waiting ones included, is halved, down to locations
+    that share one `seq`. So every location is joined about once, and no group
+    is above the bound as long as ids differ.
     """
     keys = keys or ["road_key"]
     points = cut_lineage(points)
@@ -206,15 +216,15 @@ def cluster_in_rounds(
             part = part.filter(F.col("seq") <= F.lit(high))
         fresh = cut_lineage(_fresh(part, found, waiting, radius, keys, n_centres, n_waiting))
         n_fresh = fresh.count()
-        middle = _too_many(fresh, n_fresh, radius, keys, max_group_rows)
-        if middle is not None:
-            todo[:0] = [middle, high]
-            continue
         active, idle = fresh, None
         if waiting is not None:
             called_on, idle = _split_waiting(waiting, fresh, n_fresh, radius, keys)
             active = cut_lineage(fresh.unionByName(called_on.withColumn("covered", F.lit(False))))
         rows = active.count()
+        middle = _too_many(active, rows, fresh, n_fresh, radius, keys, max_group_rows)
+        if middle is not None:
+            todo[:0] = [middle, high]
+            continue
         if rows > max_group_rows:
             active = assign_islands(active, radius, keys)
         out = cut_lineage(_settle_slice(active, radius, keys, rows))
@@ -256,7 +266,7 @@ def _fresh(part, found, waiting, radius, keys, n_centres, n_waiting):
         return part.withColumn("covered", F.lit(False))
     at = with_cell(part, radius).alias("o")
     centres = _reach(_centres(found).select(*cols), radius, n_centres).alias("a")
-    earlier = F.expr(f"{_same('a', 'o', cells)} and a.seq < o.seq and {_near('a', 'o', radius)}")
+    earlier = F.expr(f"{_same('a', 'o', cells)} and {_before('a', 'o')} and {_near('a', 'o', radius)}")
     free = cut_lineage(at.join(centres, earlier, "left_anti").select(*cols))
     covered = at.join(centres, earlier, "left_semi").select(*cols)
     callers = free.unionByName(waiting.select(*cols))
@@ -269,15 +279,15 @@ def _fresh(part, found, waiting, radius, keys, n_centres, n_waiting):
     )
 
 
-def _too_many(fresh, rows, radius, keys, max_group_rows):
-    """Where to cut the slice if it puts too many of its own rows in one group,
-    else nothing."""
+def _too_many(active, rows, fresh, n_fresh, radius, keys, max_group_rows):
+    """Where to cut the slice if what is to be settled puts too many rows in one
+    group, else nothing."""
     if rows <= max_group_rows:
         return None
-    sizes = island_sizes(island_bands(fresh, radius, keys), keys)
+    sizes = island_sizes(island_bands(active, radius, keys), keys)
     if sizes.agg(F.max("island_rows")).first()[0] <= max_group_rows:
         return None
-    some = fresh.select("seq").sample(min(1.0, 20_000 / rows), seed=7).collect()
+    some = fresh.select("seq").sample(min(1.0, 20_000 / max(n_fresh, 1)), seed=7).collect()
     some = sorted(r[0] for r in some)
     if some and some[0] < some[-1]:
         return some[(len(some) - 1) // 2]
@@ -303,16 +313,17 @@ def _settle_slice(grouped, radius, keys, rows):
     kinds = dict(grouped.dtypes)
     schema = ", ".join(
         [f"{k} {kinds[k]}" for k in [*keys, "seq", "lat", "lon", "bearing"]]
-        + ["role string", f"to {kinds['seq']}", "miles double"]
+        + ["role string", f"to {kinds['seq']}", "to_lat double", "to_lon double", "miles double"]
     )
-    names = [*keys, "seq", "lat", "lon", "bearing", "role", "to", "miles"]
+    names = [*keys, "seq", "lat", "lon", "bearing", "role", *TO, "miles"]
 
     def roles(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*by, "seq"], ignore_index=True)
+        pdf = pdf.sort_values([*by, *AT], ignore_index=True)
         target, miles, centre = in_order.settle_groups(
             pdf, by, radius, pdf["covered"].to_numpy()
         )
-        out = pdf.assign(to=pdf["seq"].to_numpy()[target], miles=miles, role="settled")
+        goal = {t: pdf[c].to_numpy()[target] for t, c in zip(TO, AT)}
+        out = pdf.assign(**goal, miles=miles, role="settled")
         out.loc[target == out.index, "role"] = "waiting"
         out.loc[centre, "role"] = "centre"
         return out.loc[target >= 0, names]
@@ -332,25 +343,26 @@ def _gather(points, found, waiting, radius, keys, n_centres):
     neighbour left and are centres of their own."""
     extra = [k for k in keys if k != "road_key"]
     cells = [*keys, "cell_y", "cell_x"]
-    cols = [*keys, "seq", "to", "miles"]
+    cols = [*keys, *AT, *TO, "miles"]
     fixed = waiting.select(*cols)
     for df in found:
         fixed = fixed.unionByName(df.select(*cols))
     centres = _centres(found).select(*keys, "seq", "lat", "lon", "bearing")
-    rest = points.join(fixed, [*keys, "seq"], "left_anti")
-    near = f"{_same('c', 'o', cells)} and c.seq < o.seq and {_near('c', 'o', radius)}"
+    rest = points.join(fixed, [*keys, *AT], "left_anti")
+    near = f"{_same('c', 'o', cells)} and {_before('c', 'o')} and {_near('c', 'o', radius)}"
+    goal = ", ".join(f"c.{c} as {t}" for t, c in zip(TO, AT))
     taken = (
         with_cell(rest, radius)
         .alias("o")
         .join(_reach(centres, radius, n_centres).alias("c"), F.expr(near))
-        .groupBy(*[F.col(f"o.{k}").alias(k) for k in keys], F.col("o.seq").alias("seq"))
-        .agg(F.expr(f"min(struct(c.seq as to, {_miles('c', 'o')} as miles))").alias("_b"))
-        .select(*keys, "seq", "_b.to", "_b.miles")
+        .groupBy(*[F.col(f"o.{k}").alias(k) for k in [*keys, *AT]])
+        .agg(F.expr(f"min(struct({goal}, {_miles('c', 'o')} as miles))").alias("_b"))
+        .select(*keys, *AT, "_b.*")
     )
     sums = (
-        points.select(*keys, "seq", "n")
-        .join(fixed.unionByName(taken), [*keys, "seq"])
-        .groupBy(*keys, "to")
+        points.select(*keys, *AT, "n")
+        .join(fixed.unionByName(taken), [*keys, *AT])
+        .groupBy(*keys, *TO)
         .agg(
             F.sum("n").cast("long").alias("n"),
             F.count(F.lit(1)).alias("n_added"),
@@ -360,7 +372,10 @@ def _gather(points, found, waiting, radius, keys, n_centres):
     return (
         points.drop("n")
         .withColumnRenamed("seq", "hs_id")
-        .join(sums.withColumnRenamed("to", "hs_id"), [*keys, "hs_id"])
+        .join(
+            sums.withColumnsRenamed({"to": "hs_id", "to_lat": "lat", "to_lon": "lon"}),
+            [*keys, "hs_id", "lat", "lon"],
+        )
         .withColumn("lone", F.col("n_added") == 1)
         .select(*OUT, *extra)
     )
@@ -399,9 +414,10 @@ def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> Dat
     within the radius of one another, so the edges below stay few per row."""
     keys = ["road_key"]
     cells = [*keys, "cell_y", "cell_x"]
-    lone = first.filter("lone").select("road_key", F.col("hs_id").alias("seq"), "bucket_id", "lat", "lon", "bearing", "n")
+    first = first.withColumn("at", F.struct(F.col("hs_id").alias("seq"), "lat", "lon"))
+    lone = first.filter("lone").select("road_key", F.col("at").alias("seq"), "bucket_id", "lat", "lon", "bearing", "n")
     every = first.select(
-        "road_key", F.col("hs_id").alias("seq"), "bucket_id", "lat", "lon", "bearing", "lone"
+        "road_key", F.col("at").alias("seq"), "bucket_id", "lat", "lon", "bearing", "lone"
     )
     side = _reach(every, radius, first.count())
     edges = cut_lineage(
@@ -450,12 +466,12 @@ def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> Dat
     moves = (
         standing.groupBy("road_key", "seq")
         .agg(F.min(F.struct("to_bucket", "to")).alias("_b"))
-        .select("road_key", F.col("seq").alias("hs_id"), F.col("_b.to").alias("to"))
+        .select("road_key", F.col("seq").alias("at"), F.col("_b.to").alias("to"))
     )
     counted = F.when(F.col("to").isNotNull() & F.lit(compat_counts), F.lit(1)).otherwise(F.col("n"))
     sums = (
-        first.join(moves, ["road_key", "hs_id"], "left")
-        .groupBy("road_key", F.coalesce("to", "hs_id").alias("hs_id"))
+        first.join(moves, ["road_key", "at"], "left")
+        .groupBy("road_key", F.coalesce("to", "at").alias("at"))
         .agg(
             F.sum(counted).cast("long").alias("n"),
             F.sum("n_added").cast("long").alias("n_added"),
@@ -463,6 +479,6 @@ def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> Dat
     )
     return (
         first.drop("n", "n_added", "bucket_id", "dist_sum", "lone")
-        .join(sums, ["road_key", "hs_id"])
+        .join(sums, ["road_key", "at"])
         .select(*OUT[:8])
     )

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from roadpulse.params import CrispParams
+from roadpulse.sources.incidents import with_reason
 from roadpulse.streaming.run import IntervalRunner, stage_by_interval
 from roadpulse.streaming.store import RunStore
 
 
+# Bad rows are staged beside the good ones, in one pass, under a number that no
+# interval has, and kept as what batch 0 set aside.
+BAD = 2_147_483_647
+BAD_BATCH = 0
+
+
 def replay(
     incidents: DataFrame,
     root: str,
@@ -21,15 +29,32 @@ def replay(
 
     The history is put in one folder per interval first, in one pass. Every
     interval is committed by itself: a replay that was cut short goes on after
-    the last one that was.
+    the last one that was. Rows that cannot take part go to the quarantine, and
+    to the late table go those of intervals before that one that never had a
+    step. Intervals that had one are taken as counted.
     """
     spark = incidents.sparkSession
-    id_type = incidents.schema["incident_id"].dataType
-    runner = IntervalRunner(spark, root, params, id_type, quantiles)
-    staged, ids = stage_by_interval(incidents)
+    runner = IntervalRunner(spark, root, params, quantiles=quantiles)
+    rows = with_reason(incidents).withColumn("read_interval", F.col("interval_id"))
+    good = F.col("bad_reason").isNull()
+    rows = rows.withColumn("interval_id", F.when(good, F.col("interval_id")).otherwise(BAD))
+    staged, ids = stage_by_interval(rows)
+    if BAD in ids:
+        bad = staged.filter(F.col("interval_id") == BAD).drop("interval_id")
+        bad = bad.withColumnRenamed("read_interval", "interval_id")
+        runner.store.write_aside("quarantine", bad, BAD_BATCH)
+    staged = staged.drop("bad_reason", "value", "read_interval")
     done = runner.store.latest()
+    if done:
+        stepped = {r[0] for r in runner.store.metrics().select("interval_id").collect()}
+        late = [t for t in ids if t <= done.interval_id and t not in stepped]
+        if late:
+            rows = staged.filter(F.col("interval_id").isin(late))
+            runner.store.write_aside("late", rows, done.batch_id)
     for t in ids:
-        if (done and t <= done.interval_id) or (last_interval is not None and t > last_interval):
+        if t == BAD or (last_interval is not None and t > last_interval):
+            continue
+        if done and t <= done.interval_id:
             continue
         runner.run_batch(staged.filter(f"interval_id = {t}"), t, [t])
     return runner.store

@@ -94,7 +94,6 @@ def interval_step(
             known,
             params.radius_miles,
             params.pick,
-            keys=["road", *assign.POSITION] if "n" in incidents.columns else None,
             **ship,
         )
     counted = keep(assign.tally(matched, fuzzy))

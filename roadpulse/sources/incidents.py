@@ -24,7 +24,19 @@ def parse_incident_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     out = lines.withColumn("_parts", parts)
     for pos, name in enumerate(INCIDENT_FIELDS):
         out = out.withColumn(name, _typed(F.get("_parts", F.lit(pos)), name))
-    return out.withColumn("bad_reason", _bad_reason()).drop("_parts")
+    return with_reason(out.drop("_parts"))
+
+
+def with_reason(incidents: DataFrame) -> DataFrame:
+    """Adds `bad_reason`: why a row cannot take part, else null. A reason that
+    is already there stays; a frame with intervals needs one in every row."""
+    reason = _bad_reason()
+    if "bad_reason" in incidents.columns:
+        reason = F.coalesce("bad_reason", reason)
+    if "interval_id" in incidents.columns:
+        no_interval = F.when(F.col("interval_id").isNull(), F.lit("interval"))
+        reason = F.coalesce(reason, no_interval)
+    return incidents.withColumn("bad_reason", reason)
 
 
 def _typed(raw: Column, name: str) -> Column:
@@ -67,10 +79,11 @@ def read_incident_csv(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def stream_incident_csv(
-    spark: SparkSession, directory: str, files_per_trigger: int | None = 1
+    spark: SparkSession, directory: str, files_per_trigger: int | None = None
 ) -> DataFrame:
     """The same rows as a stream over the files that appear in a folder. The
-    interval comes from the file name, not from the order of arrival."""
+    interval comes from the file name, not from the order of arrival; all files
+    that are there come in one batch unless `files_per_trigger` says less."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -102,13 +115,16 @@ def keyed_incidents(incidents: DataFrame) -> DataFrame:
 
 
 def with_seq(df: DataFrame, order: str = "id") -> DataFrame:
-    """The column that fixes who comes first. `id` follows the incident id;
-    `hash` shuffles it, which keeps chains of decisions short when ids follow
-    the course of a road."""
+    """The number that fixes who comes first. `id` follows the incident id; ids
+    that are missing or no whole numbers count by a hash of the row. `hash` takes
+    the hash for all, which keeps chains of decisions short when ids follow the
+    course of a road. Equal numbers are told apart by place."""
+    text = F.col("incident_id").cast("string")
+    hashed = F.xxhash64(text, "road", "lat", "lon", "bearing")
     if order == "hash":
-        text = F.col("incident_id").cast("string")
-        return df.withColumn("seq", F.concat_ws("-", F.md5(text), text))
-    return df.withColumn("seq", F.col("incident_id"))
+        return df.withColumn("seq", hashed)
+    number = F.when(text.rlike(WHOLE_NUMBER), text.try_cast("long"))
+    return df.withColumn("seq", F.coalesce(number, hashed))
 
 
 def assign_interval(df: DataFrame, hours: int, origin: str, ts: str = "ts") -> DataFrame:

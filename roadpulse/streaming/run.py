@@ -15,6 +15,7 @@ from roadpulse.operators.state import advance_idle
 from roadpulse.params import CrispParams, FuzzyParams
 from roadpulse.plans.step import interval_step, state_of
 from roadpulse.session import scratch_path
+from roadpulse.sources.incidents import with_reason
 from roadpulse.streaming.store import RunStore, Version, partition_values
 
 SMALL_STATE = 100_000  # rows up to which ranks are read off one sorted array
@@ -35,21 +36,80 @@ class IntervalRunner:
         self.params = params
         self.fuzzy = isinstance(params, FuzzyParams)
         self.quantiles = self.fuzzy if quantiles is None else quantiles
-        self.store = RunStore(spark, root, id_type or T.StringType(), self.fuzzy)
+        self.store = RunStore(spark, root, id_type or T.LongType(), self.fuzzy)
         self._newest: Version | None = None
 
-    def run_batch(self, batch: DataFrame, batch_id: int, seen: list[int] | None = None) -> None:
-        """`seen` names the intervals in the batch where the caller knows them."""
+    def run_batch(
+        self,
+        batch: DataFrame,
+        batch_id: int,
+        seen: list[int] | None = None,
+        hold_newest: bool = False,
+    ) -> None:
+        """`seen` names the intervals in the batch where the caller knows them
+        and has set aside what cannot take part. Rows of closed intervals go to
+        the late table, rows that cannot take part to the quarantine.
+
+        With `hold_newest` the newest interval stays open: its rows are parked
+        until a later interval comes, or until `flush`, so that an interval may
+        arrive in any number of files and batches.
+        """
         prior = self._prior(batch_id)
         if seen is None:
-            found = batch.select("interval_id").distinct().collect()
-            seen = [r[0] for r in found if r[0] is not None]
+            batch = with_reason(batch)
+            bad = F.col("bad_reason").isNotNull()
+            found = batch.groupBy("interval_id").agg(
+                F.count_if(bad).alias("bad"), F.count_if(~bad).alias("good")
+            )
+            found = found.collect()
+            if any(r["bad"] for r in found):
+                self.store.write_aside("quarantine", batch.filter(bad), batch_id)
+            seen = [r["interval_id"] for r in found if r["good"]]
+            batch = batch.filter(~bad).drop("bad_reason", "value")
         last = prior.interval_id if prior else None
-        open_ids = sorted(t for t in seen if last is None or t > last)
-        if len(open_ids) < len(seen):
-            self.store.write_late(batch.filter(F.col("interval_id") <= last), batch_id)
+        late = [t for t in seen if last is not None and t <= last]
+        if late:
+            self.store.write_aside("late", batch.filter(F.col("interval_id") <= last), batch_id)
+        open_ids = set(seen) - set(late)
+        if hold_newest:
+            parts = self._open_parts(batch_id, last)
+            open_ids |= {t for _, t in parts}
+            if not open_ids:
+                return
+            newest = max(open_ids)
+            if newest in seen:
+                self.store.park(batch.filter(F.col("interval_id") == newest), batch_id, newest)
+            open_ids.remove(newest)
+            carried = [(b, t) for b, t in parts if t != newest]
+            if carried:
+                parked = self.store.read_parked(carried)
+                batch = batch.unionByName(parked, allowMissingColumns=True)
+        self._run_intervals(batch, batch_id, sorted(open_ids), prior)
+
+    def flush(self) -> None:
+        """Closes the intervals that are still open. The number of the version
+        follows the last one used, and must not be that of a batch to come."""
+        parked = self.store.parked()
+        if not parked:
+            return
+        prior = self.store.latest()
+        batch_id = max([b for b, _ in parked] + ([prior.batch_id] if prior else [])) + 1
+        parts = self._open_parts(batch_id, prior.interval_id if prior else None)
+        if parts:
+            rows = self.store.read_parked(parts)
+            self._run_intervals(rows, batch_id, sorted({t for _, t in parts}), prior)
+
+    def _open_parts(self, batch_id: int, last: int | None) -> list[tuple[int, int]]:
+        """What batches before this one parked and no version has counted."""
+        found = self.store.parked()
+        return [(b, t) for b, t in found if b < batch_id and (last is None or t > last)]
+
+    def _run_intervals(
+        self, batch: DataFrame, batch_id: int, open_ids: list[int], prior: Version | None
+    ) -> None:
         if not open_ids:
             return
+        batch = batch.filter(F.col("interval_id").isin(open_ids))
         staged = None
         if len(open_ids) > 1:
             staged, _ = stage_by_interval(batch)
@@ -130,24 +190,19 @@ class IntervalRunner:
 def _sorted_ranks(column: str):
     values = F.sort_array(F.collect_list(column))
     n = F.size(values)
-    return F.when(
-        n > 0,
-        F.array(
-            *[
-                F.get(values, F.least(F.floor(F.lit(p) * n).cast("int"), n - 1))
-                for p in PROBABILITIES
-            ]
-        ),
+    # Without rows every position lies outside the array: nulls, as by `ranks`.
+    return F.array(
+        *[F.get(values, F.least(F.floor(F.lit(p) * n).cast("int"), n - 1)) for p in PROBABILITIES]
     )
 
 
 def stage_by_interval(incidents: DataFrame) -> tuple[DataFrame, list[int]]:
     """Incidents in one folder per interval, so that every step reads its own
     interval only, and the intervals there are. Rebalancing splits intervals
-    that hold many rows over several files and tasks."""
+    that hold many rows over several files and tasks. All rows have an interval."""
     spark = incidents.sparkSession
     path = scratch_path(spark, "intervals")
-    rows = incidents.filter(F.col("interval_id").isNotNull()).hint("rebalance", "interval_id")
+    rows = incidents.hint("rebalance", "interval_id")
     rows.write.partitionBy("interval_id").parquet(path)
     kept = [f for f in incidents.schema if f.name != "interval_id"]
     schema = T.StructType(kept + [T.StructField("interval_id", T.IntegerType())])
@@ -165,19 +220,23 @@ def run_stream(
     timeout_seconds: float | None = None,
     quantiles: bool | None = None,
 ) -> StreamingQuery:
-    """Steps over a streaming table of incidents with an `interval_id`.
+    """Steps over a streaming table of incidents with an `interval_id`, either
+    parsed lines as they are or rows of one's own; what cannot take part goes to
+    the quarantine.
 
-    With `available_now` the call returns when what is there has been worked
-    off; otherwise the query goes on, at most `timeout_seconds` if given.
+    An interval is closed when a later one is seen, and with `available_now` at
+    the end, when the call returns: what is there has then been worked off.
+    Otherwise the query goes on, at most `timeout_seconds` if given, and the
+    newest interval waits. Versions of a run are numbered twice the batch, so
+    that the closing of the last interval has a number of its own.
     """
-    id_type = incidents.schema["incident_id"].dataType
-    runner = IntervalRunner(incidents.sparkSession, root, params, id_type, quantiles)
+    runner = IntervalRunner(incidents.sparkSession, root, params, quantiles=quantiles)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         """A step reads its batch more than once; the files are parsed once."""
         batch.persist()
         try:
-            runner.run_batch(batch, batch_id)
+            runner.run_batch(batch, 2 * batch_id, hold_newest=True)
         finally:
             batch.unpersist()
 
@@ -193,6 +252,7 @@ def run_stream(
             query.stop()
     elif available_now:
         query.awaitTermination()
+        runner.flush()
     return query
 
 

@@ -3,6 +3,8 @@
     <root>/state/batch_id=B/interval_id=T/status=...   outcome of interval T
     <root>/metrics/batch_id=B                          written last: the commit
     <root>/late/batch_id=B                             rows of closed intervals
+    <root>/quarantine/batch_id=B                       rows that cannot take part
+    <root>/parked/batch_id=B/interval_id=T             rows of an interval still open
 
 A batch writes only below its own id and overwrites what an earlier attempt
 left there, so a retry gives the same tables. Its metrics rows mark it done.
@@ -101,8 +103,35 @@ class RunStore:
             self.outcome_path(batch_id, interval_id)
         )
 
-    def write_late(self, late: DataFrame, batch_id: int) -> None:
-        late.write.mode("overwrite").parquet(f"{self.root}/late/batch_id={batch_id}")
+    def write_aside(self, kind: str, rows: DataFrame, batch_id: int) -> None:
+        """`kind` is late or quarantine."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{kind}/batch_id={batch_id}")
+
+    def read_aside(self, kind: str) -> DataFrame | None:
+        """Rows set aside by all batches, or None where there are none."""
+        found = partition_values(self.spark, f"{self.root}/{kind}", "batch_id", finished=True)
+        if not found:
+            return None
+        reader = self.spark.read.option("basePath", f"{self.root}/{kind}")
+        return reader.parquet(*[f"{self.root}/{kind}/batch_id={b}" for b in found])
+
+    def parked_path(self, batch_id: int, interval_id: int) -> str:
+        return f"{self.root}/parked/batch_id={batch_id}/interval_id={interval_id}"
+
+    def park(self, rows: DataFrame, batch_id: int, interval_id: int) -> None:
+        rows.write.mode("overwrite").parquet(self.parked_path(batch_id, interval_id))
+
+    def parked(self) -> list[tuple[int, int]]:
+        """(batch, interval) of all that was parked so far."""
+        top = f"{self.root}/parked"
+        return [
+            (b, t)
+            for b in partition_values(self.spark, top, "batch_id")
+            for t in partition_values(self.spark, f"{top}/batch_id={b}", "interval_id", finished=True)
+        ]
+
+    def read_parked(self, parts: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.parquet(*[self.parked_path(b, t) for b, t in parts])
 
     def write_metrics(self, rows: list[tuple], batch_id: int) -> None:
         df = self.spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1)
@@ -110,10 +139,11 @@ class RunStore:
 
     def metrics(self) -> DataFrame:
         schema = "batch_id long, " + METRICS_SCHEMA
-        return self.spark.read.schema(schema).parquet(f"{self.root}/metrics")
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/metrics")
+        return rows.filter(F.col("batch_id").isin(self._committed()))
 
     def outcomes(self) -> DataFrame:
-        """Outcomes of all intervals; filters on interval and status prune."""
+        """Outcomes of all finished batches; filters on interval and status prune."""
         schema = T.StructType(
             [f for f in self.outcome_schema if f.name != "status"]
             + [
@@ -122,7 +152,8 @@ class RunStore:
                 T.StructField("status", T.StringType()),
             ]
         )
-        return self.spark.read.schema(schema).parquet(f"{self.root}/state")
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/state")
+        return rows.filter(F.col("batch_id").isin(self._committed()))
 
     def hotspots(self) -> DataFrame:
         """Reported hot spots of all intervals."""

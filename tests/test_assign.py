@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from roadpulse.operators import assign
 from tests import data, plain
@@ -22,6 +23,28 @@ def test_assign_crisp(spark, rows, limit, pick):
     assert {r["incident_id"]: r["hs_id"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("rows", [None, 40, 4])
+def test_rows_that_share_an_id_stay_apart(spark, rows):
+    items = [dict(x, id=x["id"] // 2) for x in LEFT]
+    inc = data.keyed(spark, items).withColumn("incident_id", F.expr("nullif(incident_id, 3)"))
+    got = assign.assign_crisp(inc, data.hotspots(spark, RIGHT), 3.0, rows=rows, limit=10)
+    found = sorted(str((r["incident_id"], r["lat"], r["lon"], r["hs_id"])) for r in got.collect())
+    want = []
+    for x in items:
+        near = [(plain.miles(x, b), b["id"]) for b in RIGHT if plain.within(x, b, 3.0)]
+        want.append(str((None if x["id"] == 3 else x["id"], x["lat"], x["lon"], min(near)[1] if near else None)))
+    assert found == sorted(want)
+
+
+def test_join_path_sorts_no_pairs(spark):
+    inc = data.keyed(spark, LEFT).repartition(3)
+    got = assign.assign_crisp(inc, data.hotspots(spark, RIGHT), 3.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 2
+    seen = assign.tally(got)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in seen
+
+
 def test_unassigned_and_counts(spark):
     inc, hs = data.keyed(spark, LEFT), data.hotspots(spark, RIGHT)
     done = assign.assign_crisp(inc, hs, 3.0)

@@ -112,3 +112,44 @@ def test_text_ids_and_hashed_order(spark):
     got = cluster.greedy_cluster(pts, 1.5)
     assert got.agg({"n": "sum"}).first()[0] == len(items)
     assert as_dict(got) == as_dict(cluster.cluster_in_rounds(pts, 1.5, 20))
+
+
+def by_place(df):
+    return {(r["road_key"], r["lat"], r["lon"]): (r["n"], r["n_added"], round(r["dist_sum"], 6)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("null_every", [0, 9])
+def test_repeated_and_missing_ids(spark, null_every):
+    """Both ways see the same order, and no incident is counted twice."""
+    from pyspark.sql import functions as F
+    from roadpulse.sources.incidents import with_seq
+
+    items = [dict(x, id=x["id"] // 3) for x in SETS["dense cell"][0]]
+    df = data.keyed(spark, items).drop("seq")
+    if null_every:
+        df = df.withColumn("incident_id", F.when(F.col("incident_id") % null_every > 0, F.col("incident_id")))
+    pts = new_locations(with_seq(df)).persist()
+    got = by_place(cluster.greedy_cluster(pts, 0.5))
+    assert sum(v[0] for v in got.values()) == len(items)
+    assert got == by_place(cluster.cluster_in_rounds(pts, 0.5, 40))
+    both = cluster.greedy_cluster_bucketed(pts, 0.5, 3)
+    assert both.agg({"n": "sum"}).first()[0] == len(items)
+
+
+def test_no_group_above_the_bound(spark, monkeypatch):
+    """Waiting locations that bridge islands count towards the bound too."""
+    items, r = SETS["one way"]
+    largest = []
+    settle = cluster._settle_slice
+
+    def watched(grouped, radius, keys, rows):
+        by = [*keys, "island_id"] if "island_id" in grouped.columns else keys
+        top = grouped.groupBy(*by).count().agg({"count": "max"}).first()[0]
+        largest.append(top or 0)
+        return settle(grouped, radius, keys, rows)
+
+    monkeypatch.setattr(cluster, "_settle_slice", watched)
+    sparse = data.rows(150, 44, roads=("m1",), spread=0.6, bearings=[5])
+    for rows, miles in ((items, r), (sparse, 1.0)):
+        assert as_dict(cluster.cluster_in_rounds(locs(spark, rows), miles, 40)) == wanted(rows, miles)
+    assert max(largest) <= 40

@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadpulse.operators import ranks, seed
 from tests import data
@@ -18,6 +19,18 @@ def test_sample_is_the_lowest_hashes(spark, n, percent):
     assert rest.count() == n - len(got)
 
 
+@pytest.mark.parametrize("few", [10_000, 1])
+def test_sample_size_with_repeated_and_missing_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(seed, "FEW", few)
+    rows = [dict(x, id=x["id"] // 50) for x in data.rows(400, 8)]
+    df = data.keyed(spark, rows)
+    df = df.withColumn("incident_id", F.when(F.col("incident_id") != 2, F.col("incident_id")))
+    chosen, rest = seed.seed_split(df)
+    copies = df.groupBy("incident_id", "road", "lat", "lon", "bearing").count().agg({"count": "max"}).first()[0]
+    assert 40 <= chosen.count() < 40 + copies
+    assert chosen.count() + rest.count() == 400
+
+
 @pytest.mark.parametrize("n", [1, 2, 10, 11, 100, 5000])
 @pytest.mark.parametrize("kind", ["spread", "ties", "outliers"])
 def test_ranks(spark, n, kind):

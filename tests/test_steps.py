@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from roadpulse.functions.fuzzy import LEVELS, RULES
+from roadpulse.checks.oracle import LEVELS, RULES
 from roadpulse.params import CrispParams, FuzzyParams
 from roadpulse.plans.replay import replay
 from roadpulse.plans.step import interval_step
@@ -110,9 +110,7 @@ def test_stream_restart_equals_replay(spark, tmp_path):
         os.utime(path, (1_700_000_000 + t, 1_700_000_000 + t))  # files are taken by age
 
     def go():
-        s = src.good_rows(src.stream_incident_csv(spark, str(feed)))
-        s = s.withColumn("incident_id", s.incident_id.cast("long"))
-        return run.run_stream(s, root, ck, CRISP)
+        return run.run_stream(src.stream_incident_csv(spark, str(feed)), root, ck, CRISP)
 
     put(1)
     go()
@@ -128,6 +126,66 @@ def test_stream_restart_equals_replay(spark, tmp_path):
     assert sum(r["n_rows"] for r in progress) == sum(x["t"] > 1 for x in items)
 
 
+@pytest.mark.parametrize("per_trigger", [1, 3, None])
+def test_an_interval_may_come_in_many_files_and_batches(spark, tmp_path, per_trigger):
+    items = history(60)
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    for k in range(3):
+        for t in GAPS:
+            rows = [x for x in items if x["t"] == t][k::3]
+            folder = feed / f"interval_id={t}"
+            folder.mkdir(exist_ok=True)
+            lines = [f"{x['id']},{x['lat']},{x['lon']},{x['bearing']},x,{x['road']}" for x in rows]
+            lines += ["7,north,1,1,x,m1"]
+            path = folder / f"part-{k}.txt"
+            path.write_text("\n".join(lines) + "\n")
+            os.utime(path, (1_700_000_000 + 10 * t + k,) * 2)
+    (feed / "other.txt").write_text("8,52.0,-1.0,40,x,m1\n")
+    stream = src.stream_incident_csv(spark, str(feed), per_trigger)
+    root = str(tmp_path / "r")
+    run.run_stream(stream, root, str(tmp_path / "ck"), CRISP)
+    store = run.RunStore(spark, root, data.frame(spark, items[:1]).schema["incident_id"].dataType, False)
+    check(final(store), simulate(items, CRISP))
+    assert {r["interval_id"]: r["n_incidents"] for r in store.metrics().collect()} == dict.fromkeys(GAPS, 60)
+    assert store.read_aside("late") is None
+    bad = [(r["interval_id"], r["bad_reason"]) for r in store.read_aside("quarantine").collect()]
+    assert sorted(bad, key=str) == sorted([(None, "interval")] + [(t, "latitude") for t in GAPS] * 3, key=str)
+
+
+def test_replay_sets_aside_what_cannot_take_part(spark, tmp_path):
+    items = history(60)
+    df = data.frame(spark, items)
+    bad = df.limit(7).withColumn("interval_id", df.interval_id.cast("int") * None)
+    store = replay(df.unionByName(bad), str(tmp_path / "r"), CRISP, last_interval=2)
+    got = store.read_aside("quarantine")
+    assert [(r[0], r[1]) for r in got.select("interval_id", "bad_reason").collect()] == [(None, "interval")] * 7
+    early = df.limit(4).selectExpr("* except (interval_id)", "0 as interval_id")
+    replay(df.unionByName(early), str(tmp_path / "r"), CRISP)
+    check(final(store), simulate(items, CRISP))
+    assert store.read_aside("late").count() == 4
+
+
+def test_batches_without_a_commit_are_not_seen(spark, tmp_path):
+    items = history(60)
+    store = replay(data.frame(spark, items), str(tmp_path / "r"), CRISP, last_interval=1)
+    before = store.outcomes().count(), store.metrics().count()
+    store.write_outcome(store.read_outcome(store.latest()), 99, 99)
+    assert (store.outcomes().count(), store.metrics().count()) == before
+    assert store.latest().batch_id == 1
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_quantiles_of_small_states(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(run, "SMALL_STATE", limit)
+    df = data.frame(spark, data.rows(30, 5))
+    for name, threshold in (("some", 1.2), ("none", 1e9)):
+        p = FuzzyParams(radius_miles=3.0, init_miles=1.0, delete_threshold=threshold, hotspot_threshold=threshold)
+        row = replay(df, str(tmp_path / name), p).metrics().first()
+        assert len(row["fv_quantiles"]) == len(row["sd_quantiles"]) == 6
+        assert (row["fv_quantiles"] == [None] * 6) == (name == "none")
+
+
 def test_ages_count_intervals(spark, tmp_path):
     items = history(60)
     store = replay(data.frame(spark, items), str(tmp_path / "r"), CRISP)
