@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from roadpulse.checks.oracle import LEVELS, RULES
 from roadpulse.functions import fuzzy
 from tests import plain
 
@@ -9,9 +10,9 @@ from tests import plain
 def test_density_matches_plain(spark):
     grid = [(n, d / 20) for n in range(1, 14) for d in range(0, 60)]
     df = spark.createDataFrame(grid, "n long, d double")
-    for base, rules in fuzzy.RULES.items():
+    for base, rules in RULES.items():
         for r in fuzzy.with_density(df, "n", "d", base).collect():
-            want = plain.density(r["n"], r["d"], rules, fuzzy.LEVELS)
+            want = plain.density(r["n"], r["d"], rules, LEVELS)
             assert r["density"] == pytest.approx(want, abs=1e-12)
 
 
@@ -36,7 +37,7 @@ def test_update_sd_matches_plain(spark):
     df = spark.createDataFrame(rows, "i int, sd double, n_added long, dist_sum double")
     got = {r["i"]: r for r in fuzzy.update_sd(df, 0.3).collect()}
     for i, sd, n, total in rows:
-        want = plain.new_sd(sd, n, total, 0.3, fuzzy.RULES["tight"], fuzzy.LEVELS)
+        want = plain.new_sd(sd, n, total, 0.3, RULES["tight"], LEVELS)
         assert (got[i]["sd"], got[i]["density_label"]) == (pytest.approx(want[0]), want[1])
 
 
