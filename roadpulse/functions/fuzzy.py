@@ -55,11 +55,14 @@ DISTANCE_TERMS = {"low": (None, 0.0, 0.75), "med": (0.25, 1.0, 1.75), "high": (1
 DISTANCE_FLAT = 2.0
 
 
+def spread(sd: str) -> str:
+    return f"(case when {sd} > 0 then {sd} else {number(DEFAULT_SD)} end)"
+
+
 def membership(miles: str, sd: str, max_miles: float) -> str:
     """Gaussian in the distance; 0 without a match or beyond `max_miles`. A hot
     spot that has no spread yet counts as the default one."""
-    spread = f"(case when {sd} > 0 then {sd} else {number(DEFAULT_SD)} end)"
-    gauss = f"least(exp(pow({miles} / {spread}, 2D) * -0.5D), 1D)"
+    gauss = f"least(exp(pow({miles} / {spread(sd)}, 2D) * -0.5D), 1D)"
     return f"case when {miles} <= {number(max_miles)} then {gauss} else 0D end"
 
 
@@ -151,6 +154,7 @@ def idle_spread(df: DataFrame, decay_rate: float, steps: int) -> DataFrame:
     )
 
 
-def effective_radius(sd: float, conf_threshold: float) -> float:
+def effective_radius(sd: str, max_miles: float, conf_threshold: float) -> str:
     """Miles beyond which a hot spot of this spread takes no incident."""
-    return sd * math.sqrt(-2.0 * math.log(conf_threshold))
+    widths = math.sqrt(-2.0 * math.log(conf_threshold)) * (1.0 + 1e-9)
+    return f"least({spread(sd)} * {number(widths)}, {number(max_miles)})"

@@ -113,17 +113,24 @@ def with_cell(df: DataFrame, radius: float) -> DataFrame:
     )
 
 
-def explode_reach(df: DataFrame, radius: float, rings: int = 1) -> DataFrame:
+def explode_reach(df: DataFrame, radius: float, miles: str | None = None) -> DataFrame:
     """One row for every cell of the grid of `radius` that can hold a point
-    within `rings` times the radius: the small side of a distance join."""
-    half_angle = number(math.sin(min(rings * radius / (2 * EARTH_MILES), math.pi / 2)))
+    within that radius, or within `miles` (text, per row) where it is given: the
+    small side of a distance join."""
+    miles = miles or number(radius)
+    half_angle = f"sin(least({miles} / {number(2 * EARTH_MILES)}, {number(math.pi / 2)}))"
+    span = f"degrees({miles} / {number(EARTH_MILES)}) * {number(SLACK)}"
     flattest = _flattest(_edge("cell_y", radius), _edge("cell_y + 1", radius))
     reach = f"degrees(asin(least({half_angle} / sqrt(cos(radians(lat)) * {flattest}), 1D))) * 2D"
     whole = "_side * 2 + 1 >= _count"
     keep = df.columns
     return (
-        df.selectExpr("*", f"explode(sequence(-{rings}, {rings})) as _dy")
-        .selectExpr("*", f"{lat_band('lat', radius)} + _dy as cell_y")
+        df.selectExpr("*", f"{span} as _span")
+        .selectExpr(
+            *keep,
+            f"explode(sequence({lat_band('(lat - _span)', radius)}, "
+            f"{lat_band('(lat + _span)', radius)})) as cell_y",
+        )
         .selectExpr("*", f"{_width_ratio('cell_y', radius)} as _ratio")
         .selectExpr("*", f"{lon_cell_count('_ratio')} as _count")
         .selectExpr(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.functions.fuzzy import membership
+from roadpulse.functions.fuzzy import effective_radius, membership
 from roadpulse.functions.geo import (
     bearing_compatible,
     explode_reach,
@@ -35,10 +35,15 @@ def ship(small: DataFrame, rows: int | None, limit: int) -> DataFrame:
 
 
 def hotspot_cells(
-    hotspots: DataFrame, radius: float, rows: int | None = None, limit: int = 20_000
+    hotspots: DataFrame,
+    radius: float,
+    rows: int | None = None,
+    limit: int = 20_000,
+    reach: str | None = None,
 ) -> DataFrame:
-    """Hot spots by reachable cell, columns prefixed so that both sides of the
-    join stay apart."""
+    """Hot spots by reachable cell of the grid of `radius`, columns prefixed so
+    that both sides of the join stay apart. `reach` is a hot spot's own, in miles
+    and in terms of `hs_sd`; without it all reach one radius."""
     side = hotspots.select(
         F.expr(road_key("road")).alias("road_key"),
         "lat",
@@ -47,7 +52,7 @@ def hotspot_cells(
         F.col("bearing").alias("hs_bearing"),
         *([F.col("sd").alias("hs_sd")] if "sd" in hotspots.columns else []),
     )
-    cells = explode_reach(side, radius)
+    cells = explode_reach(side, radius, reach)
     cells = cells.withColumnsRenamed({"lat": "hs_lat", "lon": "hs_lon"})
     return ship(cells, rows, limit)
 
@@ -208,6 +213,17 @@ def new_locations(unmatched: DataFrame) -> DataFrame:
     return by.select("_p.seq", "road_key", "_p.road", "lat", "lon", "_p.bearing", "n")
 
 
+def _join_fuzzy(incidents, hotspots, max_miles, conf_threshold, rows, limit, how):
+    """A hot spot takes what lies within its own reach, which follows from its
+    spread, so it is copied into the cells of that reach only. The cells are half
+    as wide as the largest reach: a narrow hot spot goes to one to four of them,
+    the widest to some 35."""
+    grid = max_miles / 2
+    reach = effective_radius("hs_sd", max_miles, conf_threshold)
+    cells = hotspot_cells(hotspots, grid, rows, limit, reach)
+    return _join(incidents, cells, grid, how, fuzzy_gate(max_miles, conf_threshold))
+
+
 def assign_fuzzy(
     incidents: DataFrame,
     hotspots: DataFrame,
@@ -217,9 +233,7 @@ def assign_fuzzy(
     limit: int = 20_000,
 ) -> DataFrame:
     """Every pair of an incident and a hot spot it belongs to well enough."""
-    cells = hotspot_cells(hotspots, max_miles, rows, limit)
-    gate = fuzzy_gate(max_miles, conf_threshold)
-    pairs = _join(incidents, cells, max_miles, "inner", gate)
+    pairs = _join_fuzzy(incidents, hotspots, max_miles, conf_threshold, rows, limit, "inner")
     m = membership("miles", "hs_sd", max_miles)
     return pairs.selectExpr("*", f"{MILES} as miles").selectExpr("*", f"{m} as membership")
 
@@ -232,9 +246,7 @@ def unassigned_fuzzy(
     rows: int | None = None,
     limit: int = 20_000,
 ) -> DataFrame:
-    cells = hotspot_cells(hotspots, max_miles, rows, limit)
-    gate = fuzzy_gate(max_miles, conf_threshold)
-    return _join(incidents, cells, max_miles, "left_anti", gate)
+    return _join_fuzzy(incidents, hotspots, max_miles, conf_threshold, rows, limit, "left_anti")
 
 
 def match_fuzzy(
@@ -248,9 +260,7 @@ def match_fuzzy(
     """The pairs of `assign_fuzzy` and, with nulls, the incidents that have
     none: an incident meets all its candidates in its one cell, so the outer
     join tells both in one pass."""
-    cells = hotspot_cells(hotspots, max_miles, rows, limit)
-    gate = fuzzy_gate(max_miles, conf_threshold)
-    pairs = _join(incidents, cells, max_miles, "left", gate)
+    pairs = _join_fuzzy(incidents, hotspots, max_miles, conf_threshold, rows, limit, "left")
     m = membership("miles", "hs_sd", max_miles)
     return pairs.selectExpr("*", f"{MILES} as miles").selectExpr("*", f"{m} as membership")
 

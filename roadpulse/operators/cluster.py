@@ -30,7 +30,13 @@ from roadpulse.functions.geo import (
 )
 from roadpulse.operators import in_order
 from roadpulse.operators.assign import ship
-from roadpulse.operators.islands import assign_islands, island_bands, island_sizes
+from roadpulse.operators.islands import (
+    assign_islands,
+    assign_parts,
+    island_bands,
+    island_sizes,
+    part_sizes,
+)
 from roadpulse.session import cut_lineage
 
 # Tasks get the helper along with the function, wherever the driver was started.
@@ -70,14 +76,29 @@ def greedy_cluster(
         placed = assign_islands(points, radius, keys, bands)
         return _grouped(placed, radius, keys, [*keys, "island_id"], total)
     placed = assign_islands(points, radius, keys, bands).join(sizes, [*keys, "island_id"])
-    big = placed.filter(~small).drop("island_id", "island_rows")
-    out = cluster_in_rounds(big, radius, max_group_rows, keys)
+    out = _big_islands(placed.filter(~small).select(points.columns), radius, max_group_rows, keys)
     if counts["s"]:
         little = placed.filter(small)
         out = out.unionByName(_grouped(little, radius, keys, [*keys, "island_id"], total))
     return out
 
 
+def _big_islands(points: DataFrame, radius: float, max_group_rows: int, keys: list[str]):
+    """Islands that are too big by latitude alone, cut by longitude as well."""
+    placed = assign_parts(points, radius, keys)
+    by = [*keys, "island_id", "part_id"]
+    placed = cut_lineage(placed.join(part_sizes(placed, keys), by))
+    small = F.col("part_rows") <= F.lit(max_group_rows)
+    counts = placed.agg(F.count_if(small).alias("s"), F.count_if(~small).alias("b")).first()
+    out = []
+    if counts["s"]:
+        out.append(_grouped(placed.filter(small), radius, keys, by, counts["s"]))
+    if counts["b"]:
+        rest = placed.filter(~small).select(points.columns)
+        out.append(cluster_in_rounds(rest, radius, max_group_rows, keys))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 # --- bounded groups -----------------------------------------------------------
 
 
@@ -221,12 +242,12 @@ def cluster_in_rounds(
             called_on, idle = _split_waiting(waiting, fresh, n_fresh, radius, keys)
             active = cut_lineage(fresh.unionByName(called_on.withColumn("covered", F.lit(False))))
         rows = active.count()
-        middle = _too_many(active, rows, fresh, n_fresh, radius, keys, max_group_rows)
-        if middle is not None:
-            todo[:0] = [middle, high]
-            continue
         if rows > max_group_rows:
-            active = assign_islands(active, radius, keys)
+            active = cut_lineage(assign_parts(active, radius, keys))
+            middle = _too_many(active, fresh, n_fresh, keys, max_group_rows)
+            if middle is not None:
+                todo[:0] = [middle, high]
+                continue
         out = cut_lineage(_settle_slice(active, radius, keys, rows))
         found.append(out.filter("role <> 'waiting'"))
         waiting = out.filter("role = 'waiting'")
@@ -279,13 +300,10 @@ def _fresh(part, found, waiting, radius, keys, n_centres, n_waiting):
     )
 
 
-def _too_many(active, rows, fresh, n_fresh, radius, keys, max_group_rows):
+def _too_many(active, fresh, n_fresh, keys, max_group_rows):
     """Where to cut the slice if what is to be settled puts too many rows in one
     group, else nothing."""
-    if rows <= max_group_rows:
-        return None
-    sizes = island_sizes(island_bands(active, radius, keys), keys)
-    if sizes.agg(F.max("island_rows")).first()[0] <= max_group_rows:
+    if part_sizes(active, keys).agg(F.max("part_rows")).first()[0] <= max_group_rows:
         return None
     some = fresh.select("seq").sample(min(1.0, 20_000 / max(n_fresh, 1)), seed=7).collect()
     some = sorted(r[0] for r in some)
@@ -309,7 +327,7 @@ def _split_waiting(waiting, fresh, n_fresh, radius, keys):
 
 def _settle_slice(grouped, radius, keys, rows):
     """Roles of the rows of a slice, group by group."""
-    by = [*keys, "island_id"] if "island_id" in grouped.columns else keys
+    by = [*keys, "island_id", "part_id"] if "part_id" in grouped.columns else keys
     kinds = dict(grouped.dtypes)
     schema = ", ".join(
         [f"{k} {kinds[k]}" for k in [*keys, "seq", "lat", "lon", "bearing"]]

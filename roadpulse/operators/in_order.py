@@ -1,6 +1,5 @@
 """The in-order pass over one bounded group, run inside a task."""
 
-import bisect
 import math
 
 import numpy as np
@@ -9,27 +8,45 @@ EARTH_MILES = 6372.8 / 1.609344  # fixed value
 BEARING_LIMIT = 60  # fixed value
 
 
+def cells(lat, lon, radius):
+    """Band of latitude and column of longitude of each place, and the number of
+    columns around the globe. Both are at least as wide as the radius spans
+    anywhere in the group, so what lies within it is in the same cell or next."""
+    slack = 1 + 1e-9
+    bands = np.floor((lat + 90.0) / (math.degrees(radius / EARTH_MILES) * slack)).astype(int)
+    flattest = max(math.cos(math.radians(np.abs(lat).max())), 1e-12)
+    chord = math.sin(min(radius / (2 * EARTH_MILES), math.pi / 2))
+    width = math.degrees(math.asin(min(chord / flattest, 1.0))) * 2 * slack
+    around = int(360.0 // width)
+    around = around if around >= 3 else 1
+    columns = np.minimum(np.mod(lon + 180.0, 360.0) / 360.0 * around, around - 1).astype(int)
+    return bands.tolist(), columns.tolist(), around
+
+
 def settle(lat, lon, bearing, radius, covered=None):
     """Where each location goes, the miles there, and whether it is a centre.
 
     The locations come in order. Only centres and locations still waiting for a
-    later neighbour are compared with, kept in bands of latitude. A location
+    later neighbour are compared with, kept by cell. A location
     that ends waiting goes to itself. A `covered` one has an earlier centre
     outside the group: it can only be called on by one that waits, and goes
     nowhere (-1) otherwise.
     """
     phi, lam = np.radians(lat), np.radians(lon)
     cos_phi = np.cos(phi)
-    bands = np.floor((lat + 90.0) / (math.degrees(radius / EARTH_MILES) * (1 + 1e-9))).astype(int)
+    bands, columns, around = cells(lat, lon, radius)
+    at = list(zip(bands, columns, strict=True))
     n = len(lat)
     target, miles, centre = np.arange(n), np.zeros(n), np.zeros(n, dtype=bool)
-    centres: dict[int, list[int]] = {}
-    waiting: dict[int, list[int]] = {}
+    centres: dict[tuple[int, int], list[int]] = {}
+    waiting: dict[tuple[int, int], list[int]] = {}
+    sides = (-1, 0, 1) if around > 1 else (0,)
 
     def near(i, pool):
         found = []
         for b in (bands[i] - 1, bands[i], bands[i] + 1):
-            found += pool.get(b, ())
+            for s in sides:
+                found += pool.get((b, (columns[i] + s) % around), ())
         if not found:
             return found, ()
         j = np.array(found)
@@ -47,8 +64,8 @@ def settle(lat, lon, bearing, radius, covered=None):
         if len(callers):  # the first later neighbour of each of these
             target[callers], miles[callers] = i, away
             for k in callers:
-                waiting[bands[k]].remove(k)
-            centres.setdefault(bands[i], []).append(i)
+                waiting[at[k]].remove(k)
+            centres.setdefault(at[i], []).append(i)
             centre[i] = True
             continue
         if covered is not None and covered[i]:
@@ -59,7 +76,7 @@ def settle(lat, lon, bearing, radius, covered=None):
             first = int(np.argmin(known))
             target[i], miles[i] = known[first], away[first]
         else:
-            bisect.insort(waiting.setdefault(bands[i], []), i)
+            waiting.setdefault(at[i], []).append(i)
     return target, miles, centre
 
 

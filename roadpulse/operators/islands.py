@@ -3,10 +3,12 @@ incident of another."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadpulse.functions.geo import band_height, lat_band
+from roadpulse.functions.geo import EARTH_MILES, SLACK, band_height, lat_band, number
 
 
 def island_bands(
@@ -55,3 +57,50 @@ def island_sizes(bands: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return bands.groupBy(*keys, "island_id").agg(
         F.sum("band_rows").cast("long").alias("island_rows")
     )
+
+
+def assign_parts(points: DataFrame, radius: float, keys: list[str] | None = None) -> DataFrame:
+    """Adds `island_id`, by latitude, and `part_id`, which cuts an island again
+    where no longitude is occupied for as far as the radius spans at its latitude
+    nearest a pole. A road that runs east-west, and a name that many towns use,
+    comes apart here.
+
+    Points fold into columns as wide as that span before the window, which so
+    sees at most the columns around the globe. Where the first and the last part
+    meet across the date line they are one.
+    """
+    keys = keys or ["road_key"]
+    by = [*keys, "island_id"]
+    placed = assign_islands(points, radius, keys)
+    flattest = "greatest(cos(radians(_far)), 1e-12D)"
+    chord = number(math.sin(min(radius / (2 * EARTH_MILES), math.pi / 2)))
+    widths = (
+        placed.groupBy(*by)
+        .agg(F.max(F.abs("lat")).alias("_far"))
+        .selectExpr(*by, f"degrees(asin(least({chord} / {flattest}, 1D))) * {number(2 * SLACK)} as _width")
+    )
+    at = (
+        placed.join(widths, by)
+        .withColumn("_x", F.expr("pmod(lon + 180D, 360D)"))
+        .withColumn("_column", F.floor(F.col("_x") / F.col("_width")))
+    )
+    columns = at.groupBy(*by, "_column").agg(
+        F.min("_x").alias("low"), F.max("_x").alias("high"), F.first("_width").alias("width")
+    )
+    w = Window.partitionBy(*by).orderBy("_column")
+    whole = Window.partitionBy(*by)
+    opens = F.when(F.col("low") - F.lag("high").over(w) > F.col("width"), 1).otherwise(0)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = columns.withColumn("_opens", opens).withColumn("_part", F.sum("_opens").over(running).cast("int"))
+    around = F.min("low").over(whole) + 360 - F.max("high").over(whole) <= F.col("width")
+    last = F.col("_part") == F.max("_part").over(whole)
+    parts = parts.withColumn("part_id", F.when(around & last, 0).otherwise(F.col("_part")))
+    return at.join(parts.select(*by, "_column", "part_id"), [*by, "_column"]).drop(
+        "_x", "_column", "_width"
+    )
+
+
+def part_sizes(placed: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return placed.groupBy(*(keys or ["road_key"]), "island_id", "part_id").agg(
+        F.count(F.lit(1)).alias("part_rows")
+    )

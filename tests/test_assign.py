@@ -95,3 +95,31 @@ def test_two_roads_at_one_place_stay_apart(spark):
     ]
     got = {r["seq"]: (r["road"], r["bearing"], r["n"]) for r in assign.new_locations(data.keyed(spark, items)).collect()}
     assert got == {1: ("M1", 0, 2), 2: ("m2", 0, 1)}
+
+
+@pytest.mark.parametrize("at,spread", [((52.0, -1.0), 0.4), ((89.6, 0.0), 0.4), ((0.0, 179.8), 0.4), ((-89.95, 10.0), 0.04)])
+def test_own_reach_loses_no_pair(spark, at, spread):
+    """Narrow and wide spreads, one missing, near poles and the date line."""
+    import math
+
+    def wrapped(items):
+        return [dict(x, lon=(x["lon"] + 180) % 360 - 180) for x in items]
+
+    left = wrapped(data.rows(300, 71, roads=("m1",), spread=spread, at=at, bearings=[5]))
+    right = wrapped(data.rows(40, 72, roads=("m1",), spread=spread, at=at, bearings=[5]))
+    sds = {x["id"]: [0.15, 0.6, 2.75, None][x["id"] % 4] for x in right}
+    table = spark.createDataFrame(list(sds.items()), "hs_id long, sd double")
+    hs = data.hotspots(spark, right).drop("sd").join(table, "hs_id")
+    want = set()
+    for a in left:
+        for b in right:
+            d = plain.miles(a, b)
+            if d <= 4.0 and math.exp(-0.5 * (d / (sds[b["id"]] or 1.0)) ** 2) >= 0.2:
+                want.add((a["id"], b["id"]))
+    assert len(want) > 50
+    inc = data.keyed(spark, left)
+    for rows, limit in ((None, 0), (40, 100), (40, 10)):
+        got = assign.match_fuzzy(inc, hs, 4.0, 0.2, rows, limit).select("incident_id", "hs_id").collect()
+        assert len(got) == len(set(got))
+        assert {(r[0], r[1]) for r in got if r[1] is not None} == want
+        assert {r[0] for r in got} == {a["id"] for a in left}

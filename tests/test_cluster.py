@@ -143,7 +143,8 @@ def test_no_group_above_the_bound(spark, monkeypatch):
     settle = cluster._settle_slice
 
     def watched(grouped, radius, keys, rows):
-        by = [*keys, "island_id"] if "island_id" in grouped.columns else keys
+        parts = [c for c in ("island_id", "part_id") if c in grouped.columns]
+        by = [*keys, *parts]
         top = grouped.groupBy(*by).count().agg({"count": "max"}).first()[0]
         largest.append(top or 0)
         return settle(grouped, radius, keys, rows)
@@ -153,3 +154,44 @@ def test_no_group_above_the_bound(spark, monkeypatch):
     for rows, miles in ((items[:90], r), (sparse[:80], 1.0)):
         assert as_dict(cluster.cluster_in_rounds(locs(spark, rows), miles, 30)) == wanted(rows, miles)
     assert max(largest) <= 30
+
+
+TOWNS = {
+    # A road along a parallel, a name that towns on one parallel share, both
+    # sides of the date line, and a place close to a pole.
+    "east-west": [
+        dict(x, lat=52.0, lon=round(-1 + x["id"] * 0.012, 4))
+        for x in data.rows(60, 51, roads=("m1",), bearings=[5])
+    ],
+    "one name, many towns": [
+        dict(x, lon=x["lon"] + x["id"] % 12)
+        for x in data.rows(90, 52, roads=("m1",), spread=0.03, bearings=[5])
+    ],
+    "date line": [
+        dict(x, lon=(x["lon"] + 181 + 180) % 360 - 180 if x["id"] % 3 else 20 + x["lon"])
+        for x in data.rows(70, 53, roads=("m1",), spread=0.06, bearings=[5], at=(10.0, -1.03))
+    ],
+    "near a pole": data.rows(60, 54, roads=("m1",), spread=0.2, bearings=[5], at=(89.7, 0.0)),
+}
+
+
+@pytest.mark.parametrize("name", TOWNS)
+def test_islands_cut_by_longitude(spark, name):
+    items = TOWNS[name]
+    want = wanted(items, 1.0)
+    pts = locs(spark, items)
+    assert as_dict(cluster.greedy_cluster(pts, 1.0, 30)) == want
+    assert as_dict(cluster.cluster_in_rounds(pts, 1.0, 30)) == want
+    # No two places of different parts are within the radius.
+    placed = islands.assign_parts(pts, 1.0).collect()
+    assert len(placed) == pts.count()
+    for i, a in enumerate(placed):
+        for b in placed[:i]:
+            if (a["island_id"], a["part_id"]) != (b["island_id"], b["part_id"]):
+                assert not plain.miles(a, b) <= 1.0
+
+
+def test_a_shared_name_needs_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "cluster_in_rounds", None)
+    items = TOWNS["one name, many towns"]
+    assert as_dict(cluster.greedy_cluster(locs(spark, items), 1.0, 30)) == wanted(items, 1.0)

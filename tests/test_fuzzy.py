@@ -60,4 +60,14 @@ def test_membership(spark):
     assert m("5.0001D", "9D") == 0.0
     assert m("cast(null as double)", "1D") == 0.0
     assert m("1D", "cast(null as double)") == pytest.approx(math.exp(-0.5))
-    assert fuzzy.effective_radius(2.75, 0.2) == pytest.approx(2.75 * math.sqrt(-2 * math.log(0.2)))
+
+
+def test_effective_radius(spark):
+    def reach(sd, top, conf=0.2):
+        return spark.sql(f"select {fuzzy.effective_radius(sd, top, conf)} x").first()[0]
+
+    wide = math.sqrt(-2 * math.log(0.2))
+    assert reach("2.75D", 9.0) == pytest.approx(2.75 * wide)
+    assert reach("2.75D", 4.0) == 4.0
+    assert reach("cast(null as double)", 9.0) == pytest.approx(wide)
+    assert reach("2.75D", 9.0, 1.0) == 0.0
