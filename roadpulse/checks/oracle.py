@@ -532,10 +532,16 @@ def build() -> dict[str, str]:
     union all select seq, road_key, lat, lon, cast(n as double), 1, true from loc) t
   group by road_key, t.lat, t.lon""",
     )
-    out["merge_state_fuzzy"] = over_state(
-        """select min(hs_id) as hs_id, round(sum(2 * fitness), 6) as fitness, max(age) as age,
-  cast(sum(2 * n_added) as bigint) as n_added, round(sum(2 * dist_sum), 6) as dist_sum,
-  round(max(sd), 6) as sd from s group by road_key, lat, lon"""
+    out["merge_state_fuzzy"] = with_(
+        [("inc", inc()), ("s", STATE), ("loc", locations("inc"))],
+        f"""select min(case when not fresh then hs_id end) as hs_id, round(sum(fitness), 6) as fitness,
+  cast(max(age) as int) as age, cast(sum(n_added) as bigint) as n_added,
+  round(sum(dist_sum), 6) as dist_sum, round(max(sd), 6) as sd from (
+    select hs_id, road_key, lat, lon, fitness * {keep}::double as fitness, age + 1 as age,
+      n_added, dist_sum, sd, false as fresh from s
+    union all select seq, road_key, lat, lon, cast(n as double), 1, n, n * 0.25::double, null, true
+      from loc) t
+  group by road_key, t.lat, t.lon""",
     )
     out["prune_hotspots"] = over_state(
         "select hs_id, round(fitness, 6) as fitness from s where fitness >= 1.9"
@@ -570,6 +576,19 @@ def build() -> dict[str, str]:
   round(max(sd) filter (fitness >= 20), 6) as sd_max from u group by 1""",
         updated,
     )
+    counts = {
+        "n_new": "age = 1", "n_deleted": "fitness < 20", "n_state": "fitness >= 20",
+        "n_reported": "fitness >= 40", "n_dense": "fitness >= 40 and density_label = 'DENSE'",
+        "n_sparse": "fitness >= 40 and density_label = 'SPARSE'",
+    }
+    figures = [f"select '{k}' as metric, cast(count(*) filter ({v}) as varchar) as text from u" for k, v in counts.items()]
+    figures.append("select 'n_assigned', cast(cast(sum(hs_id % 5) as bigint) as varchar) from u")
+    figures += [
+        f"select '{name}_{end}', printf('%.2f', {end}({col}) filter (fitness >= 20)) from u"
+        for name, col in (("fv", "fitness"), ("sd", "sd"))
+        for end in ("min", "max")
+    ]
+    out["format_metrics"] = over_state(" union all ".join(figures), updated)
     for col in ("fitness", "sd"):
         out[f"rank_quantiles_{col}"] = over_state(
             f"""select p.p, round(r.v, 6) as value from
@@ -579,6 +598,8 @@ def build() -> dict[str, str]:
         )
     line = "concat_ws(chr(9), cast(lat as varchar), cast(lon as varchar), cast(fitness as varchar), cast(age as varchar)"
     out["format_hotspots"] = over_state(f"select {line}) as line from s where fitness >= 5.0")
+    out["write_latest"] = over_state(f"select {line}) as value from s where fitness >= 5.0")
+    out["stream_progress"] = "select cast(0 as bigint) as batch_id, count(*) as n_rows from events"
     out["write_hotspots"] = over_state(
         f"select {line}) as value, age + 1 as interval_id from s where fitness >= 5.0"
     )

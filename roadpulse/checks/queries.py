@@ -311,9 +311,14 @@ def merge_state(spark, sf):
 
 
 def merge_state_fuzzy(spark, sf):
-    state = inputs.state(spark, sf).selectExpr("*", "false as is_new", "0L as n_assigned")
-    again = state.selectExpr("* except (hs_id, is_new)", "hs_id + 1000000 as hs_id", "true as is_new")
-    got = st.merge_state(state.unionByName(again), fuzzy=True)
+    state = st.decay_hotspots(inputs.state(spark, sf), FUZZY.decay_rate)
+    new = assign.new_locations(keyed(spark, sf)).selectExpr(
+        "seq as hs_id", "road_key", "road", "lat", "lon", "bearing", "cast(n as double) as fitness",
+        "1 as age", "1 as created_interval", "true as is_new", "n as n_assigned",
+        "n as n_added", "n * 0.25D as dist_sum",
+    )
+    rows = state.selectExpr("*", "false as is_new", "0L as n_assigned")
+    got = st.merge_state(rows.unionByName(new, allowMissingColumns=True), fuzzy=True)
     return tidy(got.select("hs_id", "fitness", "age", "n_added", "dist_sum", "sd"))
 
 
@@ -351,9 +356,9 @@ def density_labels(spark, sf):
 # --- reports ------------------------------------------------------------------
 
 
-def interval_metrics(spark, sf):
+def _outcome(spark, sf):
     s = st.update_spread(inputs.state(spark, sf), FUZZY.decay_rate, FUZZY.rule_base)
-    outcome = s.withColumns(
+    return s.withColumns(
         {
             "status": st.status(20.0, 40.0),
             "is_new": F.col("age") == 1,
@@ -361,7 +366,14 @@ def interval_metrics(spark, sf):
             "interval_id": F.col("age"),
         }
     )
-    return tidy(report.interval_metrics(outcome, by=["interval_id"]))
+
+
+def interval_metrics(spark, sf):
+    return tidy(report.interval_metrics(_outcome(spark, sf), by=["interval_id"]))
+
+
+def format_metrics(spark, sf):
+    return report.format_metrics(report.interval_metrics(_outcome(spark, sf)))
 
 
 def rank_quantiles_fitness(spark, sf):
@@ -389,6 +401,14 @@ def write_hotspots(spark, sf):
     return spark.read.schema("value string, interval_id int").text(path)
 
 
+def write_latest(spark, sf):
+    """Two intervals written to one folder, which then holds the second."""
+    path = scratch_path(spark, "latest")
+    for threshold in (40.0, 5.0):
+        sinks.write_latest(st.report_hotspots(inputs.state(spark, sf), threshold), path)
+    return spark.read.text(path)
+
+
 def heatmap_frames(spark, sf):
     points = inputs.state(spark, sf).withColumn(
         "interval_id", F.pmod(F.col("hs_id") * 7 + F.col("age") * 3, F.lit(200))
@@ -505,6 +525,14 @@ def incident_accounting(spark, sf):
     return counted
 
 
+def stream_progress(spark, sf):
+    """One row per batch of a stream."""
+    files = scratch_path(spark, "feed")
+    _feed_lines(spark, sf).write.partitionBy("interval_id").text(files)
+    store = _stream(spark, files, scratch_path(spark, "stream"), scratch_path(spark, "offsets"))
+    return store.progress().select("batch_id", "n_rows")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -519,6 +547,7 @@ QUERIES = {
         rank_quantiles_fitness, rank_quantiles_sd, format_hotspots, format_hotspots_fuzzy,
         write_hotspots, heatmap_frames, step_crisp, step_fuzzy, step_bucketed, replay_crisp,
         replay_fuzzy, replay_metrics, stream_replay, incident_accounting,
+        format_metrics, write_latest, stream_progress,
     ]
 }
 QUERIES["islands"] = islands_query

@@ -243,8 +243,8 @@ def cluster_in_rounds(
             active = cut_lineage(fresh.unionByName(called_on.withColumn("covered", F.lit(False))))
         rows = active.count()
         if rows > max_group_rows:
-            active = cut_lineage(assign_parts(active, radius, keys))
-            middle = _too_many(active, fresh, n_fresh, keys, max_group_rows)
+            active, fits = _parted(active, radius, keys, max_group_rows)
+            middle = None if fits else _middle(fresh, n_fresh)
             if middle is not None:
                 todo[:0] = [middle, high]
                 continue
@@ -300,11 +300,20 @@ def _fresh(part, found, waiting, radius, keys, n_centres, n_waiting):
     )
 
 
-def _too_many(active, fresh, n_fresh, keys, max_group_rows):
-    """Where to cut the slice if what is to be settled puts too many rows in one
-    group, else nothing."""
-    if part_sizes(active, keys).agg(F.max("part_rows")).first()[0] <= max_group_rows:
-        return None
+def _parted(active, radius, keys, max_group_rows):
+    """What is to be settled with its groups, cut by longitude only where that is
+    needed, and whether all of them are within the bound."""
+    bands = island_bands(active, radius, keys)
+    if island_sizes(bands, keys).agg(F.max("island_rows")).first()[0] <= max_group_rows:
+        return assign_islands(active, radius, keys, bands).withColumn("part_id", F.lit(0)), True
+    active = cut_lineage(assign_parts(active, radius, keys, bands))
+    largest = part_sizes(active, keys).agg(F.max("part_rows")).first()[0]
+    return active, largest <= max_group_rows
+
+
+def _middle(fresh, n_fresh):
+    """Where to cut a slice in two; nothing if all its rows share one place in
+    the order."""
     some = fresh.select("seq").sample(min(1.0, 20_000 / max(n_fresh, 1)), seed=7).collect()
     some = sorted(r[0] for r in some)
     if some and some[0] < some[-1]:

@@ -14,8 +14,8 @@ from roadpulse.functions.geo import EARTH_MILES, SLACK, band_height, lat_band, n
 def island_bands(
     points: DataFrame, radius: float, keys: list[str], counted: str = "true"
 ) -> DataFrame:
-    """Occupied latitude bands with the island each belongs to, and the number
-    of rows that are `counted`.
+    """Occupied latitude bands with the island each belongs to, the number of
+    rows that are `counted`, and how far from the equator the island goes.
 
     A band is one radius high, so a gap wider than the radius can only lie
     between two occupied bands: the points fold into bands first, and the
@@ -35,10 +35,12 @@ def island_bands(
     gap = F.col("low") - F.lag("high").over(w) > F.lit(band_height(radius))
     opens = F.when(gap, F.lit(1)).otherwise(F.lit(0))
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    far = F.max(F.greatest(F.abs("low"), F.abs("high")))
     return (
         bands.withColumn("_opens", opens)
         .withColumn("island_id", F.sum("_opens").over(running).cast("int"))
-        .select(*keys, "band", "island_id", "band_rows")
+        .withColumn("far", far.over(Window.partitionBy(*keys, "island_id")))
+        .select(*keys, "band", "island_id", "band_rows", "far")
     )
 
 
@@ -49,7 +51,7 @@ def assign_islands(
     keys = keys or ["road_key"]
     bands = bands if bands is not None else island_bands(points, radius, keys)
     at = points.withColumn("band", F.expr(lat_band("lat", radius)))
-    return at.join(bands.drop("band_rows"), [*keys, "band"]).drop("band")
+    return at.join(bands.drop("band_rows", "far"), [*keys, "band"]).drop("band")
 
 
 def island_sizes(bands: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -59,7 +61,9 @@ def island_sizes(bands: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def assign_parts(points: DataFrame, radius: float, keys: list[str] | None = None) -> DataFrame:
+def assign_parts(
+    points: DataFrame, radius: float, keys: list[str] | None = None, bands: DataFrame | None = None
+) -> DataFrame:
     """Adds `island_id`, by latitude, and `part_id`, which cuts an island again
     where no longitude is occupied for as far as the radius spans at its latitude
     nearest a pole. A road that runs east-west, and a name that many towns use,
@@ -71,16 +75,15 @@ def assign_parts(points: DataFrame, radius: float, keys: list[str] | None = None
     """
     keys = keys or ["road_key"]
     by = [*keys, "island_id"]
-    placed = assign_islands(points, radius, keys)
-    flattest = "greatest(cos(radians(_far)), 1e-12D)"
+    bands = bands if bands is not None else island_bands(points, radius, keys)
+    flattest = "greatest(cos(radians(far)), 1e-12D)"
     chord = number(math.sin(min(radius / (2 * EARTH_MILES), math.pi / 2)))
-    widths = (
-        placed.groupBy(*by)
-        .agg(F.max(F.abs("lat")).alias("_far"))
-        .selectExpr(*by, f"degrees(asin(least({chord} / {flattest}, 1D))) * {number(2 * SLACK)} as _width")
-    )
+    width = f"degrees(asin(least({chord} / {flattest}, 1D))) * {number(2 * SLACK)}"
+    bands = bands.selectExpr(*by, "band", f"{width} as _width")
     at = (
-        placed.join(widths, by)
+        points.withColumn("band", F.expr(lat_band("lat", radius)))
+        .join(bands, [*keys, "band"])
+        .drop("band")
         .withColumn("_x", F.expr("pmod(lon + 180D, 360D)"))
         .withColumn("_column", F.floor(F.col("_x") / F.col("_width")))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,7 +179,7 @@ class IntervalRunner:
         columns = ["fitness", "sd"] if self.fuzzy else ["fitness"]
         if max_rows <= SMALL_STATE:
             lists = state_of(written).agg(*[_sorted_ranks(c).alias(f"q_{c}") for c in columns])
-            got = aggregate.crossJoin(F.broadcast(lists)).first().asDict()  # one row each
+            got = {**aggregate.first().asDict(), **lists.first().asDict()}
             return got, got["q_fitness"], got.get("q_sd")
         out = []
         for c in columns:
@@ -235,8 +236,11 @@ def run_stream(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         """A step reads its batch more than once; the files are parsed once."""
         batch.persist()
+        started, began = datetime.now(timezone.utc), time.monotonic()
         try:
             runner.run_batch(batch, 2 * batch_id, hold_newest=True)
+            took = int(1000 * (time.monotonic() - began))
+            runner.store.write_progress((started, batch.count(), took), batch_id)
         finally:
             batch.unpersist()
 
@@ -257,8 +261,8 @@ def run_stream(
 
 
 def progress_metrics(query: StreamingQuery) -> DataFrame:
-    """Rows, start and durations of the recent micro-batches of a query. The
-    scheduling delay is the time from the trigger to the batch's own work."""
+    """Rows, start and durations of the recent micro-batches of a query, as Spark
+    keeps them; `RunStore.progress` has every batch. The scheduling delay is the time from the trigger to the batch's own work."""
     spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
     rows = []
     for p in query.recentProgress:

@@ -29,7 +29,3 @@ def write_latest(reported: DataFrame, path: str, fuzzy: bool = False) -> None:
 def write_history(history: DataFrame, path: str) -> None:
     """Tab-separated export with a header, for a map."""
     history.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
-
-
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("append").parquet(path)

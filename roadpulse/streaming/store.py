@@ -4,6 +4,7 @@
     <root>/metrics/batch_id=B                          written last: the commit
     <root>/late/batch_id=B                             rows of closed intervals
     <root>/quarantine/batch_id=B                       rows that cannot take part
+    <root>/progress/batch_id=B                         how a stream's batch went
     <root>/parked/batch_id=B/interval_id=T             rows of an interval still open
 
 A batch writes only below its own id and overwrites what an earlier attempt
@@ -28,6 +29,8 @@ METRICS_SCHEMA = (
     "match_seconds double, cluster_seconds double, write_seconds double, total_seconds double"
 )
 
+PROGRESS_SCHEMA = "started timestamp, n_rows long, processing_ms long"
+
 
 @dataclass(frozen=True)
 class Version:
@@ -137,6 +140,15 @@ class RunStore:
         df = self.spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1)
         df.write.mode("overwrite").parquet(f"{self.root}/metrics/batch_id={batch_id}")
 
+    def write_progress(self, row: tuple, batch_id: int) -> None:
+        df = self.spark.createDataFrame([row], PROGRESS_SCHEMA).coalesce(1)
+        df.write.mode("overwrite").parquet(f"{self.root}/progress/batch_id={batch_id}")
+
+    def progress(self) -> DataFrame:
+        """One row for every batch of the stream that was worked off."""
+        schema = "batch_id long, " + PROGRESS_SCHEMA
+        return self.spark.read.schema(schema).parquet(f"{self.root}/progress")
+
     def metrics(self) -> DataFrame:
         schema = "batch_id long, " + METRICS_SCHEMA
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/metrics")

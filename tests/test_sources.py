@@ -77,3 +77,11 @@ def test_heatmap_frames(spark):
 def test_metric_lines(spark):
     got = report.format_metrics(spark.sql("select 3L as n_state, 2.005D as fv_max, 'x' as note"))
     assert {r["metric"]: r["text"] for r in got.collect()} == {"n_state": "3", "fv_max": "2.01"}
+
+
+def test_history_by_column_name(spark, tmp_path):
+    (tmp_path / "h.tsv").write_text("extra\tLONGITUDE\tlatitude\tDayID\nx\t-1.1\t52.30000000000001\t7\ny\t\tbad\t8\n")
+    got = history.read_hotspot_history(spark, str(tmp_path)).collect()
+    assert [(r["DayID"], r["Latitude"], r["Longitude"], r["Road"]) for r in got] == [
+        (7, 52.30000000000001, -1.1, None), (8, None, None, None)
+    ]
