@@ -181,7 +181,6 @@ def test_islands_cut_by_longitude(spark, name):
     want = wanted(items, 1.0)
     pts = locs(spark, items)
     assert as_dict(cluster.greedy_cluster(pts, 1.0, 30)) == want
-    assert as_dict(cluster.cluster_in_rounds(pts, 1.0, 30)) == want
     # No two places of different parts are within the radius.
     placed = islands.assign_parts(pts, 1.0).collect()
     assert len(placed) == pts.count()
