@@ -3,12 +3,15 @@
 White space never survives this tokenizer and no token spans it, so a text's
 ids are those of its chunks between ASCII white space, one after the other.
 Chunks repeat, so their ids are kept. An ASCII capital equals its small letter,
-except where a special token's name may stand in the text.
+except where a special token's name may stand in the text, and for five letters
+before a combining mark: text is composed before it is lowercased, and the
+small ones compose with a mark that the capitals have no composed form for.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 from itertools import filterfalse
@@ -20,6 +23,8 @@ KEPT = 400_000
 LONG = 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+# Capitals that stay before what may be a combining mark (U+0300 and above).
+_STAYS = re.compile(rb"[HJTWY](?=[\xcc-\xf4])")
 # Stands between chunks that are encoded in one call.
 _MARK = "\x01"
 _TAIL = b".,!?;:|%&$#*"
@@ -60,7 +65,7 @@ class Encoder:
         chunks = []
         for text in texts:
             data = (text or "").encode()
-            chunks.append((data if b"<|" in data else data.translate(_LOWER)).split())
+            chunks.append((data if b"<|" in data else _lowered(data)).split())
         if len(self.new) >= self.kept:
             self.new, self.old = {}, self.new
         unknown: set[bytes] = set()
@@ -115,6 +120,20 @@ class Encoder:
         return out
 
 
+def _lowered(data: bytes) -> bytes:
+    """ASCII capitals as small letters where that leaves the ids as they are."""
+    low = data.translate(_LOWER)
+    if data.isascii():
+        return low
+    stays = [m.start() for m in _STAYS.finditer(data)]
+    if not stays:
+        return low
+    kept = bytearray(low)
+    for i in stays:
+        kept[i] = data[i]
+    return bytes(kept)
+
+
 def _byte_chars() -> list[str]:
     """The characters that stand for bytes in byte-level vocabularies: printable
     bytes for themselves, the others from 256 on."""

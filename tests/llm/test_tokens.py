@@ -36,6 +36,17 @@ def test_chunks_encode_as_the_whole(plain):
             assert np.frombuffer(got, "<u4").tolist() == plain(text), text
 
 
+def test_capitals_before_combining_marks(plain):
+    enc = T.Encoder(T.tokenizer_path())
+    marks = [chr(m) for m in range(0x300, 0x370)]
+    texts = [f"x{c}{m}y. {c}{m}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks]
+    # A mark of another class between does not block the composition.
+    texts += [f"AB{c}\u0323{m} Tür {c.lower()}{m}" for c in "HJTWY" for m in marks]
+    for _ in range(2):
+        for text, got in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain(text), ascii(text)
+
+
 def test_wavelet_matrix():
     r = random.Random(2)
     for n, top in ((0, 5), (1, 0), (2000, 300), (777, 49407)):
