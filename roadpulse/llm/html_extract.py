@@ -6,8 +6,9 @@ messages go up the tree and down again and leave each node's marginal; text
 whose node is more likely main text than not stays. Both potentials are
 trained from labelled pages.
 
-Nulls and edges: a null or empty html gives an empty text; unclosed tags close
-where their parents do; trees of any depth are walked without recursion; null
+Nulls and edges: a null or empty html gives an empty text; a head without an
+end tag closes at the first tag or text that cannot stand in it, other unclosed
+tags at a tag that implies their end, or where their parents do; trees of any depth are walked without recursion; null
 and repeated page_ids keep their rows. Other columns are not read.
 """
 
@@ -31,8 +32,12 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn",
 # Their text is never read.
 SILENT = {"head", "script", "style", "noscript", "template", "form", "button", "select", "option", "textarea", "iframe", "svg", "object", "title"}
 # A new one of these closes an open one of the same group.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "caption", "colgroup"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"optgroup"}, "rt": {"rt", "rp"}, "rp": {"rt", "rp"}}
+CLOSES |= {"colgroup": {"caption", "colgroup"}} | dict.fromkeys(("tbody", "thead", "tfoot"), {"tbody", "thead", "tfoot", "caption", "colgroup"})
+SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "optgroup": {"select"}, "rt": {"ruby"}, "rp": {"ruby"}}
+SCOPES |= dict.fromkeys(("colgroup", "tbody", "thead", "tfoot"), {"table"})
+# All that may stand in a head; anything else ends an open one.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 # Block elements that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
@@ -101,7 +106,14 @@ class _Reader(HTMLParser):
             if tag in scope:
                 return
 
+    def _in_head(self) -> bool:
+        return self.page.nodes[self.open[-1]].tag == "head"
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self._close({"head"}, {"template"})
+        elif tag not in IN_HEAD and self._in_head():
+            self._pop()
         if tag in ENDS_P:
             self._close({"p"}, {"td", "th", "button", "table"})
         if tag in CLOSES and tag != "p":
@@ -130,6 +142,8 @@ class _Reader(HTMLParser):
             self._close({tag}, set())
 
     def handle_data(self, data):
+        if self._in_head() and data.strip():
+            self._pop()
         if not self.silent and data:
             self.page.texts.append((self.open[-1], data))
 

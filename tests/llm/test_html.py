@@ -72,3 +72,34 @@ def test_edges(spark):
     assert text[1] == text[2] == "" and text[3] == text[None] == want
     assert text[6] == ("word " * 50_000).strip()
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+WORDS = "the river carries old boats past quiet towns where people trade bread and wool. " * 6
+WANT = f"Big title {WORDS.strip()} {WORDS.strip()}"
+
+
+def test_head_without_end_tag():
+    model = H.train(labelled_pages())
+    body = f"<article><h1>Big title</h1><p>{WORDS}<p>{WORDS}</article>"
+    for head in ("<title>x</title>", "<title>x</title><script>var a='<p>';</script><meta charset=u><link href=a>", "<noscript><style>p{}</style></noscript>\n"):
+        for end in ("<body>", "</head>", "</head><body>", "", "\n", "<body></head>"):
+            assert H.extract(model, f"<!DOCTYPE html><html><head>{head}{end}{body}") == WANT, (head, end)
+            assert H.extract(model, f"<head>{head}{end}{body}</body></html>") == WANT, (head, end)
+    # Text ends a head too, and what stands in one is still not read.
+    for page in ("<head><title>x</title>some words<p>more", "<head><style>p{}</style></head>some words<p>more"):
+        assert [t for at, t in H.parse(page).texts if at >= 0 and t.strip()] == ["some words", "more"]
+
+
+def test_optional_end_tags():
+    """The tree is that of the page with all end tags written."""
+    full = "<table><caption>c</caption><colgroup><col></colgroup><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>d</td><td>e<table><tr><td>f</td></tr></table></td></tr><tr><td>g</td></tr></tbody><tfoot><tr><td>h</td></tr></tfoot></table>"
+    full += "<dl><dt>i</dt><dd>j</dd><dt>k</dt><dd><p>l</p></dd></dl><ul><li>m<ol><li>n</li><li>o</li></ol></li><li><p>p</p></li></ul><ruby>q<rt>r</rt><rp>s</rp></ruby><p>t</p><div>u</div>"
+    short = full
+    for tag in "caption colgroup thead tbody tfoot tr td th dt dd li p rt rp".split():
+        short = short.replace(f"</{tag}>", "")
+
+    def tree(html):
+        page = H.parse(f"<html><head><title>x</title></head><body>{html}</body></html>")
+        return [(n.tag, n.parent) for n in page.nodes], [(at, t) for at, t in page.texts if at >= 0]
+
+    assert tree(short) == tree(full)
