@@ -80,8 +80,9 @@ class Page:
 
 
 class _Reader(HTMLParser):
-    def __init__(self):
+    def __init__(self, marks: bool):
         super().__init__(convert_charrefs=True)
+        self.marks = marks
         self.page = Page([Node("#page", -1)])
         self.open = [0]
         self.silent = 0
@@ -126,7 +127,7 @@ class _Reader(HTMLParser):
         if tag in VOID:
             return
         given = dict(attrs)
-        label = given.get("data-main")
+        label = given.get("data-main") if self.marks else None
         names = " ".join(given.get(k) or "" for k in ("class", "id", "role")).lower()
         self.page.nodes.append(Node(tag, self.open[-1], names, None if label is None else int(label)))
         self.open.append(len(self.page.nodes) - 1)
@@ -148,9 +149,10 @@ class _Reader(HTMLParser):
             self.page.texts.append((self.open[-1], data))
 
 
-def parse(html: str) -> Page:
-    """The page's nodes, parents before children, and its texts."""
-    reader = _Reader()
+def parse(html: str, marks: bool = True) -> Page:
+    """The page's nodes, parents before children, and its texts. `marks`: read
+    the marks of training pages; crawled pages use the same name as they like."""
+    reader = _Reader(marks)
     reader.feed(html)
     reader.close()
     nodes = reader.page.nodes
@@ -258,7 +260,7 @@ def extract(model: Model, html: str | None) -> str:
     """The main text: blocks in page order, white space as one space."""
     if not html:
         return ""
-    page = parse(html)
+    page = parse(html, marks=False)
     main = [m > 0.5 for m in model.marginals(page.nodes)]
     blocks: list[list[str]] = [[]]
     for at, text in page.texts:

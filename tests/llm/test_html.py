@@ -103,3 +103,9 @@ def test_optional_end_tags():
         return [(n.tag, n.parent) for n in page.nodes], [(at, t) for at, t in page.texts if at >= 0]
 
     assert tree(short) == tree(full)
+
+
+def test_data_main_of_crawled_pages(spark):
+    page = f'<html><head><script data-main="js/main" src="require.js"></script></head><body><article data-main=""><h1>Big title</h1><p>{WORDS}<p data-main="0">{WORDS}</article>'
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", page.replace(' data-main="0"', ""))], "page_id long, url string, html string")
+    assert [r["text"] for r in H.main_text(pages).collect()] == [WANT, WANT]
