@@ -32,14 +32,17 @@ UNKNOWN = "und"
 ROWS = 200
 CHARS = 40_000
 BLOCK = 1024
-# Letters told apart; rarer ones share one symbol.
+# Letters with a symbol of their own; rarer ones are runs of digits.
 LETTERS = 62
+DIGITS = 64
 LANES = 4096
 
 
 class Alphabet:
     """Symbols of letters: 0 for anything that is no letter (runs are one), 1
-    for a letter that training text seldom has."""
+    for a letter that no training text has, one for each of the commonest
+    letters. Every other letter of the training texts is a run of digits, as
+    long for all: no two are merged, and the transitions stay a small table."""
 
     def __init__(self, texts: list[str]):
         counts: dict[str, int] = {}
@@ -47,26 +50,45 @@ class Alphabet:
             for c in text.lower():
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-        known = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.size = len(known) + 2
-        self.symbol = {c: i + 2 for i, c in enumerate(known)}
-        self.table = np.array([self._of(chr(i)) for i in range(0x3000)], np.uint8)
+        known = sorted(counts, key=lambda c: (-counts[c], c))
+        # The first symbol of a digit, how many digits there are, and how many a letter takes.
+        self.first, rare = min(len(known), LETTERS) + 2, max(len(known) - LETTERS, 0)
+        self.digits = min(DIGITS, math.isqrt(rare - 1) + 1) if rare else 0
+        self.run = 2
+        while self.digits**self.run < rare:
+            self.run += 1
+        self.size = self.first + self.digits
+        self.number = {c: i + 2 for i, c in enumerate(known)}
+        self.table = np.array([self._of(chr(i)) for i in range(0x3000)], np.int32)
 
     def _of(self, c: str) -> int:
-        return self.symbol.get(c, 1) if c.isalpha() else 0
+        return self.number.get(c, 1) if c.isalpha() else 0
+
+    def _spelled(self, numbers: np.ndarray) -> np.ndarray:
+        """Symbols of numbered letters."""
+        rare = numbers >= self.first
+        if not rare.any():
+            return numbers.astype(np.uint8)
+        sizes = np.where(rare, self.run, 1)
+        symbols = np.repeat(numbers, sizes)
+        at, left = (np.cumsum(sizes) - sizes)[rare], numbers[rare] - self.first
+        for k in range(self.run - 1, -1, -1):
+            symbols[at + k] = self.first + left % self.digits
+            left //= self.digits
+        return symbols.astype(np.uint8)
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-        if len(points) and points.max() >= len(self.table):
-            symbols = np.ones(len(points), np.uint8)
-            low = points < len(self.table)
-            symbols[low] = self.table[points[low]]
-            for p in np.unique(points[~low]):
-                symbols[points == p] = self._of(chr(p))
+        low = points < len(self.table)
+        if low.all():
+            numbers = self.table[points]
         else:
-            symbols = self.table[points]
-        space = symbols == 0
-        return symbols[~(space & np.roll(space, 1))] if len(symbols) else symbols
+            numbers = np.zeros(len(points), np.int32)
+            numbers[low] = self.table[points[low]]
+            high, back = np.unique(points[~low], return_inverse=True)
+            numbers[~low] = np.array([self._of(chr(p)) for p in high], np.int32)[back]
+        space = numbers == 0
+        return self._spelled(numbers[~(space & np.roll(space, 1))])
 
 
 def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:

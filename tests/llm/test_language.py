@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from roadpulse.llm import language as L
@@ -45,6 +46,27 @@ def test_edges_and_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_letters_stay_apart():
+    """Languages in which every letter is rarer than the 62 commonest."""
+    r = random.Random(5)
+    latin = EN + " ".join(map(chr, range(0x430, 0x450))) + " " + " ".join(map(chr, range(0x3B1, 0x3CA)))
+    scripts = {"ja": range(0x3041, 0x3097), "ko": range(0xAC00, 0xAC00 + 900), "zh": range(0x4E00, 0x4E00 + 3500), "zz": range(0x20000, 0x20000 + 900)}
+
+    def text(lang, n=300):
+        return "".join(chr(r.choice(scripts[lang])) for _ in range(n))
+
+    training = {k: [text(k, 4000)] for k in scripts} | {"en": [latin * 300]}
+    m = L.Model(training)
+    letters = sorted({c for t in training.values() for c in t[0].lower() if c.isalpha()})
+    assert len({bytes(m.alphabet.encode(c)) for c in letters}) == len(letters) > 4096
+    assert m.alphabet.size <= 2 + L.LETTERS + L.DIGITS
+    # Of a run of letters, the symbols of each, one after the other.
+    mixed = "ab" + text("zh", 5) + "c" + text("ja", 3)
+    assert bytes(m.alphabet.encode(mixed)) == b"".join(bytes(m.alphabet.encode(c)) for c in mixed)
+    names, _ = m.predict([text(k) for k in scripts for _ in range(5)])
+    assert names == [k for k in scripts for _ in range(5)]
+
+
 def test_nothing_to_learn(spark):
     assert L.identify(no_docs(spark)).count() == 0
     docs, rows = edge_docs(spark)
