@@ -7,8 +7,9 @@ text, wins. The automaton is a plain table of transitions, so many blocks of
 text are parsed in step, a letter of each at a time.
 
 Whole texts are parsed, in blocks of BLOCK letters: a phrase ends at a block's
-end. Training text is a bounded sample (ROWS documents and CHARS letters per
-language); languages with less weigh the same, by the bits of a phrase.
+end. Training text is a bounded sample (ROWS different texts per language, an
+equal share of CHARS letters from each); languages with less weigh the same, by
+the bits of a phrase.
 
 Nulls and edges: a null text, or one without letters, is `und` with score 0;
 with nothing to learn from all texts are. Ties go to the first language by
@@ -203,22 +204,29 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(crc, F.lit(3)) == 1
 
 
+def equal_shares(texts: list[str], chars: int) -> list[str]:
+    """The texts cut to `chars` letters in all: the same share of each, and what
+    short ones leave is shared by the others."""
+    shares, left = [0] * len(texts), chars
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        shares[i] = min(len(texts[i]), left // (len(texts) - k))
+        left -= shares[i]
+    return [t[:n] for t, n in zip(texts, shares, strict=True)]
+
+
 def training_texts(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> dict[str, list[str]]:
-    """A bounded sample per language of labelled texts that are not held out."""
+    """A bounded sample per language of labelled texts that are not held out:
+    different texts by hash, and as much of one as of another."""
     pool = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}  # one row per language
+    pool = pool.withColumn("h", F.xxhash64("text", F.lit(5)))
+    sizes = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}  # one row per language
     out = {}
     for lang, n in sorted(sizes.items()):
         share = int(min(1.0, 2 * rows / n) * (1 << 30))
-        own = pool.filter(F.col("lang") == lang).filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share)
+        own = pool.filter(F.col("lang") == lang).filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share)
         # Training text is cut to the bound; texts to be told are not.
-        picked = own.select(F.xxhash64("doc_id", F.lit(5)).alias("h"), F.substring("text", 1, chars).alias("t"))
-        texts, held = [], 0
-        for r in picked.orderBy("h", "t").limit(rows).collect():
-            if held < chars:
-                texts.append(r["t"][: chars - held])
-                held += len(texts[-1])
-        out[lang] = texts
+        picked = own.select("h", F.substring("text", 1, chars).alias("t")).groupBy("h").agg(F.first("t").alias("t"))
+        out[lang] = equal_shares([r["t"] for r in picked.orderBy("h").limit(rows).collect()], chars)
     return out
 
 

@@ -67,6 +67,20 @@ def test_letters_stay_apart():
     assert names == [k for k in scripts for _ in range(5)]
 
 
+def test_training_takes_equal_shares_of_different_texts(spark):
+    rows = [(i, "copied " * 100, "en") for i in range(400)]  # most rows are copies
+    rows += [(1000 + i, f"text number {i} " * 40, "en") for i in range(150)]
+    rows += [(2000 + i, f"long {i} " * 20_000, "en") for i in range(3)] + [(3000, "short", "en"), (3001, "short too", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~L.held_out(L.F.col("doc_id")))
+    different = {t for (t,) in docs.filter("lang = 'en'").select("text").distinct().collect()}
+    got = L.training_texts(docs, rows=200, chars=20_000)["en"]
+    assert len(got) == len(set(got)) == len(different)
+    assert sum(map(len, got)) == 20_000
+    assert max(map(len, got)) - min(len(t) for t in got if t != "short") <= 1
+    assert L.equal_shares(["a" * 9, "b", "c" * 3], 8) == ["a" * 4, "b", "c" * 3]
+    assert L.equal_shares([], 8) == [] and L.equal_shares(["ab"], 8) == ["ab"]
+
+
 def test_nothing_to_learn(spark):
     assert L.identify(no_docs(spark)).count() == 0
     docs, rows = edge_docs(spark)
