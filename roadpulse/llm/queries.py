@@ -17,6 +17,7 @@ from .secrets import scan
 from .simhash_dedup import near_duplicates
 from .warc import archive
 from .wavelet import encode_and_read
+from .whitening import whitened_rows
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat,
         op9_packing,
         op10_secrets,
+        op13_whitening,
     )
 }
 
