@@ -16,6 +16,8 @@ from .packing import pack
 from .quality import judged
 from .secrets import scan
 from .simhash_dedup import near_duplicates
+from .trie import ORACLE_SQL as TRIE_SQL
+from .trie import prefix_trie
 from .warc import archive
 from .wavelet import encode_and_read
 from .whitening import whitened_rows
@@ -61,6 +63,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,9 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat,
         op9_packing,
         op10_secrets,
+        op11_prefix_trie,
         op12_classifier,
         op13_whitening,
     )
 }
 
-ORACLE: dict[str, str] = {"op8_chat": chat.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op8_chat": chat.ORACLE_SQL, "op11_prefix_trie": TRIE_SQL}
