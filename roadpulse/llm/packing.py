@@ -18,13 +18,13 @@ import zlib
 from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import small_batches
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, gathered, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -177,18 +177,24 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches):
         enc = encoder(path)
-        for pdf in batches:
-            out = []
-            for doc_id, data in zip(pdf["doc_id"].astype("Int64"), enc.encode(list(pdf["text"])), strict=True):
-                data += end
-                for i, a in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[a : a + 4 * capacity]
-                    out.append((doc_id, i, a // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64", "piece": "int32"})
+        for batch in gathered(batches):
+            ids, ends = enc.encode_all(batch.column("text"))
+            sizes = np.diff(ends, prepend=0) + 1
+            # A row per piece: its document, its place there, its ids.
+            n = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(sizes[doc] - start, capacity)
+            last = piece == n[doc] - 1
+            at = (ends - sizes + 1)[doc] + start
+            data = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
+            crcs = [zlib.crc32(end, c) if z else c for c, z in zip(map(zlib.crc32, (data[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length - last).tolist(), strict=True))), last.tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def places(counts: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:

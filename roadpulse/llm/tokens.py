@@ -2,7 +2,8 @@
 
 White space never survives this tokenizer and no token spans it, so a text's
 ids are those of its chunks between ASCII white space, one after the other.
-Chunks repeat, so their ids are kept. An ASCII capital equals its small letter,
+Texts are split and their chunks numbered in Arrow; ids are looked up once per
+different chunk of a batch and put in place by number. An ASCII capital equals its small letter,
 except where a special token's name may stand in the text, and for five letters
 before a combining mark: text is composed before it is lowercased, and the
 small ones compose with a mark that the capitals have no composed form for.
@@ -14,17 +15,23 @@ import os
 import re
 import struct
 import unicodedata
-from itertools import filterfalse
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 # Chunks kept per worker: two generations of this size at most.
 KEPT = 400_000
 # Longer chunks are encoded but not kept.
 LONG = 64
+# Bytes of text that are split at a time, about.
+BATCH_BYTES = 8 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 # Capitals that stay before what may be a combining mark (U+0300 and above).
 _STAYS = re.compile(rb"[HJTWY](?=[\xcc-\xf4])")
+_MAY_STAY = r"[HJTWY][\x{0300}-\x{10FFFF}]"
 # Stands between chunks that are encoded in one call.
 _MARK = "\x01"
 _TAIL = b".,!?;:|%&$#*"
@@ -62,26 +69,42 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        chunks = []
-        for text in texts:
-            data = (text or "").encode()
-            chunks.append((data if b"<|" in data else _lowered(data)).split())
+        ids, ends = self.encode_all(pa.array(texts, pa.string()))
+        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) in a row, and where each ends."""
+        chunks = pc.ascii_split_whitespace(_prepared(texts))
+        coded = chunks.flatten().dictionary_encode()
+        number = coded.indices.to_numpy()
+        known = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.new) >= self.kept:
             self.new, self.old = {}, self.new
-        unknown: set[bytes] = set()
-        for cs in chunks:
-            unknown.update(filterfalse(self.new.__contains__, cs))
-        long = self._learn(unknown)
-        out = [b"".join(map(self.new.__getitem__, cs)) for cs in chunks]
+        long = self._learn({c for c in known if c not in self.new})
+        found = list(map(self.new.__getitem__, known))
         for c in long:
             del self.new[c]
-        return out
+        table = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # Where each chunk's ids stand, and from where in the table they come.
+        lengths = sizes[number]
+        stops = np.cumsum(lengths)
+        total = int(stops[-1]) if len(stops) else 0
+        shift = np.repeat(starts[number] - (stops - lengths), lengths)
+        ids = table[shift + np.arange(total)]
+        bounds = np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        return ids, np.concatenate([[0], stops])[bounds]
 
     def _learn(self, unknown: set[bytes]) -> list[bytes]:
         """Put the ids of these chunks into `new`; returns those not to keep."""
-        cut, missing, again = {}, set(), {c: self.old[c] for c in unknown.intersection(self.old)}
+        cut, missing, old = {}, set(), self.old
+        again = {c: old[c] for c in unknown if c in old}
         self.new.update(again)
-        for c in unknown.difference(again):
+        for c in unknown:
+            if c in again:
+                continue
             core = c.rstrip(_TAIL)
             if core != c and core and _ends_in_letter(core):
                 # Letters and what follows them are never one token.
@@ -89,9 +112,9 @@ class Encoder:
                 missing.update(x for x in cut[c] if x not in self.new)
             else:
                 missing.add(c)
-        again = {c: self.old[c] for c in missing.intersection(self.old)}
+        again = {c: old[c] for c in missing if c in old}
         self.new.update(again)
-        fresh = self._encode_all(missing.difference(again))
+        fresh = self._encode_all({c for c in missing if c not in again})
         self.new.update(fresh)
         self.new.update((c, self.new[a] + self.new[b]) for c, (a, b) in cut.items())
         return [c for c in (*fresh, *cut) if len(c) > LONG]
@@ -120,6 +143,30 @@ class Encoder:
         return out
 
 
+def _prepared(texts: pa.Array) -> pa.Array:
+    """Texts as they are split: small ASCII letters where that changes no id."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    special = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _MAY_STAY))
+    low = pc.ascii_lower(texts)
+    if not pc.any(special).as_py():
+        return low
+    apart = [t if "<|" in t else _lowered(t.encode()).decode() for t in texts.filter(special).to_pylist()]
+    return pc.replace_with_mask(low, special, pa.array(apart, pa.large_string()))
+
+
+def gathered(batches, size: int = BATCH_BYTES):
+    """Record batches put together until their bytes reach the size."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n or held:
+        yield from (b for b in pa.Table.from_batches(held).combine_chunks().to_batches() if len(b))
+
+
 def _lowered(data: bytes) -> bytes:
     """ASCII capitals as small letters where that leaves the ids as they are."""
     low = data.translate(_LOWER)
@@ -157,8 +204,6 @@ def _pack(ids: list[int]) -> bytes:
 
 
 def _split(ids: bytes, mark: bytes) -> list[bytes]:
-    import numpy as np
-
     if len(mark) != 4:
         return []
     at = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(mark, "<u4")[0])

@@ -5,7 +5,7 @@ planes, each plane in the order that the planes before it leave, so that rank
 and select on planes answer access, counting and occurrence lookup.
 
 Nulls and edges: a null or empty text is the end id alone; a null doc_id comes
-first and stays null; repeated ids keep all their rows, ordered by text; an
+first and stays null; repeated ids keep all their rows, ordered by a hash of the text; an
 empty table writes no file. Other columns are not read.
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import Committed, open_input, shared_folder, small_batches
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, gathered, tokenizer_path
 
 END_ID = 2
 # A shard is closed once it holds this many ids.
@@ -139,7 +140,7 @@ class Shard:
     matrix: WaveletMatrix
 
 
-def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def pack_shard(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of a file: a header, the documents, the planes."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
     matrix = WaveletMatrix.build(ids, bits)
@@ -173,24 +174,29 @@ def unpack_shard(data: bytes) -> Shard:
 
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write all documents; the manifest, one row per file, is a table."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         part, enc = TaskContext.get().partitionId(), encoder(path)
         doc_ids, lengths, held, seq, n = [], [], [], 0, 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u4")
             file = Committed(folder, f"{part:06d}-{seq:06d}.wavelet")
-            file.write(pack_shard(doc_ids, lengths, ids))
-            return pd.DataFrame({"part": [part], "seq": [seq], "file": [file.commit().rpartition("/")[2]], "n_ids": [n]})
-
-        for pdf in batches:
-            for doc_id, data in zip(pdf["doc_id"], enc.encode(list(pdf["text"])), strict=True):
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                held.append(data + end)
-                lengths.append(len(held[-1]) // 4)
-                n += lengths[-1]
+            file.write(pack_shard(doc_ids, np.concatenate(lengths), np.concatenate(held)))
+            name = file.commit().rpartition("/")[2]
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_ids": [n]})
+
+        for batch in gathered(batches):
+            ids, ends = enc.encode_all(batch.column("text"))
+            ids, sizes = np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
+            stops, here, first, before = np.cumsum(sizes), batch.column("doc_id").to_pylist(), 0, 0
+            while first < len(stops):
+                # A shard closes with the document that fills it.
+                last = min(int(np.searchsorted(stops, before + shard_ids - n)) + 1, len(stops))
+                doc_ids += here[first:last]
+                lengths.append(sizes[first:last])
+                held.append(ids[before : stops[last - 1]])
+                n += int(stops[last - 1]) - before
+                first, before = last, int(stops[last - 1])
                 if n >= shard_ids:
                     yield close()
                     doc_ids, lengths, held, seq, n = [], [], [], seq + 1, 0
@@ -198,8 +204,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
             yield close()
 
     small_batches(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut_lineage(ordered.mapInPandas(run, "part long, seq long, file string, n_ids long"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("digest", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
+    return cut_lineage(ordered.mapInArrow(run, "part long, seq long, file string, n_ids long"))
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
