@@ -7,9 +7,11 @@ joins that; otherwise it is a centre of its own.
 
 Two exact ways to get there, chosen by checked sizes. Groups of at most
 `max_group_rows` locations go to a grouped function that reads them once in
-order. Bigger ones are worked off in slices of the order: joins first drop the
-locations of a slice that the centres found so far already cover, and only the
-few that are left go to bounded groups.
+order. Bigger ones are cut into blocks of ground, which are settled side by side
+until they agree (`blocks`). Where ground is too dense for that, the order is
+worked off in slices: joins first drop the locations of a slice that the centres
+found so far already cover, and only the few that are left go to bounded groups
+or blocks.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from roadpulse.functions.geo import (
     number,
     with_cell,
 )
-from roadpulse.operators import in_order
+from roadpulse.operators import blocks, in_order
 from roadpulse.operators.assign import ship
+from roadpulse.operators.ground import assign_ground_islands
 from roadpulse.operators.islands import (
     assign_islands,
     assign_parts,
@@ -68,7 +71,7 @@ def greedy_cluster(
     total = points.count() if rows is None or rows > max_group_rows else rows
     if total <= max_group_rows:
         return _grouped(points, radius, keys, keys, total)
-    bands = island_bands(points, radius, keys).persist()
+    bands = cut_lineage(island_bands(points, radius, keys))
     sizes = island_sizes(bands, keys)
     small = F.col("island_rows") <= F.lit(max_group_rows)
     counts = sizes.agg(F.count_if(small).alias("s"), F.count_if(~small).alias("b")).first()
@@ -84,10 +87,12 @@ def greedy_cluster(
 
 
 def _big_islands(points: DataFrame, radius: float, max_group_rows: int, keys: list[str]):
-    """Islands that are too big by latitude alone, cut by longitude as well."""
-    placed = assign_parts(points, radius, keys)
-    by = [*keys, "island_id", "part_id"]
-    placed = cut_lineage(placed.join(part_sizes(placed, keys), by))
+    """Islands that are too big by latitude alone, taken apart by the ground that
+    is covered."""
+    placed = cut_lineage(assign_ground_islands(points, radius, keys))
+    by = [*keys, "part_id"]
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("part_rows"))
+    placed = cut_lineage(placed.join(sizes, by))
     small = F.col("part_rows") <= F.lit(max_group_rows)
     counts = placed.agg(F.count_if(small).alias("s"), F.count_if(~small).alias("b")).first()
     out = []
@@ -103,6 +108,8 @@ def _big_islands(points: DataFrame, radius: float, max_group_rows: int, keys: li
 
 
 BATCH_ROWS = 5_000
+# How much larger each slice of the order is than the one before.
+GROWTH = 8
 BROADCAST_ROWS = 20_000
 
 
@@ -209,18 +216,24 @@ def cluster_in_rounds(
 ) -> DataFrame:
     """The same centres for groups of any size.
 
-    The order is cut into slices that double in size. A location of a slice
+    Ground that can be cut into blocks of bounded size is settled block by
+    block. Elsewhere the order is cut into slices, each `GROWTH` times as large as
+    the one before. A location of a slice
     still matters for what becomes a centre only if no known centre before it
     lies within the radius, or if it is the first that such a one, or one that
     waits for its next neighbour, would call on. Those few form groups that
-    cannot meet (islands of their own) and are settled in order; the rest take
-    the earliest centre before them at the end, in one join. A slice that puts
-    too many in one group, waiting ones included, is halved, down to locations
-    that share one `seq`. So every location is joined about once, and no group
+    cannot meet (islands of their own), or blocks, and are settled in order; the
+    rest take the earliest centre before them at the end, in one join. A slice
+    that puts too many in one group even so, waiting ones included, is halved,
+    down to locations that share one `seq`. So every location is joined about once, and no group
     is above the bound as long as ids differ.
     """
     keys = keys or ["road_key"]
     points = cut_lineage(points)
+    held = blocks.members(points, radius, keys, max_group_rows)
+    if held is not None:
+        placed = blocks.settle(held, keys, _in_batches, blocks.greedy_roles(radius))
+        return _sum_up(points, placed.select(*keys, *AT, *TO, "miles"), keys)
     todo = _cuts(points, max_group_rows)
     found: list[DataFrame] = []
     waiting: DataFrame | None = None
@@ -241,14 +254,21 @@ def cluster_in_rounds(
         if waiting is not None:
             called_on, idle = _split_waiting(waiting, fresh, n_fresh, radius, keys)
             active = cut_lineage(fresh.unionByName(called_on.withColumn("covered", F.lit(False))))
-        rows = active.count()
+        rows, held = active.count(), None
         if rows > max_group_rows:
             active, fits = _parted(active, radius, keys, max_group_rows)
-            middle = None if fits else _middle(fresh, n_fresh)
+            if not fits:
+                held = blocks.members(active, radius, keys, max_group_rows, ["covered"])
+            middle = None if fits or held is not None else _middle(fresh, n_fresh)
             if middle is not None:
                 todo[:0] = [middle, high]
                 continue
-        out = cut_lineage(_settle_slice(active, radius, keys, rows))
+        if held is not None:
+            out = blocks.settle(held, keys, _in_batches, blocks.greedy_roles(radius))
+            out = _role_names(out, keys)
+        else:
+            out = _settle_slice(active, radius, keys, rows)
+        out = cut_lineage(out)
         found.append(out.filter("role <> 'waiting'"))
         waiting = out.filter("role = 'waiting'")
         if idle is not None:
@@ -272,7 +292,7 @@ def _cuts(points: DataFrame, first: int) -> list:
         at = some[min(int(share * len(some)), len(some) - 1)]
         if not cuts or at > cuts[-1]:
             cuts.append(at)
-        share = share * 2 + first / n
+        share = share * GROWTH + first / n
     return [*cuts, None]
 
 
@@ -346,18 +366,23 @@ def _settle_slice(grouped, radius, keys, rows):
 
     def roles(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*by, *AT], ignore_index=True)
-        target, miles, centre = in_order.settle_groups(
-            pdf, by, radius, pdf["covered"].to_numpy()
-        )
+        target, miles, role = in_order.settle_groups(pdf, by, radius, pdf["covered"].to_numpy())
         goal = {t: pdf[c].to_numpy()[target] for t, c in zip(TO, AT)}
         out = pdf.assign(**goal, miles=miles, role="settled")
         out.loc[target == out.index, "role"] = "waiting"
-        out.loc[centre, "role"] = "centre"
+        out.loc[role == in_order.CENTRE, "role"] = "centre"
         return out.loc[target >= 0, names]
 
     return _in_batches(grouped, by, rows).applyInPandas(roles, schema)
 
 
+def _role_names(placed, keys):
+    """Rows of `blocks.settle` in the form of `_settle_slice`."""
+    same = F.expr(" and ".join(f"{a} = {t}" for a, t in zip(AT, TO)))
+    name = F.when(F.col("role") == in_order.CENTRE, "centre").when(same, "waiting").otherwise("settled")
+    return placed.withColumn("role", name).select(*keys, "seq", "lat", "lon", "bearing", "role", *TO, "miles")
+
+
 def _centres(found: list[DataFrame]) -> DataFrame:
     every = found[0]
     for df in found[1:]:
@@ -368,7 +393,6 @@ def _centres(found: list[DataFrame]) -> DataFrame:
 def _gather(points, found, waiting, radius, keys, n_centres):
     """Adds every location to its centre. Locations that still wait have no
     neighbour left and are centres of their own."""
-    extra = [k for k in keys if k != "road_key"]
     cells = [*keys, "cell_y", "cell_x"]
     cols = [*keys, *AT, *TO, "miles"]
     fixed = waiting.select(*cols)
@@ -386,9 +410,15 @@ def _gather(points, found, waiting, radius, keys, n_centres):
         .agg(F.expr(f"min(struct({goal}, {_miles('c', 'o')} as miles))").alias("_b"))
         .select(*keys, *AT, "_b.*")
     )
+    return _sum_up(points, fixed.unionByName(taken), keys)
+
+
+def _sum_up(points, placed, keys):
+    """Centres with what `placed` (one row per location) sends to them."""
+    extra = [k for k in keys if k != "road_key"]
     sums = (
         points.select(*keys, *AT, "n")
-        .join(fixed.unionByName(taken), [*keys, *AT])
+        .join(placed, [*keys, *AT])
         .groupBy(*keys, *TO)
         .agg(
             F.sum("n").cast("long").alias("n"),
@@ -432,20 +462,67 @@ def greedy_cluster_bucketed(
         with_bucket(points, n_buckets), radius, max_group_rows, ["road_key", "bucket_id"], rows
     )
     first = cut_lineage(within)
-    return _suppress_later(first, radius, compat_counts)
+    return _suppress_later(first, radius, compat_counts, max_group_rows)
 
 
-def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> DataFrame:
-    """A lone location goes to the first (bucket, then seq) location of an
-    earlier bucket that still stands. Lone locations of one bucket never lie
-    within the radius of one another, so the edges below stay few per row."""
+def _moves(first: DataFrame, radius: float, max_group_rows: int) -> DataFrame:
+    """road_key, at, to of the lone locations that do not stand. The rule reads
+    locations in order, like the clustering itself: bounded groups in one pass,
+    larger ones by ground islands and by blocks. Only where so many buckets meet
+    on little ground that no block fits do the open ones go round by round."""
+    keys = ["road_key"]
+    carry = ["bucket_id", "lone"]
+    first = first.select(*keys, *AT, "bearing", *carry)
+    total = first.count()
+    if total <= max_group_rows:
+        return _moved(_suppressed(first, keys, radius, total))
+    placed = cut_lineage(assign_ground_islands(first, radius, keys))
+    by = [*keys, "part_id"]
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("part_rows"))
+    placed = cut_lineage(placed.join(sizes, by))
+    small = F.col("part_rows") <= F.lit(max_group_rows)
+    out = _moved(_suppressed(placed.filter(small), by, radius, total))
+    rest = placed.filter(~small).select(first.columns)
+    if rest.isEmpty():
+        return out
+    held = blocks.members(rest, radius, keys, max_group_rows, carry)
+    if held is None:
+        return out.unionByName(_moves_by_rounds(rest, radius))
+
+    def decide(pdf, by):
+        return in_order.suppress_groups(pdf, by, radius, pdf["given"].to_numpy())
+
+    return out.unionByName(_moved(blocks.settle(held, keys, _in_batches, decide, ["bucket_id", *AT])))
+
+
+def _moved(placed: DataFrame) -> DataFrame:
+    gone = placed.filter(F.col("role") != in_order.STANDS)
+    to = F.struct(*[F.col(t).alias(c) for t, c in zip(TO, AT)])
+    return gone.select("road_key", F.struct(*AT).alias("at"), to.alias("to"))
+
+
+def _suppressed(rows: DataFrame, by: list[str], radius: float, n: int) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    schema = f"road_key string, seq {kinds['seq']}, lat double, lon double, role int, to {kinds['seq']}, to_lat double, to_lon double"
+
+    def roles(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*by, "bucket_id", *AT], ignore_index=True)
+        target, _, role = in_order.suppress_groups(pdf, by, radius)
+        goal = {t: pdf[c].to_numpy()[target] for t, c in zip(TO, AT)}
+        return pdf.assign(**goal, role=role)[["road_key", *AT, "role", *TO]]
+
+    return _in_batches(rows, by, n).applyInPandas(roles, schema)
+
+
+def _moves_by_rounds(first: DataFrame, radius: float) -> DataFrame:
+    """The same from all pairs in reach. Lone locations of one bucket never lie
+    within the radius of one another, so the edges stay few per row; the rounds
+    follow the longest chain of open ones."""
     keys = ["road_key"]
     cells = [*keys, "cell_y", "cell_x"]
-    first = first.withColumn("at", F.struct(F.col("hs_id").alias("seq"), "lat", "lon"))
-    lone = first.filter("lone").select("road_key", F.col("at").alias("seq"), "bucket_id", "lat", "lon", "bearing", "n")
-    every = first.select(
-        "road_key", F.col("at").alias("seq"), "bucket_id", "lat", "lon", "bearing", "lone"
-    )
+    first = first.withColumn("at", F.struct(*AT))
+    lone = first.filter("lone").select("road_key", F.col("at").alias("seq"), "bucket_id", "lat", "lon", "bearing")
+    every = first.select("road_key", F.col("at").alias("seq"), "bucket_id", "lat", "lon", "bearing", "lone")
     side = _reach(every, radius, first.count())
     edges = cut_lineage(
         with_cell(lone, radius)
@@ -490,11 +567,18 @@ def _suppress_later(first: DataFrame, radius: float, compat_counts: bool) -> Dat
     standing = edges.join(
         gone.select("road_key", F.col("seq").alias("to")), ["road_key", "to"], "left_anti"
     )
-    moves = (
+    return (
         standing.groupBy("road_key", "seq")
         .agg(F.min(F.struct("to_bucket", "to")).alias("_b"))
         .select("road_key", F.col("seq").alias("at"), F.col("_b.to").alias("to"))
     )
+
+
+def _suppress_later(first: DataFrame, radius: float, compat_counts: bool, max_group_rows: int) -> DataFrame:
+    """A lone location goes to the first (bucket, then seq) location of an
+    earlier bucket that still stands."""
+    first = first.withColumn("at", F.struct(F.col("hs_id").alias("seq"), "lat", "lon"))
+    moves = _moves(first.withColumnRenamed("hs_id", "seq"), radius, max_group_rows)
     counted = F.when(F.col("to").isNotNull() & F.lit(compat_counts), F.lit(1)).otherwise(F.col("n"))
     sums = (
         first.join(moves, ["road_key", "at"], "left")

@@ -23,78 +23,148 @@ def cells(lat, lon, radius):
     return bands.tolist(), columns.tolist(), around
 
 
-def settle(lat, lon, bearing, radius, covered=None):
-    """Where each location goes, the miles there, and whether it is a centre.
+class Nearby:
+    """The locations of a group, and which of some are near one of them."""
 
-    The locations come in order. Only centres and locations still waiting for a
-    later neighbour are compared with, kept by cell. A location
-    that ends waiting goes to itself. A `covered` one has an earlier centre
-    outside the group: it can only be called on by one that waits, and goes
-    nowhere (-1) otherwise.
-    """
-    phi, lam = np.radians(lat), np.radians(lon)
-    cos_phi = np.cos(phi)
-    bands, columns, around = cells(lat, lon, radius)
-    at = list(zip(bands, columns, strict=True))
-    n = len(lat)
-    target, miles, centre = np.arange(n), np.zeros(n), np.zeros(n, dtype=bool)
-    centres: dict[tuple[int, int], list[int]] = {}
-    waiting: dict[tuple[int, int], list[int]] = {}
-    sides = (-1, 0, 1) if around > 1 else (0,)
+    def __init__(self, lat, lon, bearing, radius):
+        self.phi, self.lam = np.radians(lat), np.radians(lon)
+        self.cos_phi = np.cos(self.phi)
+        self.bearing, self.radius = bearing, radius
+        self.bands, self.columns, self.around = cells(lat, lon, radius)
+        self.at = list(zip(self.bands, self.columns, strict=True))
+        self.sides = (-1, 0, 1) if self.around > 1 else (0,)
 
-    def near(i, pool):
+    def of(self, i, pool):
+        """Locations of a pool (by cell) within the radius of i, and the miles."""
         found = []
-        for b in (bands[i] - 1, bands[i], bands[i] + 1):
-            for s in sides:
-                found += pool.get((b, (columns[i] + s) % around), ())
+        for b in (self.bands[i] - 1, self.bands[i], self.bands[i] + 1):
+            for s in self.sides:
+                found += pool.get((b, (self.columns[i] + s) % self.around), ())
         if not found:
             return found, ()
         j = np.array(found)
-        turn = np.abs((np.abs(bearing[j] - bearing[i]) + 180) % 360 - 180)
+        turn = np.abs((np.abs(self.bearing[j] - self.bearing[i]) + 180) % 360 - 180)
         a = (
-            np.sin((phi[j] - phi[i]) / 2) ** 2
-            + np.sin((lam[j] - lam[i]) / 2) ** 2 * cos_phi[j] * cos_phi[i]
+            np.sin((self.phi[j] - self.phi[i]) / 2) ** 2
+            + np.sin((self.lam[j] - self.lam[i]) / 2) ** 2 * self.cos_phi[j] * self.cos_phi[i]
         )
         d = 2 * EARTH_MILES * np.arcsin(np.sqrt(a))
-        hit = (turn < BEARING_LIMIT) & (d <= radius)
+        hit = (turn < BEARING_LIMIT) & (d <= self.radius)
         return j[hit], d[hit]
 
+
+WAITS, CENTRE = 1, 2  # roles; 0 joins another
+STANDS = 1
+
+
+def settle(lat, lon, bearing, radius, covered=None, given=None):
+    """Where each location goes, the miles there, and its role when it was read.
+
+    The locations come in order. Only centres and locations still waiting for a
+    later neighbour are compared with, kept by cell. A location
+    that ends waiting goes to itself. A `covered` one has an earlier centre
+    outside the group: it can only be called on by one that waits, and goes
+    nowhere (-1) otherwise. A role that is `given` (not negative) is taken as it
+    is; the location is still what earlier ones call on.
+    """
+    near = Nearby(lat, lon, bearing, radius)
+    at = near.at
+    n = len(lat)
+    target, miles, role = np.arange(n), np.zeros(n), np.zeros(n, dtype=np.int32)
+    centres: dict[tuple[int, int], list[int]] = {}
+    waiting: dict[tuple[int, int], list[int]] = {}
+
     for i in range(n):
-        callers, away = near(i, waiting)
+        callers, away = near.of(i, waiting)
         if len(callers):  # the first later neighbour of each of these
             target[callers], miles[callers] = i, away
             for k in callers:
                 waiting[at[k]].remove(k)
+        if given is not None and given[i] >= 0:
+            role[i] = given[i]
+            if given[i]:
+                (centres if given[i] == CENTRE else waiting).setdefault(at[i], []).append(i)
+            continue
+        if len(callers):
             centres.setdefault(at[i], []).append(i)
-            centre[i] = True
+            role[i] = CENTRE
             continue
         if covered is not None and covered[i]:
             target[i] = -1
             continue
-        known, away = near(i, centres)
+        known, away = near.of(i, centres)
         if len(known):
             first = int(np.argmin(known))
             target[i], miles[i] = known[first], away[first]
         else:
             waiting.setdefault(at[i], []).append(i)
-    return target, miles, centre
+            role[i] = WAITS
+    return target, miles, role
+
+
+def suppress(lat, lon, bearing, radius, bucket, lone, given=None):
+    """Where each location goes, the miles there, and whether it stands (role).
+
+    The locations come in order of their buckets. A lone one goes to the first
+    location of an earlier bucket that stands within the radius.
+    """
+    near = Nearby(lat, lon, bearing, radius)
+    n = len(lat)
+    target, miles, role = np.arange(n), np.zeros(n), np.zeros(n, dtype=np.int32)
+    standing: dict[tuple[int, int], list[int]] = {}
+    for i in range(n):
+        stands = True
+        if given is not None and given[i] >= 0:
+            stands = given[i] == STANDS
+        elif lone[i]:
+            known, away = near.of(i, standing)
+            earlier = [k for k, j in enumerate(known) if bucket[j] < bucket[i]]
+            if earlier:
+                first = min(earlier, key=lambda k: known[k])
+                target[i], miles[i], stands = known[first], away[first], False
+        if stands:
+            standing.setdefault(near.at[i], []).append(i)
+            role[i] = STANDS
+    return target, miles, role
+
 
+def group_starts(frame, groups):
+    """First positions of the groups of a sorted frame."""
+    keys = frame[groups]
+    return np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
 
-def settle_groups(frame, groups, radius, covered=None):
+
+def suppress_groups(frame, groups, radius, given=None):
+    """`suppress` for every group of a frame sorted by `groups`, then bucket and
+    seq; positions are those of the whole frame."""
+    n = len(frame)
+    target, miles, role = np.arange(n), np.zeros(n), np.zeros(n, dtype=np.int32)
+    columns = [frame[c].to_numpy() for c in ("lat", "lon", "bearing", "bucket_id", "lone")]
+    starts = group_starts(frame, groups)
+    for a, b in zip(starts, [*starts[1:], n]):
+        lat, lon, bearing, bucket, lone = (c[a:b] for c in columns)
+        told = None if given is None else given[a:b]
+        t, miles[a:b], role[a:b] = suppress(lat, lon, bearing, radius, bucket, lone, told)
+        target[a:b] = t + a
+    return target, miles, role
+
+
+def settle_groups(frame, groups, radius, covered=None, given=None):
     """`settle` for every group of a frame sorted by `groups` and then seq;
     positions are those of the whole frame."""
     n = len(frame)
     lat, lon = frame["lat"].to_numpy(), frame["lon"].to_numpy()
     bearing = frame["bearing"].to_numpy()
-    target, miles, centre = np.arange(n), np.zeros(n), np.zeros(n, dtype=bool)
-    keys = frame[groups]
-    starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+    target, miles, role = np.arange(n), np.zeros(n), np.full(n, WAITS, dtype=np.int32)
+    starts = group_starts(frame, groups)
     for a, b in zip(starts, [*starts[1:], n]):
-        if b - a == 1:
-            target[a] = -1 if covered is not None and covered[a] else a
+        if b - a == 1 and given is None:
+            if covered is not None and covered[a]:
+                target[a], role[a] = -1, 0
             continue
         part = slice(a, b)
         hidden = None if covered is None else covered[part]
-        t, miles[part], centre[part] = settle(lat[part], lon[part], bearing[part], radius, hidden)
+        told = None if given is None else given[part]
+        t, miles[part], role[part] = settle(lat[part], lon[part], bearing[part], radius, hidden, told)
         target[part] = np.where(t >= 0, t + a, -1)
-    return target, miles, centre
+    return target, miles, role
