@@ -230,7 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list[Ru
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(2 * labelled)
     # at most twice `labelled` rows of two numbers
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_stats(some, "stats").filter("not stats.base_failed").select("doc_id", "quality", "stats.*").limit(2 * labelled).toPandas()
+    # A filter on the statistics would be moved below the join, to all documents.
+    rows = with_stats(some.limit(4 * labelled), "stats").select("doc_id", "quality", "stats.*").toPandas()
+    rows = rows[~rows["base_failed"].astype(bool)]
     if not len(rows):
         return []
     rows = rows.sort_values(["doc_id", "n_words", "word_chars"], ignore_index=True)
