@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadpulse.llm.common import shared_folder, table
 from roadpulse.llm.decontaminate import drop_contaminated
+from roadpulse.llm.near_copies import drop_near_copies
 from roadpulse.llm.packing import pack
 from roadpulse.llm.quality import keep_good
 from roadpulse.llm.secrets import redact
-from roadpulse.llm.simhash_dedup import drop_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
