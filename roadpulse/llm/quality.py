@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import SPACES, fresh, let, without, words
 
 # Fixed values of the base rules.
@@ -231,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list[Ru
     # at most twice `labelled` rows of two numbers
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # A filter on the statistics would be moved below the join, to all documents.
-    rows = with_stats(some.limit(4 * labelled), "stats").select("doc_id", "quality", "stats.*").toPandas()
+    rows = with_stats(some, "stats").select("doc_id", "quality", "stats.*").limit(4 * labelled)
+    rows = cut_lineage(rows).toPandas()
     rows = rows[~rows["base_failed"].astype(bool)]
     if not len(rows):
         return []
