@@ -526,7 +526,7 @@ def incident_accounting(spark, sf):
 
 
 def stream_progress(spark, sf):
-    """One row per batch of a stream."""
+    """One row per batch of a stream, with whether its delay is known."""
     files = scratch_path(spark, "feed")
     _feed_lines(spark, sf).write.partitionBy("interval_id").text(files)
     store = _stream(spark, files, scratch_path(spark, "stream"), scratch_path(spark, "offsets"))

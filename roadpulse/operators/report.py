@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from roadpulse.functions.fuzzy import DENSE, SPARSE
 
 
-def interval_metrics(outcome: DataFrame, by: list[str] | None = None) -> DataFrame:
+def interval_metrics(
+    outcome: DataFrame, by: list[str] | None = None, extra: list[Column] | None = None
+) -> DataFrame:
     """Counts and ranges of one step (or of many, `by` interval) in a single
-    aggregate over the step's outcome table."""
+    aggregate over the step's outcome table, and what else the caller wants."""
     alive = F.col("status") != "deleted"
     shown = F.col("status") == "reported"
     cols = [
@@ -29,7 +31,7 @@ def interval_metrics(outcome: DataFrame, by: list[str] | None = None) -> DataFra
             F.min(F.when(alive, F.col("sd"))).alias("sd_min"),
             F.max(F.when(alive, F.col("sd"))).alias("sd_max"),
         ]
-    return outcome.groupBy(*(by or [])).agg(*cols)
+    return outcome.groupBy(*(by or [])).agg(*cols, *(extra or []))
 
 
 def density_labels(reported: DataFrame) -> DataFrame:

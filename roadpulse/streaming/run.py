@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from roadpulse.operators.ranks import PROBABILITIES, rank_quantiles
+from roadpulse.operators.ranks import rank_values
 from roadpulse.operators.report import interval_metrics
 from roadpulse.operators.state import advance_idle
 from roadpulse.params import CrispParams, FuzzyParams
@@ -19,8 +19,6 @@ from roadpulse.session import scratch_path
 from roadpulse.sources.incidents import with_reason
 from roadpulse.streaming.store import RunStore, Version, partition_values
 
-SMALL_STATE = 100_000  # rows up to which ranks are read off one sorted array
-
 
 class IntervalRunner:
     """Applies batches in order of `batch_id`, each as its intervals in
@@ -141,7 +139,7 @@ class IntervalRunner:
         wrote = time.monotonic()
         self.store.write_outcome(result.outcome, batch_id, interval_id)
         written = self.store.read_outcome(Version(batch_id, interval_id, 0))
-        metrics, fv, sd = self._measure(written, result.max_rows)
+        metrics, fv, sd = self._measure(written)
         done = time.monotonic()
         result.release()
         if idle > 0 and n_state > 0:
@@ -170,31 +168,19 @@ class IntervalRunner:
         )
         return version, row
 
-    def _measure(self, written: DataFrame, max_rows: int):
-        """All figures of the interval. The row bound is known from the step, so
-        a small state gives its ranks in the same aggregate."""
-        aggregate = interval_metrics(written)
-        if not self.quantiles:
-            return aggregate.first().asDict(), None, None
+    def _measure(self, written: DataFrame):
+        """All figures of the interval in one pass; ranks start from its extremes."""
         columns = ["fitness", "sd"] if self.fuzzy else ["fitness"]
-        if max_rows <= SMALL_STATE:
-            lists = state_of(written).agg(*[_sorted_ranks(c).alias(f"q_{c}") for c in columns])
-            got = {**aggregate.first().asDict(), **lists.first().asDict()}
-            return got, got["q_fitness"], got.get("q_sd")
-        out = []
-        for c in columns:
-            by_p = {r["p"]: r["value"] for r in rank_quantiles(state_of(written), c).collect()}
-            out.append([by_p.get(p) for p in PROBABILITIES])
-        return aggregate.first().asDict(), out[0], out[1] if self.fuzzy else None
-
-
-def _sorted_ranks(column: str):
-    values = F.sort_array(F.collect_list(column))
-    n = F.size(values)
-    # Without rows every position lies outside the array: nulls, as by `ranks`.
-    return F.array(
-        *[F.get(values, F.least(F.floor(F.lit(p) * n).cast("int"), n - 1)) for p in PROBABILITIES]
-    )
+        alive = F.col("status") != "deleted"
+        sizes = [F.count(F.when(alive, F.col(c))).alias(f"n_{c}") for c in columns]
+        got = interval_metrics(written, extra=sizes if self.quantiles else None).first().asDict()
+        if not self.quantiles:
+            return got, None, None
+        known = {"fitness": (got["n_fitness"], got["fv_min"], got["fv_max"])}
+        if self.fuzzy:
+            known["sd"] = (got["n_sd"], got["sd_min"], got["sd_max"])
+        ranks = rank_values(state_of(written), columns, known=known)
+        return got, ranks["fitness"], ranks.get("sd")
 
 
 def stage_by_interval(incidents: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -232,9 +218,21 @@ def run_stream(
     that the closing of the last interval has a number of its own.
     """
     runner = IntervalRunner(incidents.sparkSession, root, params, quantiles=quantiles)
+    running: list[StreamingQuery] = []
+    noted: set[int] = set()
+
+    def note_delays() -> None:
+        """A batch's scheduling delay is known once it is over: each batch, and
+        the end, writes what the ones before left."""
+        for p in running[0].recentProgress if running else []:
+            delay = scheduling_ms(p)
+            if delay is not None and int(p["batchId"]) not in noted:
+                runner.store.write_delay(delay, int(p["batchId"]))
+                noted.add(int(p["batchId"]))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         """A step reads its batch more than once; the files are parsed once."""
+        note_delays()
         batch.persist()
         started, began = datetime.now(timezone.utc), time.monotonic()
         try:
@@ -251,18 +249,29 @@ def run_stream(
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     query = writer.start()
+    running.append(query)
     if timeout_seconds is not None:
         if not query.awaitTermination(timeout_seconds):
             query.stop()
+        note_delays()
     elif available_now:
         query.awaitTermination()
+        note_delays()
         runner.flush()
     return query
 
 
+def scheduling_ms(progress) -> int | None:
+    """Time of a trigger outside the batch's own work; none if it had no batch."""
+    d = progress["durationMs"]
+    if "addBatch" not in d:
+        return None
+    return int(d.get("triggerExecution", 0)) - int(d["addBatch"])
+
+
 def progress_metrics(query: StreamingQuery) -> DataFrame:
     """Rows, start and durations of the recent micro-batches of a query, as Spark
-    keeps them; `RunStore.progress` has every batch. The scheduling delay is the time from the trigger to the batch's own work."""
+    keeps them; `RunStore.progress` has every batch."""
     spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
     rows = []
     for p in query.recentProgress:

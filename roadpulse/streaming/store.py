@@ -5,6 +5,7 @@
     <root>/late/batch_id=B                             rows of closed intervals
     <root>/quarantine/batch_id=B                       rows that cannot take part
     <root>/progress/batch_id=B                         how a stream's batch went
+    <root>/delays/batch_id=B                           how long it had to wait
     <root>/parked/batch_id=B/interval_id=T             rows of an interval still open
 
 A batch writes only below its own id and overwrites what an earlier attempt
@@ -144,10 +145,19 @@ class RunStore:
         df = self.spark.createDataFrame([row], PROGRESS_SCHEMA).coalesce(1)
         df.write.mode("overwrite").parquet(f"{self.root}/progress/batch_id={batch_id}")
 
+    def write_delay(self, scheduling_ms: int, batch_id: int) -> None:
+        df = self.spark.createDataFrame([(scheduling_ms,)], "scheduling_ms long").coalesce(1)
+        df.write.mode("overwrite").parquet(f"{self.root}/delays/batch_id={batch_id}")
+
     def progress(self) -> DataFrame:
-        """One row for every batch of the stream that was worked off."""
-        schema = "batch_id long, " + PROGRESS_SCHEMA
-        return self.spark.read.schema(schema).parquet(f"{self.root}/progress")
+        """One row for every batch of the stream that was worked off. The delay
+        of a batch is written by the next one, or at the end of the run."""
+        read = self.spark.read
+        rows = read.schema("batch_id long, " + PROGRESS_SCHEMA).parquet(f"{self.root}/progress")
+        if not partition_values(self.spark, f"{self.root}/delays", "batch_id"):
+            return rows.withColumn("scheduling_ms", F.lit(None).cast("long"))
+        delays = read.schema("batch_id long, scheduling_ms long").parquet(f"{self.root}/delays")
+        return rows.join(delays, "batch_id", "left")
 
     def metrics(self) -> DataFrame:
         schema = "batch_id long, " + METRICS_SCHEMA

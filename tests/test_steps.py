@@ -1,4 +1,6 @@
 import os
+import time
+from pathlib import Path
 
 import pytest
 
@@ -124,6 +126,54 @@ def test_stream_restart_equals_replay(spark, tmp_path):
     )
     progress = run.progress_metrics(query).collect()
     assert sum(r["n_rows"] for r in progress) == sum(x["t"] > 1 for x in items)
+    kept = store.progress().orderBy("batch_id").collect()
+    assert sum(r["n_rows"] for r in kept) == len(items)
+    assert [r["batch_id"] for r in kept] == list(range(len(kept)))
+    assert all(r["scheduling_ms"] is not None and r["scheduling_ms"] >= 0 for r in kept)
+
+
+def test_directory_stream_with_a_time_limit(spark, tmp_path):
+    """A query that goes on: files that appear are taken, the newest interval
+    waits, and the call returns when its time is over."""
+    items = history(60)
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    for t in GAPS:
+        lines = [f"{x['id']},{x['lat']},{x['lon']},{x['bearing']},x,{x['road']}" for x in items if x["t"] == t]
+        path = feed / f"inc_{t}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_700_000_000 + t,) * 2)
+    root, began = str(tmp_path / "r"), time.monotonic()
+    stream = src.stream_incident_csv(spark, str(feed), 1)
+    query = run.run_stream(stream, root, str(tmp_path / "ck"), CRISP, available_now=False, processing_time="1 second", timeout_seconds=45)
+    assert 44 < time.monotonic() - began < 90 and not query.isActive
+    store = run.RunStore(spark, root, data.frame(spark, items[:1]).schema["incident_id"].dataType, False)
+    # The newest interval is parked; all before it were stepped through.
+    assert sorted(r["interval_id"] for r in store.metrics().collect()) == sorted(GAPS)[:-1]
+    kept = store.progress().collect()
+    assert len(kept) == len(GAPS) and all(r["scheduling_ms"] is not None for r in kept)
+    # A run to the end closes what was left open.
+    run.run_stream(stream, root, str(tmp_path / "ck"), CRISP)
+    check(final(store), simulate(items, CRISP))
+
+
+def test_a_replay_that_goes_on_stages_only_what_is_new(spark, tmp_path, monkeypatch):
+    from roadpulse.plans import replay as plan
+
+    paths = []
+    monkeypatch.setattr(plan, "scratch_path", lambda _, name: paths.append(str(tmp_path / f"{name}{len(paths)}")) or paths[-1])
+    items = history(60)
+    df = data.frame(spark, items)
+    # An interval may have any number, the largest too.
+    top = df.filter(df.interval_id == GAPS[-1]).selectExpr("* except (interval_id)", "2147483647 as interval_id")
+    store = replay(df.filter("interval_id <= 2"), str(tmp_path / "r"), CRISP)
+    replay(df, str(tmp_path / "r"), CRISP)
+    check(final(store), simulate(items, CRISP))
+    replay(df, str(tmp_path / "r"), CRISP)
+    good = [sorted(p.name for p in Path(d).glob("is_good=true/at=*")) for d in paths]
+    assert good == [["at=1", "at=2"], [f"at={t}" for t in GAPS if t > 2], []]
+    wide = replay(df.unionByName(top), str(tmp_path / "wide"), CRISP)
+    assert {r["interval_id"] for r in wide.metrics().collect()} == {*GAPS, 2147483647}
 
 
 @pytest.mark.parametrize("per_trigger", [1, 3, None])
@@ -175,9 +225,7 @@ def test_batches_without_a_commit_are_not_seen(spark, tmp_path):
     assert store.latest().batch_id == 1
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_quantiles_of_small_states(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(run, "SMALL_STATE", limit)
+def test_quantiles_of_small_states(spark, tmp_path):
     df = data.frame(spark, data.rows(30, 5))
     for name, threshold in (("some", 1.2), ("none", 1e9)):
         p = FuzzyParams(radius_miles=3.0, init_miles=1.0, delete_threshold=threshold, hotspot_threshold=threshold)
