@@ -8,7 +8,8 @@ trained from labelled pages.
 
 Nulls and edges: a null or empty html gives an empty text; a head without an
 end tag closes at the first tag or text that cannot stand in it, other unclosed
-tags at a tag that implies their end, or where their parents do; trees of any depth are walked without recursion; null
+tags at a tag that implies their end, or where their parents do; a form is read
+only if it wraps paragraphs as a page does; trees of any depth are walked without recursion; null
 and repeated page_ids keep their rows. Other columns are not read.
 """
 
@@ -30,7 +31,11 @@ from .labelled_pages import labelled_pages
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "label"}
 # Their text is never read.
-SILENT = {"head", "script", "style", "noscript", "template", "form", "button", "select", "option", "textarea", "iframe", "svg", "object", "title"}
+SILENT = {"head", "script", "style", "noscript", "template", "button", "select", "option", "textarea", "iframe", "svg", "title"}
+# A form is read only if it wraps a page: that many paragraphs and characters.
+FORM_PARAS, FORM_CHARS = 2, 300
+# Characters of a long paragraph.
+LONG = 80
 # A new one of these closes an open one of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "caption", "colgroup"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"optgroup"}, "rt": {"rt", "rp"}, "rp": {"rt", "rp"}}
 CLOSES |= {"colgroup": {"caption", "colgroup"}} | dict.fromkeys(("tbody", "thead", "tfoot"), {"tbody", "thead", "tfoot", "caption", "colgroup"})
@@ -49,7 +54,7 @@ TAGS = {
     "table": {"table", "tr", "td", "th", "tbody", "thead"},
     "bad": {"nav", "footer", "header", "aside", "menu"},
     "box": {"div", "section"},
-    "page": {"#page", "html", "body"},
+    "page": {"#page", "html", "body", "form", "object", "center"},
     "link": {"a"},
 }
 # Words in class, id and role names.
@@ -70,6 +75,7 @@ class Node:
     below: int = 0  # of its subtree
     linked: int = 0  # of links in its subtree
     paras: int = 0  # paragraphs in its subtree
+    long: int = 0  # long paragraphs among its children
 
 
 @dataclass
@@ -159,6 +165,8 @@ def parse(html: str, marks: bool = True) -> Page:
     for at, text in reader.page.texts:
         if at >= 0:
             nodes[at].own += len(text.strip())
+    if any(n.tag == "form" for n in nodes):
+        _drop_controls(reader.page)
     for i in range(len(nodes) - 1, -1, -1):
         n = nodes[i]
         n.below += n.own
@@ -168,9 +176,26 @@ def parse(html: str, marks: bool = True) -> Page:
         if n.parent >= 0:
             up = nodes[n.parent]
             up.below, up.linked, up.paras = up.below + n.below, up.linked + n.linked, up.paras + n.paras
+            up.long += n.tag in TAGS["para"] and n.below >= LONG
     return reader.page
 
 
+def _drop_controls(page: Page) -> None:
+    """Take out the text of forms, but for those that wrap a page."""
+    nodes = page.nodes
+    chars, paras = [n.own for n in nodes], [int(n.tag == "p") for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        chars[nodes[i].parent] += chars[i]
+        paras[nodes[i].parent] += paras[i]
+    gone = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        small = n.tag == "form" and (paras[i] < FORM_PARAS or chars[i] < FORM_CHARS)
+        gone[i] = small or (i > 0 and gone[n.parent])
+        if gone[i]:
+            n.own = 0
+    page.texts = [(at, t) for at, t in page.texts if at < 0 or not gone[at]]
+
+
 @lru_cache(maxsize=10_000)
 def _named(tag: str, names: str) -> tuple[str, ...]:
     kinds = [k for k, tags in TAGS.items() if tag in tags] or ["other"]
@@ -178,10 +203,17 @@ def _named(tag: str, names: str) -> tuple[str, ...]:
     return (*(f"tag:{k}" for k in kinds), *(f"hint:{k}" for k, hints in HINTS.items() if words.intersection(hints)))
 
 
+def _marked(n: Node) -> bool:
+    """Its tag or its names say that it is no main text."""
+    return bool({"tag:bad", "hint:bad", "hint:said"}.intersection(_named(n.tag, n.names)))
+
+
 def node_features(n: Node) -> list[str]:
     out = list(_named(n.tag, n.names))
     if n.below:
         out.append(f"links:{int(n.linked / n.below * 3.99)}")
+    if n.tag not in INLINE and not _marked(n):
+        out.append(f"long:{min(n.long, 3)}")
     if n.tag in TAGS["box"]:
         out.append(f"size:{min(4, len(str(n.below)))}")
         out.append(f"paras:{min(n.paras, 3)}")

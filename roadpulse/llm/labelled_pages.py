@@ -15,6 +15,21 @@ _SHELLS = [
     '<body><div class="top-bar"><span>{n}</span></div><div class="wrapper"><div class="left-nav"><a href="/a">{n}</a><a href="/b">{n}</a></div><div class="entry-content" data-main="1"><h1>{h}</h1>{t}<p>{t}</p><p><i>{s}</i> {t}</p></div></div><div class="legal"><p>{s}</p></div></body>',
     '<body><nav><ul><li><a href="/a">{n}</a></li></ul></nav><article data-main="1"><h1>{h}</h1><p>{s}</p></article><footer>&copy; {n} &middot; {t}</footer></body>',
     '<body><div class="ad">{t}</div><article data-main="1"><h1>{h}</h1><p>{t}</p><div><p>{t}</p></div><ol><li>{t}</li></ol></article><div class="ads"><p>{t}</p></div><footer>{t}</footer></body>',
+    # Text in the page itself, in forms and tables around it, in boxes that say nothing.
+    '<body data-main="1"><h1>{h}</h1><p>{t}</p><p>{t}</p><p>{t}</p></body>',
+    '<body data-main="1"><div class="nav" data-main="0"><a href="/a">{n}</a> <a href="/b">{n}</a></div><h1>{h}</h1><p>{t}</p><p>{t} <b>{s}</b></p><ul><li>{s}</li></ul><p>{t}</p><div class="footer" data-main="0">{s}</div></body>',
+    '<body><form id="f1" action="x"><div class="menu"><a href="/a">{n}</a></div><div class="c7" data-main="1"><h1>{h}</h1><p>{t}</p><p>{t}</p></div><div id="footer"><p>{s}</p></div></form></body>',
+    '<body data-main="1"><center><h2>{h}</h2></center><p>{t}<p>{t}<hr><p data-main="0"><a href="/i">{n}</a> <a href="/j">{n}</a></p></body>',
+    '<body><table><tr><td><a href="/a">{n}</a><br><a href="/b">{n}</a></td><td data-main="1"><h1>{h}</h1><p>{t}</p><p>{t}</p><p>{s}</p></td></tr></table></body>',
+    '<body><div class="x1"><div class="k"><a href="/">{n}</a></div><div class="w2" data-main="1"><h2>{h}</h2><p>{t}</p><p>{t}</p></div></div><div class="k"><a href="/c">{n}</a><a href="/d">{n}</a></div></body>',
+    '<body><div class="a b" data-main="1"><p>{t}</p><p>{t}</p></div></body>',
+    '<body><div class="q9" data-main="1"><h1>{h}</h1><p>{t}</p></div></body>',
+    # Long paragraphs that are none of it.
+    '<body><main data-main="1"><article><h1>{h}</h1><p>{t}</p></article><section id="comments" data-main="0"><h2>{n}</h2><article class="comment"><p>{t}</p></article><article class="comment"><p>{t}</p><p>{t}</p></article></section></main></body>',
+    '<body><article data-main="1"><h1>{h}</h1><p>{t}</p></article><div id="respond"><article class="comment reply"><p>{t}</p></article><ol><li class="comment"><p>{t}</p></li></ol></div></body>',
+    '<body><div class="sidebar"><p>{t}</p><p>{t}</p></div><main data-main="1"><h1>{h}</h1><p>{t}</p></main><div class="promo"><p>{t}</p><p>{t}</p></div></body>',
+    '<body><article data-main="1"><h1>{h}</h1><p>{t}</p></article><div class="comments"><div class="comment"><p>{t}</p><p>{t}</p></div><div class="comment"><p>{t}</p></div></div></body>',
+    '<body><div class="post" data-main="1"><h2>{h}</h2><p>{t}</p><p>{t}</p></div><section class="discussion"><div><p>{t}</p></div><div><p>{t}</p><p>{t}</p></div></section><footer><p>{t}</p><p>{t}</p></footer></body>',
 ]
 
 _WORDS = "the river carries old boats past quiet towns where people trade bread wool and stories every autumn before snow closes".split()

@@ -1,3 +1,4 @@
+import pytest
 import re
 from html import unescape
 
@@ -109,3 +110,25 @@ def test_data_main_of_crawled_pages(spark):
     page = f'<html><head><script data-main="js/main" src="require.js"></script></head><body><article data-main=""><h1>Big title</h1><p>{WORDS}<p data-main="0">{WORDS}</article>'
     pages = spark.createDataFrame([(1, "u", page), (2, "u", page.replace(' data-main="0"', ""))], "page_id long, url string, html string")
     assert [r["text"] for r in H.main_text(pages).collect()] == [WANT, WANT]
+
+
+P = f"<p>{WORDS}</p>"
+LINKS = '<div class="nav"><a href="/">Home</a> <a href="/b">More</a></div>'
+FORMS = {
+    "page-wide form": (f'<form id="aspnetForm">{LINKS}<div id="content"><h1>Big title</h1>{P}{P}</div><div class="footer"><p>foot words</p></div></form>', 2),
+    "plain body": (f"<h1>Big title</h1>{P * 6}", 6),
+    "unknown box": (f'<nav><a href="/">Home</a></nav><div class="zz9"><h1>Big title</h1>{P}{P}</div><footer>foot</footer>', 2),
+    "unknown box of one": (f'<div class="zz9"><h1>Big title</h1>{P}</div>', 1),
+    "table": (f'<table><tr><td><a href="/">Home</a><br><a href="/b">B</a></td><td><h1>Big title</h1>{P}{P}</td></tr></table>', 2),
+    "form inside": (f"<article><h1>Big title</h1>{P}<form><p>Subscribe now</p><label>mail</label><input></form>{P}</article>", 2),
+    "comments": (f'<main><article><h1>Big title</h1>{P}</article><section id="comments"><h2>2 comments</h2><article class="comment">{P}</article><article class="comment">{P}{P}</article></section></main>', 1),
+    "sidebar": (f'<div class="sidebar">{P}{P}</div><main><h1>Big title</h1>{P}</main><div class="ad">{P}</div><footer>{P}</footer>', 1),
+    "notice": (f'<div class="cookie-notice">{P}</div><div class="x"><h1>Big title</h1>{P}{P}</div>', 2),
+}
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_forms_of_pages(name):
+    body, n = FORMS[name]
+    got = H.extract(H.train(labelled_pages()), f"<html><head><title>t</title></head><body>{body}</body></html>")
+    assert got == " ".join(["Big title", *[WORDS.strip()] * n])
