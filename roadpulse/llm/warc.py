@@ -1,7 +1,8 @@
 """Pages as WARC archives: sorted, rolled by size, committed whole, read back.
 
-Records are range-sorted by page_id, so an archive holds a run of ids and the
-same pages give the same archives. A page whose payload a page of a larger id
+Records are range-sorted by page_id. An archive holds a run of ids of one range,
+and ranges are fixed numbers of ids, so the same pages give the same archives,
+byte for byte, however many tasks write them. A page whose payload a page of a larger id
 has too becomes a revisit of the largest such page. Each task writes to a
 temporary name and renames a file once it is complete; the manifest, a table
 of the job's own, lists what was committed, and readers go by it alone.
@@ -22,7 +23,6 @@ import zlib
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ from .common import Committed, open_input, shared_folder, small_batches
 
 # An archive is closed once it has this many compressed bytes.
 ROLL_BYTES = 64 << 20
+# Ids that may share an archive: ranges follow from the ids alone.
+RANGE_IDS = 4096
 # Payloads from this size on become revisits.
 REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -103,19 +105,23 @@ def with_responses(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Data
     return pages.select("page_id", "url", html.alias("html")).unionByName(told, allowMissingColumns=True)
 
 
-def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, range_ids: int = RANGE_IDS) -> DataFrame:
     """Write all pages; the manifest, one row per archive, is a table."""
 
     def run(batches):
-        part, seq, file, size, n = TaskContext.get().partitionId(), 0, None, 0, 0
+        part, seq, file, size, n = None, 0, None, 0, 0
         last, seen, responses = None, {}, {}
 
         def close():
             return pd.DataFrame({"part": [part], "seq": [seq], "file": [file.commit().rpartition("/")[2]], "bytes": [size], "n": [n]})
 
         for pdf in batches:
-            columns = (pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["mark"], pdf["response"].astype("Int64"))
-            for page_id, url, html, told, response in zip(*columns, strict=True):
+            columns = (pdf["part"], pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["mark"], pdf["response"].astype("Int64"))
+            for here, page_id, url, html, told, response in zip(*columns, strict=True):
+                if here != part:
+                    if file is not None:
+                        yield close()
+                    part, seq, file, n = here, 0, None, 0
                 page_id = None if pd.isna(page_id) else int(page_id)
                 if page_id != last:
                     last, seen, responses = page_id, {}, {}
@@ -129,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
                 refers = None if response is None or (response == page_id and not copy) else response
                 data = page_record(page_id, url, payload, refers, copy)
                 if file is None:
-                    name = f"pages-{part:06d}-{seq:06d}.warc.gz"
+                    name = f"pages-{part}-{seq:06d}.warc.gz"
                     file = Committed(folder, name)
                     info = _record("warcinfo", record_id(None, name), [("WARC-Filename", name), ("Content-Type", "application/warc-fields")], SOFTWARE)
                     file.write(info)
@@ -143,9 +149,13 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
             yield close()
 
     small_batches(pages.sparkSession)
-    # Rows without html come before the pages of their id.
-    ordered = with_responses(pages).repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url", "html")
-    return cut_lineage(ordered.mapInPandas(run, "part long, seq long, file string, bytes long, n long"))
+    # An archive holds pages of one range of ids, whatever task writes it. Rows
+    # without html come before the pages of their id.
+    number = F.floor(F.col("page_id") / range_ids) + F.lit(1 << 51)
+    part = F.coalesce(F.format_string("%016d", number), F.lit("-"))
+    rows = with_responses(pages).withColumn("part", part)
+    ordered = rows.repartitionByRange("part", "page_id").sortWithinPartitions("part", "page_id", F.col("html").isNotNull(), "url", "html")
+    return cut_lineage(ordered.mapInPandas(run, "part string, seq long, file string, bytes long, n long"))
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

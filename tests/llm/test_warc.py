@@ -52,6 +52,25 @@ def test_round_trip(spark, roll):
     assert order == sorted(order)
 
 
+def test_archives_are_the_same_in_every_setting(spark):
+    from pyarrow.fs import FileSelector
+
+    written = []
+    for partitions, shuffle in ((1, "2"), (7, "9")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        try:
+            rows = ROWS if partitions == 1 else ROWS[::-1]
+            pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+            folder = shared_folder(spark, "warc")
+            W.write_archives(pages, folder, 2000, 8).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        fs, root = file_system(folder)
+        written.append({f.base_name: fs.open_input_file(f.path).read() for f in fs.get_file_info(FileSelector(root))})
+    assert written[0] == written[1] and len(written[0]) > 6
+
+
 def test_record_format():
     data = zlib.decompress(W.page_record(5, "http://x/", b"<p>", None), 31)
     head, _, block = data.partition(b"\r\n\r\n")
