@@ -26,12 +26,13 @@ def incidents(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
     )
 
 
-def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hotspots(spark: SparkSession, sf_dir: str, per_degree: int = 5) -> DataFrame:
     """One hot spot per road, place and direction of all incidents: the one
-    with the lowest id stands for the rest and carries their number."""
+    with the lowest id stands for the rest and carries their number. Places are
+    bands of latitude, so that many to a degree crowd every cell."""
     by = (
         incidents(spark, sf_dir)
-        .selectExpr("*", "lower(road) as _k", "floor(lat * 5) as _p", "bearing >= 180 as _b")
+        .selectExpr("*", "lower(road) as _k", f"floor(lat * {per_degree}) as _p", "bearing >= 180 as _b")
         .groupBy("_k", "_p", "_b")
     )
     got = by.agg(

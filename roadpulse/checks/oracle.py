@@ -28,14 +28,18 @@ def inc(days: int = 1) -> str:
   lower({ROAD}) as road_key, ts from events"""
 
 
-HS = """select incident_id as hs_id, road_key, road, lat, lon, bearing, fitness, 1 as age, sd from (
+def hs(per_degree: int = 5) -> str:
+    by = f"partition by road_key, floor(lat * {per_degree}), bearing >= 180"
+    return f"""select incident_id as hs_id, road_key, road, lat, lon, bearing, fitness, 1 as age, sd from (
   select *, cast(count(*) over w as double) as fitness,
     cast(0.5 + (incident_id % 4) * 0.5 as double) as sd,
-    row_number() over (partition by road_key, floor(lat * 5), bearing >= 180
-                       order by incident_id) as rn
-  from inc window w as (partition by road_key, floor(lat * 5), bearing >= 180)) t
+    row_number() over ({by} order by incident_id) as rn
+  from inc window w as ({by})) t
 where rn = 1"""
 
+
+HS = hs()
+
 STATE = f"""select event_id as hs_id, lower({ROAD}) as road_key, {ROAD} as road, {LAT} as lat,
   {LON} as lon, {BEARING} as bearing, value as fitness, cast(user_id % 9 as int) as age,
   case when event_id % 7 = 0 then null else cast(15 + event_id % 261 as double) / 100 end as sd,
@@ -374,6 +378,34 @@ def chain(params, step, days: int, intervals: int):
     return ctes
 
 
+def chain_gaps(params, days: int):
+    """The intervals 1, 3, 4 and, `FAR` later, 5 and 6: the one without incidents
+    ages the state, the many after 4 empty it, and it is seeded again."""
+    keep, least = 1.0 - params.decay_rate, params.delete_threshold
+
+    def seeded(t):
+        return [
+            (f"b{t}", f"select * from inc where interval_id = {t}"),
+            (f"sd{t}", sample(f"b{t}", params.seed_percent)),
+            (f"r{t}", f"select * from sd{t} where not seeded"),
+            (f"sl{t}", locations(f"(select * from sd{t} where seeded)")),
+            *greedy(f"sg{t}", f"sl{t}", params.cluster_miles),
+            *crisp_step(f"k{t}", f"r{t}", None, params, t, seeds=f"sg{t}_c"),
+            (f"a{t}", f"select * from k{t}_out where status <> 'deleted'"),
+        ]
+
+    def stepped(t, state):
+        return [
+            (f"b{t}", f"select * from inc where interval_id = {t}"),
+            *crisp_step(f"k{t}", f"b{t}", state, params, t),
+            (f"a{t}", f"select * from k{t}_out where status <> 'deleted'"),
+        ]
+
+    aged = f"select * replace (fitness * {keep}::double as fitness, age + 1 as age) from a1"
+    idle = f"select * from ({aged}) x where fitness >= {least}"
+    return [("inc", inc(days)), *seeded(1), ("i2", idle), *stepped(3, "i2"), *stepped(4, "a3"), *seeded(5), *stepped(6, "a5")]
+
+
 INTERVALS = 6  # the events span 30 days
 
 
@@ -434,6 +466,11 @@ def build() -> dict[str, str]:
         "select incident_id, hs_id, round(m, 6) as miles from k_as"
     )
     out["assign_nearest_join"] = out["assign_nearest"]
+    many = [("inc", inc()), ("hs", hs(q.MANY))]
+    out["assign_nearest_many"] = with_(
+        [*many, *nearest("k", "inc", "hs", step_r)],
+        "select incident_id, hs_id, round(m, 6) as miles from k_as",
+    )
     out["assign_first"] = assigned(
         "select incident_id, hs_id, round(m, 6) as miles from k_as", 5.0, "hs_id"
     )
@@ -465,6 +502,11 @@ def build() -> dict[str, str]:
         f"select i.incident_id, h.hs_id, round({mu}, 6) as membership,"
         f" round({miles('i', 'h')}, 6) as miles {close} where {mu} >= 0.2"
     )
+    out["assign_fuzzy_many"] = with_(
+        many,
+        f"select i.incident_id, h.hs_id, round({mu}, 6) as membership,"
+        f" round({miles('i', 'h')}, 6) as miles {close} where {mu} >= 0.2",
+    )
     out["unassigned_fuzzy"] = over_inc(
         f"select incident_id, road_key from inc where incident_id not in"
         f" (select i.incident_id {close} where {mu} >= 0.2)"
@@ -497,6 +539,28 @@ def build() -> dict[str, str]:
     select *, case when lat - lag(lat) over (partition by road_key order by lat) > {gap}
       then 1 else 0 end as opens from loc) t""",
     )
+    side = f"(2 * sin({q.CLUSTER_MILES} / (2 * 6372.8 / 1.609344)) * (1 + 1e-9) + 1e-14)"
+    at = {
+        "x": "cos(radians(lat)) * cos(radians(lon))",
+        "y": "cos(radians(lat)) * sin(radians(lon))",
+        "z": "sin(radians(lat))",
+    }
+    cells = ", ".join(f"floor({e} / {side}) as {c}" for c, e in at.items())
+    out["ground_islands"] = with_(
+        [
+            *pts,
+            ("placed", f"select seq, road_key, {cells} from loc"),
+            ("cell", "select road_key, x, y, z, min(seq) as s from placed group by all"),
+            (
+                "reach",
+                """select road_key, x, y, z, s from cell union
+    select c.road_key, c.x, c.y, c.z, r.s from reach r join cell c on c.road_key = r.road_key
+      and abs(c.x - r.x) <= 1 and abs(c.y - r.y) <= 1 and abs(c.z - r.z) <= 1""",
+            ),
+            ("named", "select road_key, x, y, z, min(s) as island from reach group by all"),
+        ],
+        "select seq, road_key, island from placed join named using (road_key, x, y, z)",
+    )
     clustered = [*pts, *greedy("g", "loc", q.CLUSTER_MILES)]
     out["greedy_cluster"] = with_(
         clustered, f"select seq as hs_id, road_key, {r6('lat', 'lon')}, bearing, n from g_c"
@@ -635,15 +699,22 @@ def build() -> dict[str, str]:
     crisp = chain(q.REPLAY_CRISP, crisp_step, q.REPLAY_DAYS, INTERVALS)
     final = f"select hs_id, road_key, {r6('lat', 'lon', 'fitness')}, age from {last}"
     out["replay_crisp"] = with_(crisp, final)
-    counts = " union all ".join(
-        f"""select {t} as interval_id, (select count(*) from b{t}) as n_incidents,
+
+    def figures_of(t: int, named: int | None = None) -> str:
+        return f"""select {named or t} as interval_id, (select count(*) from b{t}) as n_incidents,
   cast(sum(n_assigned) as bigint) as n_assigned, count(*) filter (is_new) as n_new,
   count(*) filter (status = 'deleted') as n_deleted,
   count(*) filter (status <> 'deleted') as n_state,
   count(*) filter (status = 'reported') as n_reported from k{t}_out"""
-        for t in range(1, INTERVALS + 1)
-    )
+
+    counts = " union all ".join(figures_of(t) for t in range(1, INTERVALS + 1))
     out["replay_metrics"] = with_(crisp, counts)
+    gaps = chain_gaps(q.REPLAY_CRISP, q.REPLAY_DAYS)
+    out["replay_gaps"] = with_(
+        gaps, f"select hs_id, road_key, {r6('lat', 'lon', 'fitness')}, age from a6"
+    )
+    came = {1: 1, 3: 3, 4: 4, 5: 5 + q.FAR, 6: 6 + q.FAR}
+    out["replay_gaps_metrics"] = with_(gaps, " union all ".join(figures_of(t, n) for t, n in came.items()))
     out["replay_fuzzy"] = with_(
         chain(q.REPLAY_FUZZY, fuzzy_step, q.REPLAY_DAYS, INTERVALS),
         f"select hs_id, road_key, {r6('fitness')}, age, {r6('sd')}, density_label from {last}",

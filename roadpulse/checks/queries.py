@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from roadpulse.checks import inputs
 from roadpulse.functions import fuzzy, geo
-from roadpulse.operators import assign, cluster, islands, ranks, report, seed
+from roadpulse.operators import assign, cluster, ground, islands, ranks, report, seed
 from roadpulse.operators import state as st
 from roadpulse.params import CrispParams, FuzzyParams
 from roadpulse.plans.replay import replay
@@ -26,6 +26,9 @@ STEP_FUZZY = FuzzyParams(radius_miles=2.0, init_miles=0.5)
 REPLAY_CRISP = CrispParams(radius_miles=0.5)
 REPLAY_FUZZY = FuzzyParams(radius_miles=1.5, init_miles=0.5)
 REPLAY_DAYS = 5
+MANY = 200  # bands to a degree, where hot spots are many
+IDLE, LATER = 2, 5  # an interval without incidents, and the first one far on
+FAR = 40
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -160,6 +163,14 @@ def assign_nearest_join(spark, sf):
     return tidy(got.select("incident_id", "hs_id", "miles"))
 
 
+def assign_nearest_many(spark, sf):
+    """Several candidates in every cell."""
+    got = assign.assign_crisp(
+        keyed(spark, sf), inputs.hotspots(spark, sf, MANY), STEP_CRISP.radius_miles, rows=None
+    )
+    return tidy(got.select("incident_id", "hs_id", "miles"))
+
+
 def assign_nearest(spark, sf):
     return tidy(_assigned(spark, sf).select("incident_id", "hs_id", "miles"))
 
@@ -209,6 +220,13 @@ def assign_fuzzy(spark, sf):
     return tidy(_fuzzy_pairs(spark, sf).select("incident_id", "hs_id", "membership", "miles"))
 
 
+def assign_fuzzy_many(spark, sf):
+    got = assign.assign_fuzzy(
+        keyed(spark, sf), inputs.hotspots(spark, sf, MANY), FUZZY.radius_miles, FUZZY.conf_threshold
+    )
+    return tidy(got.select("incident_id", "hs_id", "membership", "miles"))
+
+
 def unassigned_fuzzy(spark, sf):
     got = assign.unassigned_fuzzy(
         keyed(spark, sf), inputs.hotspots(spark, sf), FUZZY.radius_miles, FUZZY.conf_threshold
@@ -246,6 +264,14 @@ def islands_query(spark, sf):
     return got.select("seq", "road_key", "island_id")
 
 
+def ground_islands(spark, sf):
+    """Islands by the ground covered, named after their first location."""
+    placed = ground.assign_ground_islands(locations(spark, sf), CLUSTER_MILES, ["road_key"])
+    placed = cut_lineage(placed)
+    named = placed.groupBy("road_key", "part_id").agg(F.min("seq").alias("island"))
+    return placed.join(named, ["road_key", "part_id"]).select("seq", "road_key", "island")
+
+
 def greedy_cluster(spark, sf):
     got = cluster.greedy_cluster(locations(spark, sf), CLUSTER_MILES)
     return tidy(got.select("hs_id", "road_key", "lat", "lon", "bearing", "n"))
@@ -478,11 +504,30 @@ def replay_fuzzy(spark, sf):
     return tidy(got.select("hs_id", "road_key", "fitness", "age", "sd", "density_label"))
 
 
+FIGURES = [
+    "interval_id", "n_incidents", "n_assigned", "n_new", "n_deleted", "n_state", "n_reported",
+]
+
+
 def replay_metrics(spark, sf):
-    got = _replay(spark, sf, REPLAY_CRISP).metrics()
-    return got.select(
-        "interval_id", "n_incidents", "n_assigned", "n_new", "n_deleted", "n_state", "n_reported"
-    )
+    return _replay(spark, sf, REPLAY_CRISP).metrics().select(*FIGURES)
+
+
+def _replay_gaps(spark, sf):
+    """An idle interval, then so many that the state empties and is seeded again."""
+    t = F.col("interval_id")
+    rows = inputs.incidents(spark, sf, REPLAY_DAYS).filter(t != IDLE)
+    rows = rows.withColumn("interval_id", F.when(t >= LATER, t + FAR).otherwise(t))
+    return replay(rows, scratch_path(spark, "replay"), REPLAY_CRISP)
+
+
+def replay_gaps(spark, sf):
+    got = _last_state(_replay_gaps(spark, sf))
+    return tidy(got.select("hs_id", "road_key", "lat", "lon", "fitness", "age"))
+
+
+def replay_gaps_metrics(spark, sf):
+    return _replay_gaps(spark, sf).metrics().select(*FIGURES)
 
 
 def stream_replay(spark, sf):
@@ -538,15 +583,15 @@ QUERIES = {
     for f in [
         parse_incident_lines, read_incident_csv, keyed_incidents, assign_interval,
         read_hotspot_history, bearing_pairs, haversine_pairs, gated_pairs, candidate_pairs,
-        assign_nearest, assign_nearest_join, assign_first, unassigned_incidents, split_assigned, count_updates,
+        assign_nearest, assign_nearest_join, assign_nearest_many, assign_fuzzy_many, assign_first, unassigned_incidents, split_assigned, count_updates,
         new_locations, fuzzy_membership, assign_fuzzy, unassigned_fuzzy, count_updates_fuzzy,
         seed_sample, seed_remainder, first_neighbour, greedy_cluster, greedy_cluster_sums,
-        greedy_cluster_rounds, greedy_cluster_bucketed, all_updates, weight_updates,
+        ground_islands, greedy_cluster_rounds, greedy_cluster_bucketed, all_updates, weight_updates,
         decay_hotspots, decay_gap, merge_state, merge_state_fuzzy, prune_hotspots,
         report_hotspots, fuzzy_density, update_sd, density_labels, interval_metrics,
         rank_quantiles_fitness, rank_quantiles_sd, format_hotspots, format_hotspots_fuzzy,
         write_hotspots, heatmap_frames, step_crisp, step_fuzzy, step_bucketed, replay_crisp,
-        replay_fuzzy, replay_metrics, stream_replay, incident_accounting,
+        replay_fuzzy, replay_metrics, replay_gaps, replay_gaps_metrics, stream_replay, incident_accounting,
         format_metrics, write_latest, stream_progress,
     ]
 }
