@@ -23,9 +23,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import small_batches
 
 UNKNOWN = "und"
@@ -219,15 +220,19 @@ def training_texts(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> dic
     different texts by hash, and as much of one as of another."""
     pool = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     pool = pool.withColumn("h", F.xxhash64("text", F.lit(5)))
-    sizes = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}  # one row per language
-    out = {}
-    for lang, n in sorted(sizes.items()):
-        share = int(min(1.0, 2 * rows / n) * (1 << 30))
-        own = pool.filter(F.col("lang") == lang).filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share)
-        # Training text is cut to the bound; texts to be told are not.
-        picked = own.select("h", F.substring("text", 1, chars).alias("t")).groupBy("h").agg(F.first("t").alias("t"))
-        out[lang] = equal_shares([r["t"] for r in picked.orderBy("h").limit(rows).collect()], chars)
-    return out
+    sizes = pool.groupBy("lang").agg(F.count_distinct("h").alias("n"))
+    # Some twice as many by a second hash, then the first by the first: one pass
+    # for all languages, in groups of bounded size.
+    share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n")) * F.lit(1 << 30)
+    some = pool.join(cut_lineage(sizes), "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share.cast("long"))
+    # Training text is cut to the bound; texts to be told are not.
+    some = some.groupBy("lang", "h").agg(F.first(F.substring("text", 1, chars)).alias("t"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    out: dict[str, list[str]] = {}
+    # at most `rows` texts a language
+    for r in some.withColumn("i", first).filter(F.col("i") <= rows).orderBy("lang", "i").collect():
+        out.setdefault(r["lang"], []).append(r["t"])
+    return {lang: equal_shares(texts, chars) for lang, texts in out.items()}
 
 
 def predict(docs: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
