@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.params import CrispParams
-from roadpulse.session import scratch_path
+from roadpulse.session import scratch_path, scratch_scope
 from roadpulse.sources.incidents import with_reason
 from roadpulse.streaming.run import IntervalRunner
 from roadpulse.streaming.store import RunStore, partition_values
@@ -42,6 +42,13 @@ def replay(
     rows = with_reason(incidents).withColumn("is_good", F.col("bad_reason").isNull())
     if stepped:
         rows = rows.filter(~F.col("is_good") | ~F.col("interval_id").isin(stepped))
+    with scratch_scope(spark):
+        _step_through(rows, runner, done, last_interval)
+    return runner.store
+
+
+def _step_through(rows: DataFrame, runner: IntervalRunner, done, last_interval: int | None) -> None:
+    spark = rows.sparkSession
     path = scratch_path(spark, "history")
     kept = rows.withColumn("at", F.when(F.col("is_good"), F.col("interval_id")).otherwise(0))
     kept.hint("rebalance", "at").write.partitionBy("is_good", "at").parquet(path)
@@ -59,4 +66,3 @@ def replay(
     for t in ids:
         if t not in late and (last_interval is None or t <= last_interval):
             runner.run_batch(good.filter(f"at = {t}").drop("at"), t, [t])
-    return runner.store

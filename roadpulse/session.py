@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +50,39 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Paths handed out in the scopes that a thread is in, innermost last.
+_scopes = threading.local()
+
+
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    return _scopes.stack
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes():
+        _open_scopes()[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch paths within it is deleted when it ends, on
+    failure too: what is to stay must have been written elsewhere by then, and
+    frames made within it must not be read any more."""
+    paths: list[str] = []
+    _open_scopes().append(paths)
+    try:
+        yield
+    finally:
+        _open_scopes().remove(paths)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in paths:
+            at = hadoop.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from roadpulse.operators.report import interval_metrics
 from roadpulse.operators.state import advance_idle
 from roadpulse.params import CrispParams, FuzzyParams
 from roadpulse.plans.step import interval_step, state_of
-from roadpulse.session import scratch_path
+from roadpulse.session import scratch_path, scratch_scope
 from roadpulse.sources.incidents import with_reason
 from roadpulse.streaming.store import RunStore, Version, partition_values
 
@@ -110,14 +110,16 @@ class IntervalRunner:
             return
         batch = batch.filter(F.col("interval_id").isin(open_ids))
         staged = None
-        if len(open_ids) > 1:
-            staged, _ = stage_by_interval(batch)
-        rows = []
-        for t in open_ids:
-            part = (staged if staged is not None else batch).filter(F.col("interval_id") == t)
-            prior, row = self._run_interval(part, batch_id, t, prior)
-            rows.append(row)
-        self.store.write_metrics(rows, batch_id)
+        with scratch_scope(self.store.spark):
+            if len(open_ids) > 1:
+                staged, _ = stage_by_interval(batch)
+            rows = []
+            for t in open_ids:
+                part = (staged if staged is not None else batch).filter(F.col("interval_id") == t)
+                with scratch_scope(self.store.spark):
+                    prior, row = self._run_interval(part, batch_id, t, prior)
+                rows.append(row)
+            self.store.write_metrics(rows, batch_id)
         self._newest = prior
 
     def _prior(self, batch_id: int) -> Version | None:

@@ -1,3 +1,4 @@
+import dataclasses
 import os
 import time
 from pathlib import Path
@@ -203,6 +204,24 @@ def test_an_interval_may_come_in_many_files_and_batches(spark, tmp_path, per_tri
     assert sorted(bad, key=str) == sorted([(None, "interval")] + [(t, "latitude") for t in GAPS] * 3, key=str)
 
 
+def test_nothing_is_left_in_the_scratch_folder(spark, tmp_path, monkeypatch):
+    from roadpulse.session import checkpoint_root
+
+    def tables():
+        return set(os.listdir(checkpoint_root(spark).removeprefix("file:")))
+
+    before, items = tables(), history(60)
+    small = dataclasses.replace(CRISP, max_group_rows=15)  # slices and blocks
+    store = replay(data.frame(spark, items), str(tmp_path / "r"), small)
+    assert tables() == before
+    check(final(store), simulate(items, CRISP))
+    # Nor by a step that fails.
+    monkeypatch.setattr(run.IntervalRunner, "_measure", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        replay(data.frame(spark, items), str(tmp_path / "f"), small)
+    assert tables() == before
+
+
 def test_replay_sets_aside_what_cannot_take_part(spark, tmp_path):
     items = history(60)
     df = data.frame(spark, items)
