@@ -8,9 +8,10 @@ the shares of common shingles, counted on the whole texts, reach `SIMILARITY`.
 
 Texts with the same words are one entry first. In each bucket of entries the
 smallest is the centre that all others are compared with. Those that are not
-similar to it go on in smaller buckets, with one more minimum hash in the key
-each round, so a passage that many documents share does not make all pairs of
-them, and a large group of near copies costs one comparison each. The entries of
+similar to it go on in smaller buckets, with twice as many minimum hashes in the
+key each round, so a passage that many documents share does
+not make all pairs of them, and a large group of near copies costs one comparison
+each. The entries of
 one centre are dealt to tasks in bounded numbers.
 
 Nulls and edges: words and shingles are those of the fingerprint operator with
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import fresh, small_batches
 from .simhash_dedup import _LOWER, components, links
-from .trie import spread_join
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -39,6 +39,8 @@ SHINGLE = 5
 HASHES, ROWS = 32, 4
 # Entries compared with a centre in one group, about.
 DEALT = 256
+# A key with more than this share of a join's rows goes by broadcast.
+COMMON = 1_000
 
 _random = np.random.default_rng(20_240_229)
 _ADD = _random.integers(0, 1 << 63, HASHES, np.uint64)
@@ -91,10 +93,24 @@ def sketch(text: Column) -> Column:
     return run(text)
 
 
+def met(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+    """`rows` with what `groups` (`on`, `n` rows each, more) says of their group.
+    Fewer than COMMON groups can each have more than that share of the grouped
+    rows: these go by broadcast, and their rows stay out of the shuffle."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    large = groups.filter(F.col("n") > F.lit(total / COMMON))
+    names = [r[0] for r in large.select(on).collect()]  # fewer than COMMON
+    if not names:
+        return rows.join(groups, on)
+    hot = F.col(on).isin(names)
+    return rows.filter(~hot).join(groups, on).unionByName(rows.filter(hot).join(F.broadcast(large), on))
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (centre, key) whose texts (key, text) are similar enough."""
-    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("deals"))
-    dealt = spread_join(pairs, cut_lineage(sizes), ["centre"])
+    sizes = pairs.groupBy("centre").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(sizes.withColumn("deals", F.ceil(F.col("n") / DEALT).cast("int")))
+    dealt = met(pairs, sizes, "centre")
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals")).cast("int"))
     others = dealt.join(texts, "key").select("centre", "deal", "key", "text")
     heads = sizes.join(texts.withColumnRenamed("key", "centre"), "centre")
@@ -132,25 +148,27 @@ def linked_entries(entries: DataFrame, texts_of) -> DataFrame:
     near = cut_lineage(links(by_fp.select("fp")))
     one, other = (by_fp.select(F.col("fp").alias(c), F.col("key").alias(k)) for c, k in (("a", "key"), ("b", "centre")))
     tried = near.join(one, "a").join(other, "b").select(F.least("centre", "key").alias("centre"), F.greatest("centre", "key").alias("key"))
-    out, step = None, 0
+    out, texts, used = None, None, ROWS
     while True:
-        full = keyed.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("bucket", "centre")
-        met = spread_join(keyed, cut_lineage(full), ["bucket"]).filter("key != centre")
-        met = cut_lineage(met)
-        pairs = met.select("centre", "key")
-        pairs = cut_lineage((pairs.unionByName(tried) if step == 0 else pairs).distinct())
+        full = cut_lineage(keyed.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).filter("n > 1"))
+        tried_now = cut_lineage(met(keyed, full, "bucket").filter("key != centre").drop("n"))
+        pairs = tried_now.select("centre", "key")
+        pairs = cut_lineage((pairs.unionByName(tried) if out is None else pairs).distinct())
         if pairs.isEmpty():
             return out if out is not None else pairs
-        texts = texts_of(pairs.select("key").union(pairs.select("centre")).distinct())
-        good = cut_lineage(similar(pairs, cut_lineage(texts)))
+        if texts is None:
+            # Later rounds compare some of these again.
+            texts = cut_lineage(texts_of(pairs.select("key").union(pairs.select("centre")).distinct()))
+        good = cut_lineage(similar(pairs, texts))
         out = good if out is None else out.unionByName(good)
-        if step == HASHES - ROWS:
+        if used == HASHES:
             return out
-        # What is left meets again where one more minimum hash agrees.
-        rest = met.join(good, ["centre", "key"], "left_anti")
-        more = F.expr(f"sig[pmod({ROWS} * band + {ROWS + step}, {HASHES})]")
-        keyed = cut_lineage(rest.select("key", "sig", "band", F.xxhash64("bucket", more).alias("bucket")))
-        step += 1
+        # What is left meets again where more minimum hashes agree.
+        next_ = min(2 * used, HASHES)
+        further = [F.expr(f"sig[pmod({ROWS} * band + {i}, {HASHES})]") for i in range(used, next_)]
+        rest = tried_now.join(good, ["centre", "key"], "left_anti")
+        keyed = cut_lineage(rest.select("key", "sig", "band", F.xxhash64("bucket", *further).alias("bucket")))
+        used = next_
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
