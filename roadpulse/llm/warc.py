@@ -116,17 +116,17 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
             return pd.DataFrame({"part": [part], "seq": [seq], "file": [file.commit().rpartition("/")[2]], "bytes": [size], "n": [n]})
 
         for pdf in batches:
-            columns = (pdf["part"], pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["mark"], pdf["response"].astype("Int64"))
+            columns = (pdf["part"], pdf["page_id"], pdf["url"], pdf["html"], pdf["mark"], pdf["response"])
             for here, page_id, url, html, told, response in zip(*columns, strict=True):
                 if here != part:
                     if file is not None:
                         yield close()
                     part, seq, file, n = here, 0, None, 0
-                page_id = None if pd.isna(page_id) else int(page_id)
+                page_id = None if page_id is None else int(page_id)
                 if page_id != last:
                     last, seen, responses = page_id, {}, {}
                 if html is None:
-                    responses[told] = None if pd.isna(response) else int(response)
+                    responses[told] = None if response is None else int(response)
                     continue
                 payload = html.encode()
                 mark = hashlib.sha1(payload).hexdigest()
@@ -149,12 +149,15 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
             yield close()
 
     small_batches(pages.sparkSession)
-    # An archive holds pages of one range of ids, whatever task writes it. Rows
-    # without html come before the pages of their id.
+    # An archive holds pages of one range of ids, whatever task writes it: a range
+    # goes to one task, or two would write archives of one name. Rows without html
+    # come before the pages of their id. Ids travel as text: next to nulls pandas
+    # would make them doubles.
     number = F.floor(F.col("page_id") / range_ids) + F.lit(1 << 51)
     part = F.coalesce(F.format_string("%016d", number), F.lit("-"))
     rows = with_responses(pages).withColumn("part", part)
-    ordered = rows.repartitionByRange("part", "page_id").sortWithinPartitions("part", "page_id", F.col("html").isNotNull(), "url", "html")
+    ordered = rows.repartitionByRange("part").sortWithinPartitions("part", "page_id", F.col("html").isNotNull(), "url", "html")
+    ordered = ordered.withColumns({c: F.col(c).cast("string") for c in ("page_id", "response")})
     return cut_lineage(ordered.mapInPandas(run, "part string, seq long, file string, bytes long, n long"))
 
 
@@ -164,7 +167,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        return pd.DataFrame(rows, columns=columns, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     def run(batches):
         for pdf in batches:

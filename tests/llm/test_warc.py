@@ -71,6 +71,29 @@ def test_archives_are_the_same_in_every_setting(spark):
     assert written[0] == written[1] and len(written[0]) > 6
 
 
+def test_a_range_of_ids_in_many_tasks(spark):
+    """Tasks that share a range of ids lose nothing, and write nothing twice."""
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (coalesce, "spark.sql.shuffle.partitions")}
+    spark.conf.set(coalesce, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string")
+        got = W.archive(pages.repartition(4)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["page_id"] for r in got) == list(range(300))
+
+
+def test_ids_beyond_doubles(spark):
+    low, top = 2**62 + 1, 2**62 + 3
+    rows = [(low, "u", "same"), (top, "u", "same"), (None, "u", "same"), (-top, "u", "other")]
+    got = W.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got}
+    assert got == {low: ("revisit", top), top: ("response", None), None: ("revisit", top), -top: ("response", None)}
+
+
 def test_record_format():
     data = zlib.decompress(W.page_record(5, "http://x/", b"<p>", None), 31)
     head, _, block = data.partition(b"\r\n\r\n")
