@@ -20,10 +20,11 @@ import math
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import (
+    BEARING_LIMIT,
     bearing_compatible,
     explode_reach,
     haversine_miles,
@@ -49,6 +50,7 @@ cloudpickle.register_pickle_by_value(in_order)
 # repeat, places do not.
 AT = ["seq", "lat", "lon"]
 TO = ["to", "to_lat", "to_lon"]
+BOUND = ["bound", "bound_lat", "bound_lon"]
 OUT = ["hs_id", "road_key", "road", "lat", "lon", "bearing", "n", "n_added", "dist_sum", "lone"]
 
 
@@ -111,6 +113,10 @@ BATCH_ROWS = 5_000
 # How much larger each slice of the order is than the one before.
 GROWTH = 8
 BROADCAST_ROWS = 20_000
+# Points of a cell and slice of the order that a task call looks through at once.
+SLICE_ROWS = 20_000
+# Sides, in radii, of the cells looked through and of the patches that give bounds.
+GRID, PATCH = 2.0, 2 / 3
 
 
 def _in_batches(points: DataFrame, by: list[str], rows: int):
@@ -196,18 +202,86 @@ def _same(a: str, b: str, cols: list[str]) -> str:
 def first_later_neighbour(
     probes: DataFrame, points: DataFrame, radius: float, keys: list[str], rows: int | None = None
 ) -> DataFrame:
-    """For every probe the next point after it within the radius, or nulls.
-    The partial aggregate keeps one candidate per probe and task."""
-    cells = [*keys, "cell_y", "cell_x"]
-    reach = _reach(probes.select(*keys, "seq", "lat", "lon", "bearing"), radius, rows)
-    later = f"{_same('p', 'q', cells)} and {_before('p', 'q')} and {_near('p', 'q', radius)}"
-    pairs = reach.alias("p").join(with_cell(points, radius).alias("q"), F.expr(later))
+    """For every probe the next point after it within the radius, or nulls. Few
+    probes (`rows`, where known) are broadcast to the points; many look ahead."""
+    if rows is not None and rows <= BROADCAST_ROWS:
+        pairs = _later_pairs(probes, points, radius, keys, rows)
+    else:
+        pairs = _pairs_ahead(probes, points, radius, keys)
     nxt = F.expr(f"struct(q.seq, q.lat, q.lon, q.bearing, {_miles('p', 'q')} as miles)")
     by = [F.col(f"p.{k}").alias(k) for k in [*keys, *AT]]
     best = pairs.groupBy(*by).agg(F.min(nxt).alias("next"))
     return probes.join(best, [*keys, *AT], "left")
 
 
+def _later_pairs(probes: DataFrame, points: DataFrame, radius: float, keys: list[str], rows: int) -> DataFrame:
+    """All pairs of a probe and a later point within the radius. The partial
+    aggregate keeps one candidate per probe and task."""
+    cells = [*keys, "cell_y", "cell_x"]
+    reach = _reach(probes.select(*keys, "seq", "lat", "lon", "bearing"), radius, rows)
+    later = f"{_same('p', 'q', cells)} and {_before('p', 'q')} and {_near('p', 'q', radius)}"
+    return reach.alias("p").join(with_cell(points, radius).alias("q"), F.expr(later))
+
+
+def _pairs_ahead(probes: DataFrame, points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """For every probe the first later point within the radius of each slice of
+    points that can hold the next one.
+
+    A point after the probe on its own patch, in its direction, is a bound: the
+    next one is no later. What lies between a probe and its bound in the cells it
+    reaches is looked through in order. Where the probes are the points, a patch
+    has one such span open at any place of the order, so a point is looked at by
+    each patch in reach once, however dense the ground is. Cells that hold many
+    points are cut into slices of the order."""
+    cells = [*keys, "cell_y", "cell_x"]
+    place = [*AT, "bearing"]
+    told = " and ".join([f"{c} is not null" for c in [*keys, *place]] + ["not isnan(lat) and not isnan(lon)"])
+    probe = probes.select(*keys, *place).filter(told)
+    point = points.select(*keys, *place).filter(told)
+    order = Window.partitionBy(*cells).orderBy(*AT)
+    slice_id = F.floor((F.row_number().over(order) - 1) / F.lit(SLICE_ROWS))
+    sliced = cut_lineage(with_cell(point, GRID * radius).withColumn("slice_id", slice_id))
+    ends = sliced.groupBy(*cells, "slice_id").agg(F.min(F.struct(*AT)).alias("low"), F.max(F.struct(*AT)).alias("high"))
+    reach = explode_reach(_bounded(probe, point, radius, keys), GRID * radius, number(radius))
+    here = F.struct(*AT) < F.col("high")
+    reach = reach.join(cut_lineage(ends), cells).filter(here & (~F.col("bounded") | (F.struct(*BOUND) >= F.col("low"))))
+    group = F.xxhash64(*cells, "slice_id")
+    n = min(10_000, max(1, math.ceil(sliced.count() / SLICE_ROWS)))
+    at = [F.pmod(F.col("group_id"), F.lit(n)).cast("int").alias("batch_id"), "group_id", *keys, *place]
+    spans = reach.withColumn("group_id", group).select(*at, "bounded", *BOUND).repartition(n, "batch_id")
+    held = sliced.withColumn("group_id", group).select(*at).repartition(n, "batch_id")
+    kinds = dict(held.dtypes)
+    found = [*keys, *place, *[f"next_{c}" for c in place]]
+    schema = ", ".join(f"{c} {kinds[c.removeprefix('next_')]}" for c in found)
+
+    def look(spans: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        at, to = in_order.look_ahead(spans, held, keys, AT, BOUND, radius)
+        out = spans[[*keys, *place]].take(at).reset_index(drop=True)
+        there = held[place].take(to).reset_index(drop=True)
+        return out.assign(**{f"next_{c}": there[c] for c in place})[found]
+
+    pairs = spans.groupBy("batch_id").cogroup(held.groupBy("batch_id")).applyInPandas(look, schema)
+    pairs = pairs.select(F.struct(*keys, *place).alias("p"), F.struct(*[F.col(f"next_{c}").alias(c) for c in place]).alias("q"))
+    return pairs.filter(f"{_before('p', 'q')} and {_near('p', 'q', radius)}")
+
+
+def _bounded(probe: DataFrame, point: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Probes with a point after them within the radius, where their patch has one
+    (`bounded`); other rows carry their own place instead. A patch is so small
+    that what lies on it is within the radius, but the distance is checked."""
+    both = probe.withColumn("is_point", F.lit(False)).unionByName(point.withColumn("is_point", F.lit(True)))
+    way = F.floor(F.pmod(F.col("bearing"), F.lit(360)) / F.lit(BEARING_LIMIT)).alias("way")
+    patch = with_cell(both, PATCH * radius).withColumn("way", way)
+    later = Window.partitionBy(*keys, "cell_y", "cell_x", "way").orderBy(*[F.desc(c) for c in AT], "is_point")
+    later = later.rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("is_point"), F.struct(*AT, "bearing")), ignorenulls=True).over(later)
+    rows = patch.withColumn("q", nxt).filter("not is_point").withColumn("p", F.struct(*AT, "bearing"))
+    near = F.coalesce(F.expr(f"{_before('p', 'q')} and {_near('p', 'q', radius)}"), F.lit(False))
+    rows = rows.withColumn("bounded", near)
+    bound = [F.when(F.col("bounded"), F.col(f"q.{c}")).otherwise(F.col(c)).alias(b) for c, b in zip(AT, BOUND)]
+    return rows.select(*keys, *AT, "bearing", "bounded", *bound)
+
+
 def cluster_in_rounds(
     points: DataFrame,
     radius: float,

@@ -168,3 +168,72 @@ def settle_groups(frame, groups, radius, covered=None, given=None):
         t, miles[part], role[part] = settle(lat[part], lon[part], bearing[part], radius, hidden, told)
         target[part] = np.where(t >= 0, t + a, -1)
     return target, miles, role
+
+
+# Pairs that are looked at in one go, and how far around the radius a pair is
+# left to the exact check.
+PAIRS = 500_000
+CLOSE = 1e-9
+
+
+def look_ahead(spans, held, keys, order, bound, radius):
+    """Positions in `spans` and `held` of pairs within the radius: for every span
+    the first row of its group after it, up to its bound if it has one. Pairs too
+    close to the radius to tell come along, and do not end the search."""
+    k, m = len(spans), len(held)
+    if not k or not m:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    group = [f["group_id"].to_numpy() for f in (spans, held)]
+    columns = [np.concatenate([held[c].to_numpy(), spans[c].to_numpy(), spans[b].to_numpy()]) for c, b in zip(order, bound)]
+    columns.insert(0, np.concatenate([group[1], group[0], group[0]]))
+    sorted_rows = np.lexsort(columns[::-1])
+    steps = np.zeros(m + 2 * k, dtype=bool)
+    for c in columns:
+        c = c[sorted_rows]
+        steps[1:] |= c[1:] != c[:-1]
+    code = np.empty(m + 2 * k, dtype=np.int64)
+    code[sorted_rows] = np.cumsum(steps)
+    row = np.argsort(code[:m], kind="stable")
+    in_turn = code[:m][row]
+    at = np.searchsorted(in_turn, code[m : m + k], "right")
+    end = np.searchsorted(in_turn, code[m + k :], "right")
+    open_end = np.searchsorted(group[1][row], group[0], "right")
+    end = np.where(spans["bounded"].to_numpy(dtype=bool), end, open_end)
+
+    lat, lon, way = (held[c].to_numpy()[row] for c in ("lat", "lon", "bearing"))
+    lat0, lon0, way0 = (spans[c].to_numpy() for c in ("lat", "lon", "bearing"))
+    cos, cos0 = np.cos(np.radians(lat)), np.cos(np.radians(lat0))
+    names = [(spans[c].to_numpy(), held[c].to_numpy()[row]) for c in keys]
+    found = []
+    todo, width = np.flatnonzero(at < end), 16
+    while len(todo):
+        left = []
+        for a in range(0, len(todo), max(1, PAIRS // width)):
+            some = todo[a : a + max(1, PAIRS // width)]
+            take = np.minimum(end[some] - at[some], width)
+            i = np.repeat(some, take)
+            j = np.arange(len(i)) + np.repeat(at[some] - (np.cumsum(take) - take), take)
+            turn = np.abs((np.abs(way0[i] - way[j]) + 180) % 360 - 180)
+            ahead = turn < BEARING_LIMIT
+            i, j = i[ahead], j[ahead]
+            h = (
+                np.sin(np.radians(lat[j] - lat0[i]) / 2) ** 2
+                + np.sin(np.radians(lon[j] - lon0[i]) / 2) ** 2 * cos0[i] * cos[j]
+            )
+            d = np.arcsin(np.sqrt(h)) * 2 * EARTH_MILES
+            hit = d <= radius * (1 + CLOSE)
+            i, j, d = i[hit], j[hit], d[hit]
+            for own, other in names:
+                same = own[i] == other[j]
+                i, j, d = i[same], j[same], d[same]
+            sure = d <= radius * (1 - CLOSE)
+            done, first = np.unique(i[sure], return_index=True)
+            found.append((i[~sure], j[~sure]))
+            found.append((done, j[sure][first]))
+            at[some] += take
+            some = some[at[some] < end[some]]
+            left.append(some[~np.isin(some, done)])
+        todo, width = np.concatenate(left), min(2 * width, 4096)
+    if not found:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    return np.concatenate([f[0] for f in found]), row[np.concatenate([f[1] for f in found])]

@@ -95,6 +95,37 @@ def test_first_later_neighbour(spark):
         assert found[a["id"]] == (later[0] if later else None)
 
 
+def test_first_later_neighbour_looks_at_few_pairs(spark, monkeypatch):
+    """Points on a small ground, in slices: the pairs handed on follow the points,
+    not their square, and the next ones are those of all pairs."""
+    monkeypatch.setattr(cluster, "SLICE_ROWS", 100)
+    items = data.rows(900, 16, roads=("m1", "A5"), spread=0.02)
+    pts = locs(spark, items)
+    ahead = cluster._pairs_ahead(pts, pts, 0.8, ["road_key"])
+    assert 0 < ahead.count() < 40 * len(items)
+    got = cluster.first_later_neighbour(pts, pts, 0.8, ["road_key"])
+    want = cluster.first_later_neighbour(pts, pts, 0.8, ["road_key"], len(items))
+    rows = [{(x["seq"], x["road_key"], x["next"]) for x in df.collect()} for df in (got, want)]
+    assert rows[0] == rows[1] and any(r[2] is None for r in rows[0])
+
+
+def test_first_later_neighbour_of_other_points(spark):
+    """Probes that are no points, rows with gaps, and places that share an id."""
+    cols = "road_key string, seq long, lat double, lon double, bearing int"
+    rows = [("m", i // 2 if i % 7 else None, 52.0 + i % 13 / 500, -1.0 + i % 5 / 300, None if i % 31 == 0 else i * 50 % 360) for i in range(200)]
+    pts = spark.createDataFrame(rows[::2] + [(None, 5, 52.0, -1.0, 10), ("m", 7, None, -1.0, 10)], cols)
+    probes = spark.createDataFrame(rows[1::2] + [("m", 3, float("nan"), -1.0, 10)], cols)
+    got = cluster.first_later_neighbour(probes, pts, 0.7, ["road_key"])
+    want = cluster.first_later_neighbour(probes, pts, 0.7, ["road_key"], 101)
+    both = [sorted((tuple(r) for r in df.collect()), key=str) for df in (got, want)]
+    assert str(both[0]) == str(both[1]) and sum(r[-1] is not None for r in both[0]) > 40
+
+
+def test_first_later_neighbour_of_none(spark):
+    pts = locs(spark, SETS["mixed"][0]).filter("false")
+    assert cluster.first_later_neighbour(pts, pts, 1.0, ["road_key"]).count() == 0
+
+
 def test_no_rows(spark):
     pts = locs(spark, SETS["mixed"][0]).filter("false")
     assert cluster.greedy_cluster(pts, 1.0).count() == 0
