@@ -17,7 +17,7 @@ from roadpulse.params import CrispParams, FuzzyParams
 from roadpulse.plans.step import interval_step, state_of
 from roadpulse.session import scratch_path, scratch_scope
 from roadpulse.sources.incidents import with_reason
-from roadpulse.streaming.store import RunStore, Version, partition_values
+from roadpulse.streaming.store import FILE_ROWS, RunStore, Version, partition_values
 
 
 class IntervalRunner:
@@ -188,11 +188,12 @@ class IntervalRunner:
 def stage_by_interval(incidents: DataFrame) -> tuple[DataFrame, list[int]]:
     """Incidents in one folder per interval, so that every step reads its own
     interval only, and the intervals there are. Rebalancing splits intervals
-    that hold many rows over several files and tasks. All rows have an interval."""
+    that hold many rows over several tasks, and each of these its rows over files
+    that the tasks of a step share out. All rows have an interval."""
     spark = incidents.sparkSession
     path = scratch_path(spark, "intervals")
     rows = incidents.hint("rebalance", "interval_id")
-    rows.write.partitionBy("interval_id").parquet(path)
+    rows.write.partitionBy("interval_id").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     kept = [f for f in incidents.schema if f.name != "interval_id"]
     schema = T.StructType(kept + [T.StructField("interval_id", T.IntegerType())])
     staged = spark.read.schema(schema).parquet(path)

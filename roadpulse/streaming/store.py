@@ -30,6 +30,10 @@ METRICS_SCHEMA = (
     "match_seconds double, cluster_seconds double, write_seconds double, total_seconds double"
 )
 
+# Rows of a file of incidents: a step costs far more time than a row has bytes, so
+# its tasks go by rows, and a scan never cuts a small file.
+FILE_ROWS = 50_000
+
 PROGRESS_SCHEMA = "started timestamp, n_rows long, processing_ms long"
 
 
@@ -123,7 +127,8 @@ class RunStore:
         return f"{self.root}/parked/batch_id={batch_id}/interval_id={interval_id}"
 
     def park(self, rows: DataFrame, batch_id: int, interval_id: int) -> None:
-        rows.write.mode("overwrite").parquet(self.parked_path(batch_id, interval_id))
+        writer = rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS)
+        writer.parquet(self.parked_path(batch_id, interval_id))
 
     def parked(self) -> list[tuple[int, int]]:
         """(batch, interval) of all that was parked so far."""

@@ -279,3 +279,20 @@ def test_parameter_ranges(bad):
         CrispParams(**bad)
     with pytest.raises(ValueError):
         FuzzyParams(conf_threshold=0)
+
+
+def test_staged_and_parked_incidents_lie_in_small_files(spark, monkeypatch, tmp_path):
+    """Otherwise a step over many incidents of one interval is left to few tasks."""
+    from pyspark.sql import types as T
+
+    from roadpulse.streaming import run, store
+
+    for module in (run, store):
+        monkeypatch.setattr(module, "FILE_ROWS", 10)
+    rows = data.frame(spark, data.rows(95, 51)).coalesce(1)
+    staged, ids = run.stage_by_interval(rows)
+    kept = store.RunStore(spark, str(tmp_path), T.LongType(), False)
+    kept.park(rows, 0, 1)
+    for got in (staged, kept.read_parked([(0, 1)])):
+        assert ids == [1] and len(got.inputFiles()) >= 10
+        assert {r[0] for r in got.select("incident_id").collect()} == set(range(95)) and got.count() == 95
