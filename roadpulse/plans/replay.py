@@ -9,7 +9,7 @@ from roadpulse.params import CrispParams
 from roadpulse.session import scratch_path, scratch_scope
 from roadpulse.sources.incidents import with_reason
 from roadpulse.streaming.run import IntervalRunner
-from roadpulse.streaming.store import RunStore, partition_values
+from roadpulse.streaming.store import FILE_ROWS, RunStore, partition_values
 
 
 # Bad rows are kept as what batch 0 set aside.
@@ -51,7 +51,8 @@ def _step_through(rows: DataFrame, runner: IntervalRunner, done, last_interval:
     spark = rows.sparkSession
     path = scratch_path(spark, "history")
     kept = rows.withColumn("at", F.when(F.col("is_good"), F.col("interval_id")).otherwise(0))
-    kept.hint("rebalance", "at").write.partitionBy("is_good", "at").parquet(path)
+    writer = kept.hint("rebalance", "at").write.option("maxRecordsPerFile", FILE_ROWS)
+    writer.partitionBy("is_good", "at").parquet(path)
     folders = [F.col("is_good"), F.col("at")]
     schema = kept.drop(*folders).schema.add("is_good", "boolean").add("at", "integer")
     staged = spark.read.schema(schema).parquet(path)

@@ -296,3 +296,17 @@ def test_staged_and_parked_incidents_lie_in_small_files(spark, monkeypatch, tmp_
     for got in (staged, kept.read_parked([(0, 1)])):
         assert ids == [1] and len(got.inputFiles()) >= 10
         assert {r[0] for r in got.select("incident_id").collect()} == set(range(95)) and got.count() == 95
+
+
+def test_replayed_incidents_lie_in_small_files(spark, monkeypatch, tmp_path):
+    from roadpulse.plans import replay as plan
+
+    monkeypatch.setattr(plan, "FILE_ROWS", 10)
+    seen = []
+
+    def note(self, batch, batch_id, ids):
+        seen.append((len(batch.inputFiles()), batch.count(), ids))
+
+    monkeypatch.setattr(run.IntervalRunner, "run_batch", note)
+    plan.replay(data.frame(spark, data.rows(95, 52)).coalesce(1), str(tmp_path / "run"), CRISP)
+    assert [s[1:] for s in seen] == [(95, [1])] and seen[0][0] >= 10
